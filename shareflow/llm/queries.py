@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shareflow.llm import exact_dedup, mixing
+from shareflow.llm import exact_dedup, licenses, mixing, url_filter
 from shareflow.llm.common import table
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.url_filter(spark.sql(url_filter.CAPTURES_SQL.replace("from pages", "from {pages}"), pages=pages), spark.sql(url_filter.ENTRIES_SQL.replace("from pages", "from {pages}"), pages=pages))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch, earlier = exact_dedup.split_by_day(table(spark, sf_dir, "documents"))
     return exact_dedup.exact_dedup(batch, earlier).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -20,11 +29,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_license_scan": op4_license_scan,
+    "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_license_scan": licenses.oracle(),
+    "op6_url_filter": url_filter.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shareflow.llm import exact_dedup, licenses, mixing, url_filter
+from shareflow.llm import chat, exact_dedup, licenses, mixing, topk, url_filter
 from shareflow.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors, 10)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.url_filter(spark.sql(url_filter.CAPTURES_SQL.replace("from pages", "from {pages}"), pages=pages), spark.sql(url_filter.ENTRIES_SQL.replace("from pages", "from {pages}"), pages=pages))
@@ -28,16 +33,27 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_segments(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
+    "op5_exact_topk": op5_exact_topk,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op4_license_scan": licenses.oracle(),
+    "op5_exact_topk": topk.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op10_chat_format": chat.ORACLE,
 }

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shareflow.llm import chat, exact_dedup, licenses, mixing, topk, url_filter
+from shareflow.llm import bpe, chat, exact_dedup, licenses, mixing, topk, url_filter
 from shareflow.llm.common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path(vocabulary))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, ranks))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -41,6 +48,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op4_license_scan": op4_license_scan,
     "op5_exact_topk": op5_exact_topk,
     "op6_url_filter": op6_url_filter,

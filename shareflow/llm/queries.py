@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shareflow.llm import bpe, chat, exact_dedup, licenses, mixing, topk, url_filter
+from shareflow.llm import bpe, chat, exact_dedup, licenses, lm, mixing, topk, url_filter
 from shareflow.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_
     return bpe.digests(bpe.decode(encoded, ranks))
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_class_lm": op2_class_lm,
     "op4_license_scan": op4_license_scan,
     "op5_exact_topk": op5_exact_topk,
     "op6_url_filter": op6_url_filter,

@@ -79,7 +79,7 @@ class Blocks(NamedTuple):
     buckets: int
 
 
-def _emit(ids: list[pa.Array], marked: list[pa.Array], lengths: list[np.ndarray], flat: list[pa.Array], number: int, buckets: int, lower: bool) -> dict:
+def _emit(ids: list[pa.Array], marked: list[pa.Array], lengths: list[np.ndarray], flat: list[pa.Array], number: int, buckets: int, lower: bool, hashed: bool) -> dict:
     tokens = pa.concat_arrays(flat)
     if lower:
         tokens = pc.ascii_lower(tokens)
@@ -87,7 +87,8 @@ def _emit(ids: list[pa.Array], marked: list[pa.Array], lengths: list[np.ndarray]
     words, codes = found.dictionary, np.asarray(found.indices)
     size = np.concatenate(lengths)
     flags = np.concatenate([np.asarray(x.cast(pa.uint8())) for x in marked])
-    bucket = (word_hash(words) % np.uint64(buckets)).astype(np.int32)
+    hashes = word_hash(words)
+    bucket = (hashes % np.uint64(buckets)).astype(np.int32)
     order = np.asarray(pc.sort_indices(pa.table({"b": bucket, "w": words}), [("b", "ascending"), ("w", "ascending")]))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -100,7 +101,7 @@ def _emit(ids: list[pa.Array], marked: list[pa.Array], lengths: list[np.ndarray]
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     mark = zlib.crc32(pack_strings(words))
     # one row for the block, then one for each bucket
-    used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    used = [] if hashed else [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
     n = len(used)
     return {
         "kind": ["rows"] + ["words"] * n,
@@ -112,21 +113,22 @@ def _emit(ids: list[pa.Array], marked: list[pa.Array], lengths: list[np.ndarray]
         "lengths": [pack_ints(size)] + [None] * n,
         "codes": [pack_ints(rank[codes])] + [None] * n,
         "by_rank": [pack_ints(place[by_rank])] + [None] * n,
+        "hashes": [hashes[order].astype("<u8").tobytes() if hashed else None] + [None] * n,
         "words": [None] + [pack_strings(words.slice(cuts[b], cuts[b + 1] - cuts[b])) for b in used],
         "counts": [None] + [pack_ints(counts[cuts[b] : cuts[b + 1]]) for b in used],
     }
 
 
-def build(docs: DataFrame, tokens: Column, marked: Column | None = None, lower: bool = False, block_tokens: int = BLOCK_TOKENS) -> Blocks:
+def build(docs: DataFrame, tokens: Column, marked: Column | None = None, lower: bool = False, hashed: bool = False, block_tokens: int = BLOCK_TOKENS) -> Blocks:
     """Write the blocks of docs (doc_id and the array of strings `tokens`) to the shared folder.
 
-    lower turns A-Z of the tokens into a-z. Null tokens count as none. Rows may repeat, doc_ids may be null.
+    lower turns A-Z of the tokens into a-z; hashed writes the words' hashes in place of the words. Null tokens count as none. Rows may repeat, doc_ids may be null.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     source = docs.select("doc_id", F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"), (F.lit(True) if marked is None else F.coalesce(marked, F.lit(False))).alias("marked"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    schema = f"kind string, block long, bucket int, mark long, ids array<{id_type}>, marked array<boolean>, lengths binary, codes binary, by_rank binary, words binary, counts binary"
+    schema = f"kind string, block long, bucket int, mark long, ids array<{id_type}>, marked array<boolean>, lengths binary, codes binary, by_rank binary, hashes binary, words binary, counts binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -150,18 +152,18 @@ def build(docs: DataFrame, tokens: Column, marked: Column | None = None, lower:
                     held += int(size[begin:end].sum())
                     begin = end
                 if begin < len(size):
-                    yield pa.RecordBatch.from_pydict(_emit(ids, flags, lengths, flat, number, buckets, lower), schema=out)
+                    yield pa.RecordBatch.from_pydict(_emit(ids, flags, lengths, flat, number, buckets, lower, hashed), schema=out)
                     number += 1
                     ids, flags, lengths, flat, held = [], [], [], [], 0
         if ids:
-            yield pa.RecordBatch.from_pydict(_emit(ids, flags, lengths, flat, number, buckets, lower), schema=out)
+            yield pa.RecordBatch.from_pydict(_emit(ids, flags, lengths, flat, number, buckets, lower, hashed), schema=out)
 
     name = f"blocks_{uuid.uuid4().hex}"
     both = source.mapInArrow(cut, schema)
     both.write.partitionBy("kind").bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
     return Blocks(
-        table.filter("kind = 'rows'").select("block", "mark", "ids", "marked", "lengths", "codes", "by_rank"),
+        table.filter("kind = 'rows'").select("block", "mark", "ids", "marked", "lengths", "codes", "by_rank", "hashes"),
         table.filter("kind = 'words'").select("block", "bucket", "mark", "words", "counts"),
         buckets,
     )
@@ -169,7 +171,7 @@ def build(docs: DataFrame, tokens: Column, marked: Column | None = None, lower:
 
 def _batch_schema(id_type: pa.DataType) -> pa.Schema:
     fields = [("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("mark", pa.int64()), ("ids", pa.list_(id_type)), ("marked", pa.list_(pa.bool_()))]
-    return pa.schema(fields + [(x, pa.binary()) for x in ("lengths", "codes", "by_rank", "words", "counts")])
+    return pa.schema(fields + [(x, pa.binary()) for x in ("lengths", "codes", "by_rank", "hashes", "words", "counts")])
 
 
 def answers_in_order(answers: pa.Table, mark: int) -> list[dict]:

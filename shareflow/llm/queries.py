@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shareflow.llm import bpe, chat, exact_dedup, licenses, lm, mixing, topk, toxicity, url_filter
+from shareflow.llm import bpe, chat, exact_dedup, licenses, lm, mixing, ngram_join, topk, toxicity, url_filter
 from shareflow.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_class_lm": op2_class_lm,
+    "op3_ngram_join": op3_ngram_join,
     "op4_license_scan": op4_license_scan,
     "op5_exact_topk": op5_exact_topk,
     "op6_url_filter": op6_url_filter,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_ngram_join": ngram_join.ORACLE,
     "op4_license_scan": licenses.oracle(),
     "op5_exact_topk": topk.ORACLE,
     "op6_url_filter": url_filter.ORACLE,

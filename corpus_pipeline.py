@@ -1,23 +1,72 @@
 """The corpus pipeline: documents in, token ids out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents. Documents are told apart by doc_id and text: rows that repeat both are
+one document, a null doc_id is an id like any other.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from shareflow.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from shareflow.llm.common import table, written
 
-#: SQL can't express the classifier of the first stage.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain doesn't reject."""
+    models = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, models, keep=COLUMNS).filter(~F.col("rejected")).select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest doc_id."""
+    batch, earlier = exact_dedup.split_by_day(docs)
+    kept = exact_dedup.exact_dedup(batch, earlier).filter("kept").select(F.col("doc_id").alias("id"), "text_sha256")
+    hashed = docs.withColumn("digest", F.sha2(exact_dedup.normalised(), 256))
+    left = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["id"]) & (hashed["digest"] == kept["text_sha256"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "digest"]).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest doc_id."""
+    first = ngram_join.ngram_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"))
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["id"]), "left_semi").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, whole: the one at a source's cut by whether half of it is taken."""
+    taken = mixing.mix(docs).filter("size > 0").select(F.col("doc_id").alias("id"), F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int").alias("copies"))
+    taken = taken.filter("copies > 0").groupBy("id").agg(F.max("copies").alias("copies"))
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["id"])).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids, a row per row of docs."""
+    ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("byte-level BPE", encode),
+]
+
+#: SQL can't express the classifier of the first stage; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; between two stages the documents are a written table."""
-    from shareflow.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, written(docs, f"pipeline-{k}") if k else docs, sf_dir)
     return docs

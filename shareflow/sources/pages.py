@@ -391,7 +391,7 @@ def section_tables(tables: DataFrame, keys: list[str], chosen: dict[str, int] |
 def table_previews(tables: DataFrame, keys: list[str]) -> DataFrame:
     """Rows, columns, header and the first three rows of every table."""
     sample = F.slice(F.sort_array(F.collect_list(F.when(F.col("row_no").between(1, 3), F.struct("row_no", _texts().alias("cells"))))), 1, 3)
-    return tables.groupBy(*keys, "table_no").agg(F.count_if("row_no > 0").alias("n_rows"), F.first("header").alias("header"), sample.alias("sample")).withColumn("n_columns", F.size("header"))
+    return tables.groupBy(*keys, "table_no").agg(F.count_if(F.col("row_no") > 0).alias("n_rows"), F.first("header").alias("header"), sample.alias("sample")).withColumn("n_columns", F.size("header"))
 
 
 def key_values(tables: DataFrame, keys: list[str], names: dict[str, list[str]]) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from shareflow.llm.common import shared_dir, shuffle_partitions
 
 #: Tokens after which a block ends; a longer document is a block of its own.
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_500_000
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -62,6 +62,11 @@ def unpack_strings(payload: bytes) -> pa.Array:
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
+def release() -> None:
+    """Give memory that Arrow holds back for later to the system: a Python worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def word_hash(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word, the same in every process."""
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.empty(0, np.uint64)
@@ -155,8 +160,11 @@ def build(docs: DataFrame, tokens: Column, marked: Column | None = None, lower:
                     yield pa.RecordBatch.from_pydict(_emit(ids, flags, lengths, flat, number, buckets, lower, hashed), schema=out)
                     number += 1
                     ids, flags, lengths, flat, held = [], [], [], [], 0
+            del batch, lists
+            release()
         if ids:
             yield pa.RecordBatch.from_pydict(_emit(ids, flags, lengths, flat, number, buckets, lower, hashed), schema=out)
+        release()
 
     name = f"blocks_{uuid.uuid4().hex}"
     both = source.mapInArrow(cut, schema)

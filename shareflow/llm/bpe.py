@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from shareflow.llm import blocks
 from shareflow.llm.common import text_or_empty
 
 Ranks = dict[bytes, int]
+#: Makes, once a task, the function from a list array of ids to columns.
+Finish = Callable[[], Callable[[pa.ListArray], dict[str, pa.Array]]]
 
 
 def read_ranks(path: str) -> Ranks:
@@ -38,8 +40,13 @@ def pretokens(pattern: str):
     return F.regexp_extract_all(text_or_empty(), F.lit(f"(?U){pattern}"), F.lit(0))
 
 
-def encode(docs: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
-    """doc_id and ids (array<int>), a row per row of docs."""
+def encode(docs: DataFrame, ranks: Ranks, pattern: str, finish: Finish | None = None, columns: str = "ids array<int>") -> DataFrame:
+    """doc_id and ids (array<int>), a row per row of docs.
+
+    finish turns the ids of some documents, in the task that has put them together, into other columns (`columns`, in
+    SQL): so a query that needs only sums of the ids doesn't send them through a second Python worker.
+    """
+    finish = finish or (lambda: lambda ids: {"ids": ids})
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def words_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,9 +66,10 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
             out = {c: batch.column(c) for c in ("block", "bucket", "mark")}
             out |= {"lengths": pa.array([a for a, _ in answers], pa.binary()), "flat": pa.array([b for _, b in answers], pa.binary())}
             yield pa.RecordBatch.from_pydict(out)
+        blocks.release()
 
     def reassemble(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = []
+        parts, done = [], finish()
         for row in rows.to_pylist():
             got = blocks.answers_in_order(answers, row["mark"])
             lengths = np.concatenate([blocks.unpack_ints(a["lengths"]) for a in got] or [np.empty(0, int)]).astype(np.int64)
@@ -70,54 +78,68 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
             place, size = blocks.positions(row)
             ends = np.cumsum(lengths[place])
             ends = np.concatenate([[0], ends])[np.cumsum(size)] if len(place) else np.zeros(len(size), np.int64)
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            parts.append((row["ids"], pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(place)).flatten() if len(place) else pa.array([], pa.int32()))))
-        doc_type = rows.schema.field("ids").type.value_type
-        return pa.table({"doc_id": pa.chunked_array([pa.array(i, doc_type) for i, _ in parts], doc_type), "ids": pa.chunked_array([x for _, x in parts], pa.list_(pa.int32()))})
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(offsets, words.take(pa.array(place)).flatten() if len(place) else pa.array([], pa.int32()))
+            parts.append(pa.table({"doc_id": pa.array(row["ids"], rows.schema.field("ids").type.value_type), **done(ids)}))
+        blocks.release()
+        return pa.concat_tables(parts)
 
     made = blocks.build(docs, pretokens(pattern))
     asked = made.words.drop("counts").repartition(made.buckets, "bucket")
     answers = asked.mapInArrow(words_once, "block long, bucket int, mark long, lengths binary, flat binary")
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    return made.rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassemble, f"doc_id {doc_type}, ids array<int>")
+    return made.rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassemble, f"doc_id {doc_type}, {columns}")
 
 
-def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
-    """Add `decoded`, the bytes of each row's ids."""
-    tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+def token_bytes(ranks: Ranks) -> list[bytes | None]:
+    """The token-byte table, a row per id."""
+    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    return tokens
+
+
+def _joined(lists: pa.ListArray, table: pa.Array) -> list[bytes | None]:
+    """The token bytes of each list of ids, joined with the table by id and put together; None for null."""
+    pieces = table.take(lists.flatten())
+    if pieces.null_count:
+        raise ValueError("an id has no token")
+    at = np.frombuffer(pieces.buffers()[1], "<i8", len(pieces) + 1, pieces.offset * 8) if len(pieces) else np.zeros(1, np.int64)
+    data = memoryview(pieces.buffers()[2] or b"")
+    ends = at[np.cumsum(np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64))]
+    return [bytes(data[s:e]) if ok else None for s, e, ok in zip([0, *ends[:-1]], ends, lists.is_valid().to_pylist(), strict=True)] if len(lists) else []
+
+
+def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
+    """Add `decoded`, the bytes of each row's ids."""
+    shared = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(shared.value, pa.large_binary())
         for batch in batches:
-            lists = batch.column("ids")
-            pieces = table.take(lists.flatten())
-            if pieces.null_count:
-                raise ValueError("an id has no token")
-            at = np.frombuffer(pieces.buffers()[1], "<i8", len(pieces) + 1, pieces.offset * 8) if len(pieces) else np.zeros(1, np.int64)
-            data = memoryview(pieces.buffers()[2] or b"")
-            size = np.where(lists.is_valid(), np.asarray(lists.value_lengths().fill_null(0)), 0)
-            ends = at[np.cumsum(size)] if len(size) else size
-            starts = np.concatenate([[0], ends[:-1]]) if len(size) else size
-            decoded = [bytes(data[s:e]) if ok else None for s, e, ok in zip(starts, ends, lists.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_joined(batch.column("ids"), table), pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(join, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), "decoded binary"]))
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (over the ids as little-endian unsigned 32-bit integers) and decoded_sha256."""
+def digests(docs: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (over the ids as little-endian unsigned 32-bit integers) and decoded_sha256.
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
+    Each text is encoded, its ids are decoded by the token-byte table, and both are digested.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(token_bytes(ranks))
+
+    def finish() -> Callable[[pa.ListArray], dict[str, pa.Array]]:
+        table = pa.array(shared.value, pa.large_binary())
+
+        def digest(lists: pa.ListArray) -> dict[str, pa.Array]:
             flat = memoryview(np.ascontiguousarray(np.asarray(lists.flatten()).astype("<u4"))).cast("B")
-            ends = np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64)) * 4
-            sums = [hashlib.sha256(flat[s:e]).hexdigest() for s, e in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": lists.value_lengths().cast(pa.int64()), "ids_sha256": sums, "decoded": batch.column("decoded")})
+            size = np.asarray(lists.value_lengths()).astype(np.int64)
+            ends = np.cumsum(size) * 4
+            sums = [hashlib.sha256(flat[s:e]).hexdigest() for s, e in zip(ends - size * 4, ends, strict=True)]
+            decoded = [hashlib.sha256(x).hexdigest() for x in _joined(lists, table)]
+            return {"n_tokens": pa.array(size), "ids_sha256": pa.array(sums, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+
+        return digest
 
-    doc_type = decoded.schema["doc_id"].dataType.simpleString()
-    hashed = decoded.select("doc_id", "ids", "decoded").mapInArrow(digest, f"doc_id {doc_type}, n_tokens long, ids_sha256 string, decoded binary")
-    return hashed.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs, ranks, pattern, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")

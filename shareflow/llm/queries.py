@@ -13,8 +13,7 @@ from shareflow.llm.common import table
 
 def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(vocabulary))
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, ranks))
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

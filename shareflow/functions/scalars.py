@@ -223,9 +223,14 @@ def body_head(html: Column, limit: int = 500) -> Column:
 
 def allowed_url(url: Column, hosts: list[str]) -> Column:
     """The URL without fragment if it is https, on one of hosts, at the default port and without credentials; else null."""
+    return F.when(F.lower(F.try_parse_url(url, F.lit("HOST"))).isin(hosts), allowed_url_any_host(url))
+
+
+def allowed_url_any_host(url: Column) -> Column:
+    """The same for any host: a host rule of the caller's own comes on top."""
     part = lambda name: F.try_parse_url(url, F.lit(name))
     port = F.regexp_extract(part("AUTHORITY"), r":(\d+)$", 1)
-    ok = (F.lower(part("PROTOCOL")) == "https") & F.lower(part("HOST")).isin(hosts) & port.isin("", "443") & part("USERINFO").isNull()
+    ok = (F.lower(part("PROTOCOL")) == "https") & port.isin("", "443") & part("USERINFO").isNull()
     query = part("QUERY")
     return F.when(ok, F.concat(F.lit("https://"), F.lower(part("HOST")), F.coalesce(part("PATH"), F.lit("")), F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise("")))
 

@@ -11,7 +11,8 @@ from shareflow.functions import scalars
 from shareflow.functions.rules import CATEGORY_BY_ID, CATEGORY_BY_KEYWORD, ERROR_RULES, EVENT_TAGS, REASON_TAGS, RETRYABLE
 from shareflow.operators import announcements, capital, concentration, flows, history, prices, quality, snapshots, tables
 from shareflow.plans import reports
-from shareflow.sources.views import view, with_views
+from shareflow.sources import pages
+from shareflow.sources.views import load, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -677,8 +678,6 @@ from wanted w left join latest l on w.code = l.code left join stock_meta m on m.
 
 
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
-    from shareflow.sources.views import load
-
     return load(spark, d, "customer").filter("c_custkey <= 100").select(F.col("c_custkey").alias("seq"), (F.col("c_custkey") % 60).cast("string").alias("code"))
 
 
@@ -717,3 +716,72 @@ select c.*, k.category from c left join kinds k on k.participant_id = c.particip
 )
 def report_changes(spark, d):
     return reports.stock_report(_snaps(spark, d)).changes
+
+
+# scalar functions over whole tables
+
+
+@register("page_links", """select page_id, cast(i - 1 as int) as link_no, links[i] as href from (select page_id, links, unnest(range(1, len(links) + 1)) as i from (select page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) as links from pages))""".replace("\\\\", "\\"))
+def page_links(spark, d):
+    return pages.outbound_links(load(spark, d, "pages"), ["page_id"])
+
+
+@register("page_urls", "select page_id, case when regexp_matches(url, '^https://[^/@:]+([/?#]|$)') and regexp_extract(url, '^https://([^/?#]*)', 1) like '%.example.org' then regexp_replace(url, '#.*$', '') end as allowed from pages")
+def page_urls(spark, d):
+    rows = load(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"))
+    # the allow-list is one of host names; here every host of one domain is on it, so the check is per row
+    allowed = F.when(F.col("host").endswith(".example.org"), scalars.allowed_url_any_host(F.col("url")))
+    return rows.select("page_id", allowed.alias("allowed"))
+
+
+@register(
+    "text_quality",
+    "select doc_id, 10 * (length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g'))) + length(text) - length(regexp_replace(text, '[A-Za-z0-9]', '', 'g')) - 20 * (length(text) - length(regexp_replace(text, '\ufffd', '', 'g'))) as score, length(text) as chars_total, least(length(text), 500) as chars_returned, length(text) > 500 as truncated, substr(text, 1, 500) as head from documents",
+)
+def text_quality(spark, d):
+    docs = load(spark, d, "documents")
+    cut = scalars.truncated(F.col("text"), 500)
+    return docs.select("doc_id", scalars.text_quality(F.col("text"))["score"].alias("score"), *(cut[x].alias(x) for x in ("chars_total", "chars_returned", "truncated", "head")))
+
+
+@register(
+    "code_forms",
+    "select c_custkey, case when length(k) >= 5 then k else lpad(k, 5, '0') end as code, (case when length(k) >= 4 then k else lpad(k, 4, '0') end) || '.HK' as ticker, 'HK' || (case when length(k) >= 4 then k else lpad(k, 4, '0') end) as slug, length(k) between 4 and 8 as issue_like from (select c_custkey, cast(c_custkey as varchar) as k from customer where c_custkey > 0)",
+)
+def code_forms(spark, d):
+    k = F.col("c_custkey").cast("string")
+    rows = load(spark, d, "customer").filter("c_custkey > 0")
+    return rows.select("c_custkey", scalars.stock_code(k).alias("code"), scalars.ticker(k).alias("ticker"), scalars.slug(k).alias("slug"), scalars.looks_like_issue_id(k).alias("issue_like"))
+
+
+@register("fresh_codes", "select distinct code from price_history where date = (select max(date) from price_history)", "price_history")
+def fresh_codes(spark, d):
+    bars = view(spark, d, "price_history")
+    newest = bars.agg(F.max("date").alias("newest"))
+    return bars.join(newest, F.col("date") == F.col("newest"), "left_semi").select("code").distinct()
+
+
+@register(
+    "event_days",
+    "select code, count(distinct fetched_on) as fetched_days, max(fetched_on) as data_as_of from fetch_log group by 1",
+    "fetch_log",
+)
+def event_days(spark, d):
+    return view(spark, d, "fetch_log").groupBy("code").agg(F.count_distinct("fetched_on").alias("fetched_days"), F.max("fetched_on").alias("data_as_of"))
+
+
+@register("latest_lines", CHART + ", l as (select code, 'Close' as series, date, close as price from seg union all select code, 'VWAP', date, vwap from seg where vwap is not null) select * from l qualify row_number() over (partition by code, series order by date desc) = 1", "price_history")
+def latest_lines(spark, d):
+    rows = prices.price_lines(prices.chart_frame(view(spark, d, "price_history"), None)).drop("segment")
+    return tables.last_rows(rows, ["code", "series"], "date")
+
+
+@register(
+    "capital_summary",
+    CAPITAL + ", b as (select code, count(*) as n_buybacks, max(buyback_date) as last_buyback from buybacks group by 1) select cap.*, coalesce(n_buybacks, 0) as n_buybacks, last_buyback from cap left join b on cap.code = b.code",
+    "share_changes",
+    "buybacks",
+)
+def capital_summary(spark, d):
+    bought = view(spark, d, "buybacks").groupBy("code").agg(F.count(F.lit(1)).alias("n_buybacks"), F.max("buyback_date").alias("last_buyback"))
+    return capital.latest_capital(view(spark, d, "share_changes")).join(bought, "code", "left").withColumn("n_buybacks", F.coalesce("n_buybacks", F.lit(0)))

@@ -12,6 +12,8 @@ from shareflow.functions.scalars import participant_id, stock_code
 from shareflow.operators import announcements as news
 from shareflow.operators import capital, concentration, flows, history, prices, quality, snapshots
 from shareflow.operators.tables import ordered_codes, top_rows
+from shareflow.sinks import export
+from shareflow.sources import pages
 
 
 class StockReport(NamedTuple):
@@ -119,3 +121,25 @@ def concentration_feed(snaps: DataFrame) -> DataFrame:
     """Percentages of what the registry holds, and how much of the issued shares that is, from snapshots."""
     series = snapshots.concentration_series(snaps)
     return series.select("code", "date", F.col("top5_pct_of_ccass").alias("top5_pct"), F.col("top10_pct_of_ccass").alias("top10_pct"), F.lit(None).cast("double").alias("top10_ncip_pct"), (F.col("total_bps") / 10000.0).alias("stake_pct"))
+
+
+def events_report(page_rows: DataFrame, site: str, limit: int = 30) -> DataFrame:
+    """The first corporate events of each code's page (code, html), with the date up to which the page is known."""
+    rows = pages.corporate_events(page_rows, ["code"], site)
+    first = top_rows(rows, ["code"], [F.asc("row_no")], limit, "event_no")
+    known = rows.groupBy("code").agg(F.max("announced").alias("data_as_of"), F.count(F.lit(1)).alias("total_rows"))
+    return first.drop("row_no").join(known, "code")
+
+
+def people_report(officer_pages: DataFrame, manager_pages: DataFrame, site: str, current_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Officers (those in office, unless all are asked for) and managers of each code's pages."""
+    people = pages.officers(officer_pages, ["code"], site)
+    return people.filter("is_current") if current_only else people, pages.managers(manager_pages, ["code"])
+
+
+def full_export(snaps: DataFrame, share_changes: DataFrame, buybacks: DataFrame, log: DataFrame, price_history: DataFrame, source: str) -> DataFrame:
+    """All sections of all codes as one table with provenance, status rows first and warnings last."""
+    report = stock_report(snaps)
+    _, changes, bought = capital_report(share_changes, buybacks)
+    sections = {"Holdings": report.holdings, "Changes": report.changes, "Concentration": report.concentration, "Share changes": changes, "Buybacks": bought}
+    return export.combined(sections, source, warnings=quality_report(log, price_history), summary=quality.fetch_summary(log).withColumnRenamed("section", "fetched_section").drop("status"))

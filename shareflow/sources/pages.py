@@ -405,3 +405,37 @@ def key_values(tables: DataFrame, keys: list[str], names: dict[str, list[str]])
 def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
     """Add `rank` in row order where the source gives none."""
     return df.withColumn("rank", F.coalesce("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("row_no"))))
+
+
+#: For each section the fields of its rows and the headers that hold them, in order of preference.
+SECTION_FIELDS = {
+    "Holdings": {"rank": ["rank", "#"], "participant_name": ["name of ccass participant", "participant", "name"], "participant_id": ["ccass id", "participant id", "id"], "shares": ["holding", "shares", "securities"], "stake": ["stake %", "holding percentage", "stake", "%"], "cumulative": ["cumul stake", "cumulative", "cum"]},
+    "Changes": {"participant_name": ["participant", "name"], "change": ["change in shares", "change"], "change_pct": ["stake change", "change %", "%"], "shares_after": ["holding after", "holding"], "stake_after": ["stake after", "stake"]},
+    "Big Changes": {"date": ["date"], "participant_name": ["participant", "name"], "change_shares": ["change in shares", "shares", "holding change"], "change_pct": ["change %", "% change", "%", "change"]},
+    "Concentration": {"date": ["date"], "top5": ["top 5", "top5"], "top10_ncip": ["top 10 + ncip", "top 10 +ncip", "top 10 ncip", "ncip"], "top10": ["top 10 %", "top 10", "top10"], "stake": ["stake in ccass", "ccass", "stake"]},
+    "Price History": {"date": ["date"], "close": ["close", "price"], "open": ["open"], "high": ["high"], "low": ["low"], "volume": ["volume"], "turnover": ["turnover"], "vwap": ["vwap"], "price_source": ["price source"]},
+}
+#: Fields that are text; all others become numbers.
+TEXT_FIELDS = {"participant_name", "participant_id", "date", "price_source"}
+
+
+def section_rows(tables: DataFrame, keys: list[str], section: str, chosen: dict[str, int] | None = None) -> DataFrame:
+    """Rows of a section's table with harmonised, cleaned columns; null where a page has no such column.
+
+    The NCIP column of a concentration table isn't taken for its Top 10 column. Holdings without ranks are numbered, rows
+    without a participant are left out, blank dates of Big Changes take the date above, dates become DATE.
+    """
+    best = section_tables(tables, keys, chosen).filter(F.col("section") == section).select(*keys, "table_no")
+    body = _body(tables.join(best, [*keys, "table_no"]))
+    plain = F.transform("header", lambda h: F.when(~F.lower(h).contains("ncip"), h).otherwise(""))
+    fields = SECTION_FIELDS[section]
+    places = {f"_{f}": header_index(plain if section == "Concentration" and f == "top10" else F.col("header"), names) for f, names in fields.items()}
+    rows = body.withColumns(places).select(*keys, "row_no", *((_at(f"_{f}") if f in TEXT_FIELDS else scalars.to_number(_at(f"_{f}"))).alias(f) for f in fields))
+    if "participant_name" in fields:
+        rows = rows.filter(F.trim(F.coalesce("participant_name", F.lit(""))) != "")
+    if section == "Holdings":
+        rows = numbered(rows, keys)
+    if section == "Big Changes":
+        above = Window.partitionBy(*keys).orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("date", F.last("date", ignorenulls=True).over(above))
+    return rows.withColumn("date", scalars.parse_date(F.col("date"))) if "date" in fields else rows

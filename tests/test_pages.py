@@ -130,3 +130,29 @@ def test_issue_and_stock_lookups(spark):
     assert feeds.codes_of_issues(spark.createDataFrame([("1234",)], "issue_id string"), issues).first().code == "00001"
     stocks = spark.createDataFrame([("1", "L1", "One")], "code string, listing_id string, name string")
     assert feeds.active_stocks(spark.createDataFrame([("HK00001",)], "code string"), stocks).first().name == "One"
+
+
+def test_section_rows(spark):
+    html = (
+        "<table><tr><th>Name of CCASS participant</th><th>CCASS ID</th><th>Holding</th><th>Stake %</th><th>Cumul stake %</th></tr><tr><td>A</td><td>B00001</td><td>1,000</td><td>5.5%</td><td>5.5%</td></tr><tr><td> </td><td></td><td>9</td><td></td><td></td></tr></table>"
+        "<table><tr><th>Date</th><th>Participant</th><th>Change %</th></tr><tr><td>24-01-05</td><td>A</td><td>+12.5</td></tr><tr><td></td><td>B</td><td>-12</td></tr></table>"
+        "<table><tr><th>Date</th><th>Top 5 %</th><th>Top 10 + NCIP %</th><th>Top 10 %</th><th>Stake in CCASS %</th></tr><tr><td>2024-01-01</td><td>1</td><td>3</td><td>2</td><td>9</td></tr></table>"
+        "<table><tr><th>Date</th><th>Close</th><th>Volume</th><th>Turnover</th><th>VWAP</th></tr><tr><td>2024-01-01</td><td>1.5</td><td>1,000</td><td>2</td><td>x</td></tr></table>"
+    )
+    tables = pages.html_tables(frame(spark, html), ["page_id"])
+    get = lambda section: [r.asDict() for r in pages.section_rows(tables, ["page_id"], section).orderBy("row_no").collect()]
+    holdings = get("Holdings")
+    assert len(holdings) == 1 and (holdings[0]["rank"], holdings[0]["shares"], holdings[0]["cumulative"]) == (1, 1000.0, 5.5)
+    assert [(str(r["date"]), r["participant_name"], r["change_pct"], r["change_shares"]) for r in get("Big Changes")] == [("2024-01-05", "A", 12.5, None), ("2024-01-05", "B", -12.0, None)]
+    assert [(r["top5"], r["top10"], r["top10_ncip"], r["stake"]) for r in get("Concentration")] == [(1.0, 2.0, 3.0, 9.0)]
+    assert [(r["close"], r["volume"], r["vwap"], r["open"]) for r in get("Price History")] == [(1.5, 1000.0, None, None)]
+
+
+def test_page_reports(spark):
+    from shareflow.plans import reports
+
+    page = spark.createDataFrame([("00001", EVENTS)], "code string, html string")
+    r = reports.events_report(page, "https://s").collect()
+    assert len(r) == 1 and r[0].data_as_of == "2024-01-05"
+    people, bosses = reports.people_report(spark.createDataFrame([("00001", OFFICERS)], "code string, html string"), spark.createDataFrame([("00001", MANAGERS)], "code string, html string"), "https://s")
+    assert people.count() == 1 and bosses.count() == 2

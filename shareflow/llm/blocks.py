@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -72,6 +72,10 @@ def word_hash(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.empty(0, np.uint64)
 
 
+#: A column of texts, null but for rare ones, and how to cut one of them into tokens.
+Odd = tuple[Column, Callable[[str], list[str]]]
+
+
 class Blocks(NamedTuple):
     """rows: block, mark, ids (array), marked (array<boolean>), lengths, codes, by_rank; a row per block.
 
@@ -124,14 +128,17 @@ def _emit(ids: list[pa.Array], marked: list[pa.Array], lengths: list[np.ndarray]
     }
 
 
-def build(docs: DataFrame, tokens: Column, marked: Column | None = None, lower: bool = False, hashed: bool = False, block_tokens: int = BLOCK_TOKENS) -> Blocks:
+def build(docs: DataFrame, tokens: Column, marked: Column | None = None, lower: bool = False, hashed: bool = False, odd: Odd | None = None, block_tokens: int = BLOCK_TOKENS) -> Blocks:
     """Write the blocks of docs (doc_id and the array of strings `tokens`) to the shared folder.
 
-    lower turns A-Z of the tokens into a-z; hashed writes the words' hashes in place of the words. Null tokens count as none. Rows may repeat, doc_ids may be null.
+    lower turns A-Z of the tokens into a-z; hashed writes the words' hashes in place of the words. odd gives, for the
+    rare rows that the JVM can't cut as they should be, a column of their texts (null for all others) and a function that
+    cuts one. Null tokens count as none. Rows may repeat, doc_ids may be null.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
-    source = docs.select("doc_id", F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"), (F.lit(True) if marked is None else F.coalesce(marked, F.lit(False))).alias("marked"))
+    odd_text, cut_odd = odd or (F.lit(None).cast("string"), None)
+    source = docs.select("doc_id", odd_text.alias("odd"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"), (F.lit(True) if marked is None else F.coalesce(marked, F.lit(False))).alias("marked"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     schema = f"kind string, block long, bucket int, mark long, ids array<{id_type}>, marked array<boolean>, lengths binary, codes binary, by_rank binary, hashes binary, words binary, counts binary"
 
@@ -141,6 +148,9 @@ def build(docs: DataFrame, tokens: Column, marked: Column | None = None, lower:
         ids, flags, lengths, flat, held = [], [], [], [], 0
         for batch in batches:
             lists = batch.column("tokens")
+            if cut_odd and batch.column("odd").null_count < len(batch):
+                again = batch.column("odd").to_pylist()
+                lists = pa.array([x if t is None else cut_odd(t) for x, t in zip(lists.to_pylist(), again, strict=True)], pa.list_(pa.string()))
             size = np.asarray(pc.list_value_length(lists)).astype(np.int64)
             out = _batch_schema(batch.schema.field("doc_id").type)
             begin = 0

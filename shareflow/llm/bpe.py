@@ -15,9 +15,11 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,30 @@ def pretokens(pattern: str):
     return F.regexp_extract_all(text_or_empty(), F.lit(f"(?U){pattern}"), F.lit(0))
 
 
+@lru_cache(maxsize=1)
+def _classes() -> Callable[[str], str]:
+    """Stands a known character of the same class in for any other, by what the library's own engine takes it for."""
+    single = {bytes([k]): k for k in range(256)}
+    kinds = [(tiktoken.Encoding(f"class {c}", pat_str=c, mergeable_ranks=single, special_tokens={}), known) for c, known in ((r"\p{L}", "é"), (r"\p{N}", "²"), (r"\s", "\u3000"))]
+
+    @lru_cache(maxsize=100_000)
+    def kind(c: str) -> str:
+        return c if c < "\x80" else next((known for engine, known in kinds if engine.encode_ordinary(c)), "§")
+
+    return kind
+
+
+def cut_exactly(pattern: str, text: str) -> list[str]:
+    """The pre-tokens of a text for a pattern of the classes L, N and white space, whatever Unicode version its letters are of."""
+    kind = _classes()
+    return [text[m.start() : m.end()] for m in regex.finditer(pattern, "".join(map(kind, text)))]
+
+
+def newer_letters(pattern: str) -> blocks.Odd:
+    """Texts with characters that Java's Unicode tables don't know are cut by the library's."""
+    return F.when(F.col("text").rlike(r"\p{Cn}"), F.col("text")), partial(cut_exactly, pattern)
+
+
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, finish: Finish | None = None, columns: str = "ids array<int>") -> DataFrame:
     """doc_id and ids (array<int>), a row per row of docs.
 
@@ -84,7 +110,7 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, finish: Finish | None =
         blocks.release()
         return pa.concat_tables(parts)
 
-    made = blocks.build(docs, pretokens(pattern))
+    made = blocks.build(docs, pretokens(pattern), odd=newer_letters(pattern))
     asked = made.words.drop("counts").repartition(made.buckets, "bucket")
     answers = asked.mapInArrow(words_once, "block long, bucket int, mark long, lengths binary, flat binary")
     doc_type = docs.schema["doc_id"].dataType.simpleString()

@@ -108,10 +108,9 @@ def near_copies(rng, n_groups, size, words):
     return rows
 
 
-@pytest.mark.parametrize("per_row", [4, 0])
-def test_ngram_join_against_all_pairs(spark, monkeypatch, per_row):
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", per_row)  # 0: pivots until no pair is left, or the last round
-    monkeypatch.setattr(ngram_join, "MOST_ROUNDS", 3)
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_ngram_join_against_all_pairs(spark, monkeypatch, rounds):
+    monkeypatch.setattr(ngram_join, "MOST_ROUNDS", rounds)  # 0: all pairs at once
     monkeypatch.setattr(blocks, "BLOCK_TOKENS", 900)
     rows = near_copies(random.Random(4), 4, 14, 70)
     rows += [(900, None), (901, ""), (902, " \n"), (903, "a b c"), (904, "A  b C"), (905, "a b c d"), (906, "x " * 500), (907, "x " * 501), (3, rows[3][1]), (3, rows[3][1])]

@@ -201,13 +201,13 @@ def clean_extracted(c: Column) -> Column:
 
 def truncated(c: Column, limit: int) -> Column:
     """struct(head, chars_total, chars_returned, truncated)."""
-    total = F.length(c)
-    return F.struct(F.substring(c, 1, limit).alias("head"), total.alias("chars_total"), F.least(total, F.lit(limit)).alias("chars_returned"), (total > limit).alias("truncated"))
+    total = F.length(c).cast("long")
+    return F.struct(F.substring(c, 1, limit).alias("head"), total.alias("chars_total"), F.least(total, F.lit(limit).cast("long")).alias("chars_returned"), (total > limit).alias("truncated"))
 
 
 def text_quality(c: Column) -> Column:
     """struct(score, visible): tens for each Han character, one for each ASCII letter or digit, minus twenty for each U+FFFD."""
-    count = lambda pattern: F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+    count = lambda pattern: (F.length(c) - F.length(F.regexp_replace(c, pattern, ""))).cast("long")
     score = count(r"[一-鿿]") * 10 + count("[A-Za-z0-9]") - count("�") * 20
     return F.struct(score.alias("score"), F.length(F.regexp_replace(c, r"(?U)\s+", "")).alias("visible"))
 

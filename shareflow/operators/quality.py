@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shareflow.functions.rules import HISTORY_GAP, contains_any, error_code, retryable
@@ -67,10 +67,7 @@ def payload_status(log: DataFrame) -> DataFrame:
 
 def fetch_summary(log: DataFrame) -> DataFrame:
     """A row per code and section: the last status, tables found, latest date and error; sections never fetched are `missing`."""
-    spark: SparkSession = log.sparkSession
-    sections = spark.createDataFrame([(k, s) for k, s in enumerate(SECTIONS)], "section_no int, section string")
-    # the list of sections is fixed
-    grid = log.select("code").distinct().crossJoin(F.broadcast(sections))
+    grid = log.select("code").distinct().select("code", F.posexplode(F.array(*map(F.lit, SECTIONS))).alias("section_no", "section"))
     last = first_rows(log, ["code", "section"], [F.desc("seq")]).select("code", "section", "status", "tables_found", "error_message")
     dates = log.groupBy("code", "section").agg(F.max("fetched_on").alias("latest_date"))
     out = grid.join(last, ["code", "section"], "left").join(dates, ["code", "section"], "left")

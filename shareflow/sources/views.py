@@ -24,8 +24,9 @@ VIEWS: dict[str, str] = {
     "issued": "select code, date, cast(sum(shares) * 5 as bigint) as issued from held group by 1, 2",
     "snapshots": """
         select h.code, h.date, p.participant_id, p.participant_name, h.shares,
-               case when h.supplier % 17 = 0 then null else cast(floor((h.shares * 1000000 + floor(i.issued / 2)) / i.issued) as bigint) end as bps, i.issued
-        from held h join issued i on h.code = i.code and h.date = i.date join participants p on h.supplier = p.supplier""",
+               case when h.supplier % 17 = 0 then null else cast(floor((h.shares * 1000000 + floor(h.issued / 2)) / h.issued) as bigint) end as bps, h.issued
+        from (select code, date, supplier, shares, cast(sum(shares) over (partition by code, date) * 5 as bigint) as issued from held) h
+        join participants p on h.supplier = p.supplier""",
     "stock_meta": """
         select code, max(name) as name, max(issued) as issued_shares, max(date) as issued_shares_as_of
         from (select i.code, p.p_name as name, i.issued, i.date from issued i left join part p on lpad(cast(p.p_partkey as string), 5, '0') = i.code) x group by 1""",
@@ -73,20 +74,24 @@ VIEWS: dict[str, str] = {
 }
 
 
+def _words(text: str) -> set[str]:
+    return set(text.replace("\n", " ").replace("(", " ").replace(")", " ").split())
+
+
 def view_sql(name: str) -> str:
-    """SQL for DuckDB: `with` clauses of all views up to the named ones, to put before a select."""
+    """A view as one clause of a `with`."""
     return f"{name} as ({VIEWS[name].strip()})"
 
 
 def with_views(*names: str) -> str:
-    """A `with recursive`-free prefix that defines the named views and what they need."""
+    """The `with` clauses of the named views and of what they need, to put before a select."""
     need: set[str] = set()
 
     def add(n: str) -> None:
         if n in VIEWS and n not in need:
             need.add(n)
             for other in VIEWS:
-                if other != n and other in VIEWS[n].replace("\n", " ").replace("(", " ").split():
+                if other != n and other in _words(VIEWS[n]):
                     add(other)
 
     for n in names:
@@ -102,7 +107,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the tables of sf_dir; nothing is registered in the session."""
     text = VIEWS[name]
-    words = set(text.replace("\n", " ").replace("(", " ").split())
+    words = _words(text)
     used = {n: view(spark, sf_dir, n) for n in VIEWS if n in words and n != name and list(VIEWS).index(n) < list(VIEWS).index(name)}
     used |= {t: load(spark, sf_dir, t) for t in TABLES if t in words}
     for n in used:

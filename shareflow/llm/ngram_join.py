@@ -4,10 +4,12 @@
 2. The n-gram hashes of all nodes are counted. An n-gram of one node alone can't be shared, so it takes up the rarest
    places of the node's order without ever being moved; a node with too few shared n-grams has no partner at all.
 3. The others order their n-grams rare first; two nodes that reach the threshold share an n-gram of both prefixes.
-   Candidates pass a length, a positional and a suffix filter and are verified once per pair.
+   Candidates pass a length, a positional and a suffix filter and are verified once per pair. The suffix filter bounds
+   how far two sets differ by bitmaps: bit k of a set's map is the parity of its n-grams whose hash falls on k, so two
+   sets differ in at least as many n-grams as their maps do in bits.
 4. Only components are asked for, so inside a prefix n-gram's group first a few pivots meet all members. Members that
-   are in one component already need no comparison. When the pairs left over between components are no more than a small
-   multiple of the prefix rows, all of them are made; until then another round of pivots runs.
+   are in one component already need no comparison. When a round of pivots finds next to no links, or few pairs are left,
+   all pairs left between components are made, filtered inside the join.
 
 Links are exact for the hashed n-grams (64 bits); no pair is dropped for the size of its group.
 
@@ -34,11 +36,13 @@ N = 5
 #: Least similarity, in percent.
 PERCENT = 80
 #: Pivots of a group in one round; rounds after which all pairs left are made whatever their number.
-PIVOTS, MOST_ROUNDS = 4, 12
-#: All pairs between components are made when they are at most this many times the prefix rows.
-PAIRS_PER_ROW = 4
-#: Ranges of the hash over which the suffix filter compares counts.
-BINS = 32
+PIVOTS, MOST_ROUNDS = 4, 8
+#: Pivots are done with when a round's links are fewer than this share of its pairs.
+LEAST_YIELD = 0.01
+#: And when the pairs left between components are at most this many times the prefix rows, or so few in all.
+PAIRS_PER_ROW, FEW_PAIRS = 4, 50_000
+#: 64-bit words of a set's parity bitmap.
+WORDS = 4
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -175,6 +179,12 @@ def _picked(picks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.array(picks["numbers"][0].as_py()), np.array(picks["nodes"][0].as_py())
 
 
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """A bitmap of WORDS 64-bit words: bit k is the parity of the n-grams that fall on k."""
+    odd = np.bincount((grams >> 8) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def least_shared(size: np.ndarray, percent: int) -> np.ndarray:
     """The fewest n-grams that a set of this size must share with any partner."""
     return -(-size * percent // 100)
@@ -187,7 +197,7 @@ def _ordered(made: blocks.Blocks, chosen: DataFrame, totals: DataFrame, n: int,
     )
 
     def order(rows: pa.Table, given: pa.Table) -> pa.Table:
-        out = {"node": [], "size": [], "grams": [], "n_prefix": []}
+        out = {"node": [], "size": [], "grams": [], "n_prefix": [], "bits": []}
         picks = given.filter(given["bucket"].is_null()) if given.num_rows else given
         for row in rows.to_pylist() if picks.num_rows else []:
             numbers, nodes = _picked(picks)
@@ -210,92 +220,87 @@ def _ordered(made: blocks.Blocks, chosen: DataFrame, totals: DataFrame, n: int,
                 if able[number] and prefix > 0:
                     out["grams"].append(hashes[ends[number] - shared[number] : ends[number]])
                     out["n_prefix"].append(prefix)
+                    out["bits"].append(_parities(out["grams"][-1]))
                 else:
-                    out["grams"].append(None)
-                    out["n_prefix"].append(None)
-        types = {"node": pa.int64(), "size": pa.int32(), "grams": pa.list_(pa.int64()), "n_prefix": pa.int32()}
+                    for c in ("grams", "n_prefix", "bits"):
+                        out[c].append(None)
+        types = {"node": pa.int64(), "size": pa.int32(), "grams": pa.list_(pa.int64()), "n_prefix": pa.int32(), "bits": pa.list_(pa.int64())}
         return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 
-    ordered = made.rows.groupBy("block").cogroup(gathered.groupBy("block")).applyInArrow(order, "node long, size int, grams array<long>, n_prefix int")
+    ordered = made.rows.groupBy("block").cogroup(gathered.groupBy("block")).applyInArrow(order, "node long, size int, grams array<long>, n_prefix int, bits array<long>")
     return written(ordered, "ngram-nodes")
 
 
-def _bounds(percent: int) -> dict[str, Column]:
-    """Filters over a pair (size_a, pos_a, size_b, pos_b); the last needs both nodes' bins."""
-    need = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(percent) / F.lit(100 + percent))
-    before = F.least("pos_a", "pos_b") + 1
-    after = F.least(F.col("size_a") - F.col("pos_a") - 1, F.col("size_b") - F.col("pos_b") - 1)
-    common = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return {
-        "length": F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent,
-        "positional": before + after >= need,
-        "suffix": common >= need,
-    }
+#: What a prefix row says of its node: size of the set, n-grams shared with any other node, place among those, bitmap.
+MEMBER = ["node", "size", "shared", "pos", "root", *(f"bits{k}" for k in range(WORDS))]
+
+
+def _other(column: str) -> str:
+    return "other" if column == "node" else f"other_{column}"
 
 
-def _side(nodes: DataFrame, side: str, *columns: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+def _may_link(percent: int) -> Column:
+    """Length, positional and suffix filter over a prefix n-gram's row and another of its rows (other_ columns)."""
+    sizes = F.col("size") + F.col("other_size")
+    need = F.ceil(sizes * F.lit(percent) / F.lit(100 + percent))
+    length = (F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * percent) & (F.least("shared", "other_shared") >= need)
+    after = F.least(F.col("shared") - F.col("pos"), F.col("other_shared") - F.col("other_pos"))
+    positional = F.least("pos", "other_pos") + after >= need
+    apart = sum((F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"other_bits{k}"))) for k in range(WORDS)), F.lit(0))
+    suffix = F.col("shared") + F.col("other_shared") - apart >= need * 2
+    return length & positional & suffix
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b, size_a, size_b) with `linked`: the suffix filter by bins, then the intersection of the n-gram sets."""
-    near = pairs.join(_side(nodes, "a", "bins"), "a").join(_side(nodes, "b", "bins"), "b")
-    near = near.filter(_bounds(percent)["suffix"]).drop("bins_a", "bins_b")
-    full = near.join(_side(nodes, "a", "grams"), "a").join(_side(nodes, "b", "grams"), "b")
+    """The pairs (a, b, size_a, size_b) whose n-gram sets reach the similarity."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("grams_a", "grams_b"))
     return full.filter(common * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent).select("a", "b")
 
 
-def _pairs(joined: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs with a < b of rows that hold one member (node, size, pos) and another (other, other_size, other_pos)."""
-    first = F.col("node") < F.col("other")
-    ordered = joined.select(
-        *(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "other", "a"), ("size", "other_size", "size_a"), ("pos", "other_pos", "pos_a"), ("other", "node", "b"), ("other_size", "size", "size_b"), ("other_pos", "pos", "pos_b")))
-    )
-    bounds = _bounds(percent)
-    return ordered.filter(bounds["length"] & bounds["positional"]).select("a", "b", "size_a", "size_b").distinct()
-
-
 def _linked(nodes: DataFrame, percent: int) -> DataFrame:
     """node and root of the nodes that links connect to a lesser node."""
     spark: SparkSession = nodes.sparkSession
-    single = F.col("size") - F.size("grams")
-    prefix = nodes.select("node", "size", single.alias("single"), F.posexplode(F.slice("grams", F.lit(1), F.col("n_prefix"))).alias("at", "gram"))
-    prefix = prefix.select("node", "size", "gram", (F.col("at") + F.col("single")).alias("pos"))
+    known = ["node", "size", F.size("grams").alias("shared"), *(F.col("bits")[k].alias(f"bits{k}") for k in range(WORDS))]
+    prefix = nodes.select(*known, F.posexplode(F.slice("grams", F.lit(1), F.col("n_prefix"))).alias("pos", "gram"))
     met = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     prefix = written(prefix.join(met, "gram"), "ngram-prefix")
-    n_rows = prefix.count()
     roots = spark.createDataFrame([], "node long, root long")
     seen = spark.createDataFrame([], "a long, b long")
+    last = False
     for k in range(MOST_ROUNDS + 1):
-        rows = written(prefix.join(roots, "node", "left").select("gram", "node", "size", "pos", F.coalesce("root", "node").alias("root")), "ngram-rows") if k else prefix.withColumn("root", F.col("node"))
+        rows = prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if k else prefix.withColumn("root", F.col("node"))
+        rows = written(rows, "ngram-rows") if k else rows
         squares = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left = squares.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0)).alias("pairs")).first()["pairs"]
-        last = left <= PAIRS_PER_ROW * n_rows or k == MOST_ROUNDS
-        if not left:
+        sums = squares.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0)).alias("pairs")).first()
+        if not sums["pairs"]:
             break
-        other = [F.col(c).alias(f"other_{c}" if c != "node" else "other") for c in ("node", "size", "pos", "root")]
+        last = last or k == MOST_ROUNDS or sums["pairs"] <= max(FEW_PAIRS, PAIRS_PER_ROW * sums["rows"] if k else 0)
         if last:
-            meet = rows.join(rows.select("gram", *other), "gram").filter("root <> other_root and node < other")
+            meet = rows.join(rows.select("gram", *(F.col(c).alias(_other(c)) for c in MEMBER)), "gram").filter("root <> other_root and node < other")
         else:
-            member = F.struct(*(F.col(c) for c in ("node", "size", "pos", "root")))
             # the first pivot of the first round is the least node: its links need no further step to their root
             rank = [F.xxhash64("node", F.lit(k * PIVOTS + i)) if k or i else F.col("node") for i in range(PIVOTS)]
+            member = F.struct(*MEMBER)
             pivots = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), *(F.min_by(member, r).alias(f"p{i}") for i, r in enumerate(rank)))
             pivots = pivots.filter("low < high").select("gram", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p"))
-            pivots = pivots.select("gram", F.col("p.node").alias("other"), F.col("p.size").alias("other_size"), F.col("p.pos").alias("other_pos"), F.col("p.root").alias("other_root"))
-            meet = rows.join(pivots, "gram").filter("root <> other_root")
-        pairs = _pairs(meet, percent)
+            meet = rows.join(pivots.select("gram", *(F.col(f"p.{c}").alias(_other(c)) for c in MEMBER)), "gram").filter("root <> other_root")
+        first = F.col("node") < F.col("other")
+        ends = (("node", "other", "a"), ("size", "other_size", "size_a"), ("other", "node", "b"), ("other_size", "size", "size_b"))
+        pairs = meet.filter(_may_link(percent)).select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in ends)).distinct()
         pairs = written(pairs.join(seen, ["a", "b"], "left_anti") if k else pairs, "ngram-pairs")
-        links = _verified(pairs, nodes, percent)
-        of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-        new = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v")) if k else links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        # a root with its members is a star already: together with the new links it is all that connects
-        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = components(new.unionByName(known) if k else new)
+        links = written(_verified(pairs, nodes, percent), "ngram-links")
+        n_pairs, n_links = pairs.count(), links.count()
+        if n_links:
+            of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+            new = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v")) if k else links.toDF("u", "v")
+            # a root with its members is a star already: with the new links it is all that connects
+            roots = components(new.unionByName(roots.toDF("u", "v")) if k else new)
         if last:
             break
         seen = seen.unionByName(pairs.select("a", "b"))
+        last = n_links <= LEAST_YIELD * n_pairs
     return roots
 
 
@@ -309,9 +314,7 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     # a block's documents are bounded by the block
     chosen = written(chosen.select("block", "picks.number", "picks.node").toDF("block", "numbers", "nodes"), "ngram-chosen")
     nodes = _ordered(made, chosen, _counted(made, chosen, n), n, percent)
-    bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.size(F.filter("grams", lambda g: F.pmod(g, F.lit(BINS)) == b)))
-    able = written(nodes.filter("grams is not null").withColumn("bins", bins), "ngram-able")
-    roots = _linked(able, percent)
+    roots = _linked(nodes.filter("grams is not null"), percent)
     placed = documents.join(nodes.select("node", "size"), "node", "left").join(roots, "node", "left")
     placed = placed.select("doc_id", F.coalesce("size", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -37,7 +37,7 @@ N = 5
 PERCENT = 80
 #: Pivots of a group in one round; rounds after which all pairs left are made whatever their number.
 PIVOTS, MOST_ROUNDS = 4, 8
-#: Pivots are done with when a round's links are fewer than this share of its pairs.
+#: Pivots are done with when a round has found fewer links than this share of the prefix rows.
 LEAST_YIELD = 0.01
 #: And when the pairs left between components are at most this many times the prefix rows, or so few in all.
 PAIRS_PER_ROW, FEW_PAIRS = 4, 50_000
@@ -291,7 +291,7 @@ def _linked(nodes: DataFrame, percent: int) -> DataFrame:
         pairs = meet.filter(_may_link(percent)).select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in ends)).distinct()
         pairs = written(pairs.join(seen, ["a", "b"], "left_anti") if k else pairs, "ngram-pairs")
         links = written(_verified(pairs, nodes, percent), "ngram-links")
-        n_pairs, n_links = pairs.count(), links.count()
+        n_links = links.count()
         if n_links:
             of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
             new = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v")) if k else links.toDF("u", "v")
@@ -300,7 +300,7 @@ def _linked(nodes: DataFrame, percent: int) -> DataFrame:
         if last:
             break
         seen = seen.unionByName(pairs.select("a", "b"))
-        last = n_links <= LEAST_YIELD * n_pairs
+        last = n_links <= LEAST_YIELD * sums["rows"]
     return roots
 
 

@@ -1,10 +1,12 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences; an ordered rule of a
-licence matches where all its sentences follow one another without a gap. A match that lies within a longer match of the
-same document is dropped.
+A text is cut into sentences and each is normalised; an ordered rule of a licence matches where sentences that follow one
+another without a gap hold the rule's words and nothing else. Cuts inside the rule's words don't matter: hard-wrapped
+lines, "v. 2.0" or "WARRANTY; without" split a text where a rule doesn't, and the rule matches all the same. A match that
+lies within a longer match of the same document is dropped.
 
 - null or empty text has no sentences; sentences without a letter or digit don't count and leave no gap;
+- a sentence that is a list number ("1.") leaves no gap either, but counts in first_sentence and n_sentences;
 - a document without a match gives no row; repeated rows of one doc_id and text give one set of matches;
 - an empty table gives an empty result; columns besides doc_id and text are ignored.
 """
@@ -84,14 +86,44 @@ def sentences(text: Column) -> Column:
     return F.array_remove(plain, "")
 
 
+def _matches(kept: Column, rule: Column, n_words: Column) -> Column:
+    """Array of (first_sentence, n_sentences): where sentences of `kept` (an array of no, s) hold the rule's words and no other."""
+
+    def at(k: Column) -> Column:
+        # a sentence has a word at least, so a match takes n_words sentences at most
+        run = F.slice(kept, k, n_words)
+        text = F.array_join(F.transform(run, lambda x: x["s"]), "\n")
+        head = F.substr(text, F.lit(1), F.length(rule))
+        whole = (F.translate(head, "\n", " ") == rule) & F.substr(text, F.length(rule) + 1, F.lit(1)).isin("", "\n")
+        last = F.length(head) - F.length(F.translate(head, "\n", ""))
+        return F.when(whole, F.struct(run[0]["no"].alias("first_sentence"), (run[last]["no"] - run[0]["no"] + 1).alias("n_sentences")))
+
+    starts = F.filter(F.transform(kept, lambda x, k: F.when(F.startswith(rule, x["s"]), k + 1)), lambda k: k.isNotNull())
+    return F.array_compact(F.transform(starts, at))
+
+
 def license_scan(docs: DataFrame, rules: list[tuple[str, int, str, int, int]] | None = None) -> DataFrame:
-    """doc_id, license, rule_id, first_sentence, n_sentences: a row per match. The rules are the library's own fixed table."""
+    """doc_id, license, rule_id, first_sentence, n_sentences: a row per match. The rules are the library's own fixed table.
+
+    n_sentences counts the document's sentences, which are more than the rule's where lines are wrapped.
+    """
     spark: SparkSession = docs.sparkSession
-    steps = spark.createDataFrame(rules or rule_steps(), "license string, rule_id int, sentence string, place int, n_sentences int")
-    cut = docs.select("doc_id", F.posexplode(sentences(text_or_empty())).alias("sentence_no", "sentence"))
+    texts: dict[tuple[str, int], list[str]] = {}
+    for licence, rule_id, sentence, _, _ in sorted(rules or rule_steps(), key=lambda x: (x[1], x[3])):
+        texts.setdefault((licence, rule_id), []).append(sentence)
+    whole = [(licence, rule_id, " ".join(s)) for (licence, rule_id), s in texts.items()]
+    table = spark.createDataFrame([(*x, x[2].count(" ") + 1) for x in whole], "license string, rule_id int, rule string, n_words int")
+    numbered = F.transform(sentences(text_or_empty()), lambda x, k: F.struct(k.alias("no"), x.alias("s")))
+    cut = docs.select("doc_id", numbered.alias("all"))
+    # a number on a line of its own may be a list's or, where the line was wrapped, the rule's: both readings are tried
+    unlisted = F.filter("all", lambda x: ~x["s"].rlike("^[0-9]{1,3}$"))
+    texts_read = F.array_distinct(F.transform(F.array("all", unlisted), lambda a: F.array_join(F.transform(a, lambda x: x["s"]), " ")))
+    # the text is a variable of a lambda, so that it is put together once and not for each rule
+    held = F.transform(texts_read, lambda t: F.array_compact(F.array(*(F.when(F.contains(t, F.lit(rule)), F.lit(rule_id)) for _, rule_id, rule in whole))))
+    candidates = cut.select("doc_id", "all", unlisted.alias("unlisted"), F.explode(F.array_distinct(F.flatten(held))).alias("rule_id"))
     # the rule table is fixed by its author, a few kilobytes, whatever the corpus
-    hits = cut.join(F.broadcast(steps), "sentence").withColumn("first_sentence", F.col("sentence_no") - F.col("place"))
-    runs = hits.groupBy("doc_id", "license", "rule_id", "first_sentence", "n_sentences").agg(F.countDistinct("place").alias("found")).filter("found = n_sentences").drop("found")
+    places = F.concat(*(_matches(F.col(x), F.col("rule"), F.col("n_words")) for x in ("all", "unlisted")))
+    runs = candidates.join(F.broadcast(table), "rule_id").select("doc_id", "license", "rule_id", F.inline(places)).distinct()
     wide = runs.select("doc_id", F.col("first_sentence").alias("wide_first"), F.col("n_sentences").alias("wide_n"))
     within = (F.col("wide_n") > F.col("n_sentences")) & (F.col("first_sentence") >= F.col("wide_first")) & (F.col("first_sentence") + F.col("n_sentences") <= F.col("wide_first") + F.col("wide_n"))
     # rules of one sentence can't hold another match

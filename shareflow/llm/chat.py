@@ -4,8 +4,10 @@ A template is any function from a list of (role, text) turns to one string. It i
 conversation; when each output begins with the one before, what a prefix adds is the span of its last turn. A template
 for which that fails rewrites history: the first turn at which it did so is reported and spans from there on are null.
 
-Long conversations are cut into segments of SEGMENT_TURNS turn numbers, each rendered on its own, so the work per row
-stays bounded; segments are put together again in order by a streaming pass that holds one segment at a time.
+What a turn adds may depend on all turns before it, so a conversation is rendered whole, in one task. A template may declare
+`context`, the number of turns before a turn that its span depends on at most: then long conversations are cut into segments
+of SEGMENT_TURNS turns, each rendered after the context before it, so the work per row stays bounded. Either way the segments,
+put together in order, are the template's output for all turns; a declared template found to rewrite history is an error.
 
 - null text counts as empty, null role as "user"; turns are in order of turn (nulls first), ties by role and text;
 - repeated rows are repeated turns; conversations with a null conv_id are one conversation; no rows give no rows;
@@ -16,11 +18,12 @@ stays bounded; segments are put together again in order by a streaming pass that
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT_TURNS = 256
@@ -50,6 +53,10 @@ def turn_template(turns: list[Turn]) -> str:
     return "".join(f"<|turn|>{escape(role).replace(chr(10), chr(92) + chr(10))}\n{escape(text)}<|end|>\n" for role, text in turns)
 
 
+#: A turn is written the same whatever is before it; a template that writes a mark at the very beginning would declare 1.
+turn_template.context = 0
+
+
 def turn_spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int] | None], int | None]:
     """The rendering of all turns, the span of each in it, and the number of the turn that rewrote history."""
     before, spans, rewritten = "", [], None
@@ -79,32 +86,78 @@ def read_turn(piece: str) -> tuple[str, str, int, int]:
     return unescape(m[1]), unescape(m[2]), m.start(2), m.end(2)
 
 
+def around_text(turns: list[Turn], role: str, template: Template, before: str = "") -> tuple[str, str]:
+    """What the template writes before and after the text of a turn of `role` that follows `turns`, rendered as `before`.
+
+    That is what its outputs for two texts without a common beginning or end have in common.
+    """
+    one, two = (template([*turns, (role, x)]) for x in ("a", "b"))
+    if not (one.startswith(before) and two.startswith(before)):
+        raise ValueError(f"the template's output before a turn of {role!r} depends on that turn's text")
+    one, two = one[len(before) :], two[len(before) :]
+    head = len(os.path.commonprefix([one, two]))
+    tail = len(os.path.commonprefix([one[head:][::-1], two[head:][::-1]]))
+    return one[:head], one[len(one) - tail :]
+
+
 FORMATTED = "conv_id long, segment long, formatted string, n_turns long, roles array<string>, starts array<long>, ends array<long>, loss_starts array<long>, loss_ends array<long>, rewritten_at long"
 
 
 def format_segments(conversations: DataFrame, template: Template = turn_template, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """A row per segment of a conversation: its formatted text, each turn's span in it, and the spans under the loss mask.
 
-    Spans are in code points of `formatted`. The loss mask needs turns that read_turn() can read; turns of a template that
-    rewrites history have null spans and are left out of it.
+    Spans are in code points of `formatted`; rewritten_at counts from the conversation's first turn. Turns of a template that
+    rewrites history have null spans and are left out of the loss mask. A template without `context` has one segment.
     """
+    context = getattr(template, "context", None)
+    if context is not None and not 0 <= context <= SEGMENT_TURNS:
+        raise ValueError(f"a template's context is at most {SEGMENT_TURNS} turns")
 
     def one(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("turn", "ascending"), ("role", "ascending"), ("text", "ascending")]) if rows["turn"].null_count == 0 else rows.take(pa.array(_order(rows)))
+        rows = rows.sort_by("place") if context is not None else rows.take(pa.array(_order(rows)))
+        segment = rows["segment"][0].as_py()
+        first = 0 if context is None else segment * SEGMENT_TURNS
+        n_before = 0 if context is None else sum(x < first for x in rows["place"].to_pylist())
+        if n_before == len(rows):
+            # all context: the conversation ended with the segment before
+            return _SCHEMA.empty_table()
         turns = list(zip(rows["role"].to_pylist(), rows["text"].to_pylist(), strict=True))
         whole, spans, rewritten = turn_spans(turns, template)
-        loss = [(s + at[2], s + at[3]) for s, e in (x for x in spans if x) for at in [read_turn(whole[s:e])] if at[0] in loss_roles]
+        if context is not None and rewritten is not None:
+            raise ValueError(f"a template that declares a context rewrites history at turn {first + rewritten - n_before}")
+        if context is not None and len(turns) > context + 1:
+            # what follows the context must be the same without the first turn
+            skipped = len(template(turns[1 : context + 1])) if context else 0
+            if template(turns[1:])[skipped:] != whole[spans[context][1] :]:
+                raise ValueError(f"the template's output depends on more turns than the {context} that it declares")
+        heads: dict[str, tuple[str, str]] = {}
+        loss = []
+        for k in range(n_before, len(turns)):
+            role = turns[k][0]
+            if role not in loss_roles or not spans[k] or spans[k][0] == spans[k][1]:
+                continue
+            start, end = spans[k]
+            if context == 0:
+                head, tail = heads[role] = heads.get(role) or around_text([], role, template)
+            else:
+                head, tail = around_text(turns[:k], role, template, whole[:start])
+            piece = whole[start:end]
+            if len(head) + len(tail) > len(piece) or not (piece.startswith(head) and piece.endswith(tail)):
+                raise ValueError(f"the template writes otherwise around this text than around others: {piece[:80]!r}")
+            loss.append((start + len(head), end - len(tail)))
+        base = spans[n_before - 1][1] if n_before else 0
+        spans = spans[n_before:]
         return pa.table(
             {
                 "conv_id": rows["conv_id"][:1],
-                "segment": rows["segment"][:1],
-                "formatted": [whole],
-                "n_turns": [len(turns)],
-                "roles": [[r for r, _ in turns]],
-                "starts": [[s and s[0] for s in spans]],
-                "ends": [[s and s[1] for s in spans]],
-                "loss_starts": [[s for s, _ in loss]],
-                "loss_ends": [[e for _, e in loss]],
+                "segment": [segment],
+                "formatted": [whole[base:]],
+                "n_turns": [len(spans)],
+                "roles": [[r for r, _ in turns[n_before:]]],
+                "starts": [[s and s[0] - base for s in spans]],
+                "ends": [[s and s[1] - base for s in spans]],
+                "loss_starts": [[s - base for s, _ in loss]],
+                "loss_ends": [[e - base for _, e in loss]],
                 "rewritten_at": [rewritten],
             },
             schema=_SCHEMA,
@@ -115,9 +168,15 @@ def format_segments(conversations: DataFrame, template: Template = turn_template
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("user")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS).cast("long"), F.lit(-(2**62))).alias("segment"),
     )
-    return clean.groupBy("conv_id", "segment").applyInArrow(one, FORMATTED)
+    if context is None:
+        placed = clean.withColumn("segment", F.lit(0).cast("long"))
+    else:
+        placed = clean.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")).cast("long") - 1)
+        # a segment's last turns are the next one's context too
+        segment = lambda place: F.floor(place / SEGMENT_TURNS).cast("long")
+        placed = placed.withColumn("segment", F.explode(F.sequence(segment(F.col("place")), segment(F.col("place") + context))) if context else segment(F.col("place")))
+    return placed.groupBy("conv_id", "segment").applyInArrow(one, FORMATTED)
 
 
 _SCHEMA = pa.schema(
@@ -137,7 +196,10 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 def digests(segments: DataFrame) -> DataFrame:
-    """Per conversation, what reading the formatted text back gives: digests of its turns and of its text under the loss mask."""
+    """Per conversation, what reading the formatted text back gives: digests of its turns and of its text under the loss mask.
+
+    The template is one that read_turn() reads.
+    """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None

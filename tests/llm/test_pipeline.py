@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline as pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -55,3 +57,46 @@ def test_mix_of_null_shared_and_blank_rows(spark):
     again = plain(pipeline.mix_sources(spark, frame(spark, rows + rows), ""))
     assert again == got
     assert pipeline.mix_sources(spark, frame(spark, []), "").count() == 0
+
+
+def test_copies_of_null_and_repeated_rows(spark):
+    rows = [(4, "same text"), (2, "same text"), (2, "same text"), (None, "same text"), (None, "other"), (None, "other"), (9, "last")]
+    got = plain(pipeline.drop_copies(spark, frame(spark, [(*r, "s") for r in rows]), ""))
+    assert got == Counter([(2, "same text"), (None, "other"), (9, "last")])
+    assert pipeline.drop_copies(spark, frame(spark, []), "").count() == 0
+
+
+@pytest.fixture
+def sf_dir(spark, tmp_path):
+    rows = [(k, text(k) + (" vile viler vilest" if k % 5 == 0 else ""), "ab"[k % 2]) for k in range(200)]
+    rows += [(None, text(1), "a"), (None, text(777), "b"), (300, text(3) + " tail", "b"), (301, None, "a"), (302, " ", "b"), rows[1], (3, text(778), "a")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_toxic_documents_go_and_the_rest_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = plain(pipeline.drop_toxic(spark, docs, sf_dir))
+    assert got == Counter({k: n for k, n in plain(docs).items() if "vilest" not in (k[1] or "")})
+
+
+def test_run_is_its_stages_and_ends_with_ids(spark, sf_dir):
+    import public_tokenizers
+    import tiktoken
+
+    from shareflow.llm import bpe
+
+    ranks = bpe.read_ranks(public_tokenizers.path(pipeline.VOCABULARY))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.written(stage(spark, docs, sf_dir), "test-pipeline")
+    got = Counter((r.doc_id, r.n_tokens, tuple(r.ids)) for r in pipeline.run(spark, sf_dir).collect())
+    want = Counter()
+    for (i, t), n in plain(docs).items():
+        ids = tuple(enc.encode_ordinary(t))
+        want[i, len(ids), ids] += n
+    assert got == want and got
+    texts = {t for _, t in plain(docs)}
+    assert not any("vilest" in t for t in texts) and text(3) + " tail" not in texts

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -194,12 +195,55 @@ def test_toxicity_chain_on_held_out_text(spark):
     labels += [(9999, 1, 1), (None, 1, 1), (0, None, None)]
     df = docs(spark, [*rows, (700, None), (701, ""), (None, rows[0][1])])
     label_frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    models = toxicity.train(df, label_frame)
-    got = {r.doc_id: r for r in toxicity.score(df, models).collect()}
+    chain = toxicity.train(df, label_frame)
+    got = {r.doc_id: r for r in toxicity.score(df, chain).collect()}
     assert len(got) == 603
     fresh = [got[k].rejected == (k % 5 == 0) for k in range(400, 600)]
     assert sum(fresh) >= 196 and not got[700].rejected and not got[701].rejected and got[None].rejected
     assert sum((got[k].p_low_quality > 0.5) == (k % 7 == 1) for k in range(400, 600)) >= 190
-    assert len(models[1].chain) == 1
+    assert len(chain.models[1].chain) == 1
     nothing = toxicity.train(df, label_frame.limit(0))
     assert toxicity.score(df.limit(0), nothing).count() == 0 and len({r.p_toxic for r in toxicity.score(df, nothing).collect()}) == 1
+
+
+def test_toxicity_fit_against_newtons_method():
+    rng = np.random.default_rng(1)
+    dense, chain = rng.poisson(0.3, (80, 12)).astype(float), rng.normal(size=(80, 1))
+    y = (dense[:, 0] + chain[:, 0] > 0.5).astype(float)
+    rows = rng.random(80) < 0.8
+    w, v, intercept = toxicity.fit(dense.astype(np.float32), chain, y, rows)
+    x, t = np.column_stack([dense, chain / 4, np.ones(80)])[rows], y[rows]
+    penalty, b = np.diag([toxicity.PENALTY] * 13 + [0.0]), np.zeros(14)
+    for _ in range(50):  # Newton's method
+        p = 1 / (1 + np.exp(-x @ b))
+        b -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (p - t) + penalty @ b)
+    assert np.allclose([*w, *(v * 4), intercept], b, atol=0.02)
+
+
+def test_toxicity_selection_against_counts(spark):
+    rng = random.Random(8)
+    words = [chr(97 + k) * 3 for k in range(12)]
+    texts = [(k, " ".join(rng.sample(words[:6] if k % 2 else words[3:], 4))) for k in range(60)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    sample = toxicity._sample(docs(spark, [*texts, (0, "~later")]), labels, toxicity.CATEGORIES)
+    kept = toxicity._selected(sample, 2)
+    assert sample.count() == 60 and all(k == 1 for k, _ in kept)
+    fold = {r.id: r.fold for r in sample.collect()}
+    for left_out in range(toxicity.FOLDS + 1):
+        rows = [(set(t.split()), k % 2) for k, t in texts if fold[k] != left_out]
+        n, pos, want = len(rows), sum(y for _, y in rows), []
+        for w in words:
+            has, hit = sum(w in t for t, _ in rows), sum(y for t, y in rows if w in t)
+            chi2 = (hit - has * pos / n) ** 2 / (has * pos / n * (1 - pos / n) * (1 - has / (n + 1)) + 1e-9) if has else 0
+            if has >= toxicity.LEAST_ROWS and chi2 >= toxicity.LEAST_CHI2:
+                want.append(w)
+        import pyarrow as pa
+
+        hashes = toxicity.word_features(pa.array(want))[0] if want else []
+        assert sorted(hashes) == list(kept.get((1, left_out), []))
+
+
+def test_cut_of_best_f1():
+    assert toxicity.best_cut(np.array([3.0, 2.0, -1.0, -2.0]), np.array([1.0, 1.0, 0.0, 0.0])) == 0.5
+    assert toxicity.best_cut(np.array([1.0, 1.0, 0.0]), np.array([1.0, 0.0, 0.0])) == 0.5
+    assert toxicity.best_cut(np.array([]), np.array([])) == 0.0 and toxicity.best_cut(np.array([1.0]), np.array([1.0])) == 0.0

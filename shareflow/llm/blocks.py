@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shareflow.llm.common import shared_dir, shuffle_partitions
 
-#: Tokens after which a block ends; a longer document is a block of its own.
+#: Tokens after which a block ends, where an empty document counts as one; a longer document is a block of its own.
 BLOCK_TOKENS = 1_500_000
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
@@ -156,7 +156,7 @@ def build(docs: DataFrame, tokens: Column, marked: Column | None = None, lower:
             begin = 0
             while begin < len(size):
                 # as many documents as fit, one at least when the block is empty
-                room = np.searchsorted(np.cumsum(size[begin:]), block_tokens - held, side="right")
+                room = np.searchsorted(np.cumsum(np.maximum(size[begin:], 1)), block_tokens - held, side="right")
                 end = begin + max(int(room), 0 if held else 1)
                 if end > begin:
                     part = lists.slice(begin, end - begin)
@@ -164,7 +164,7 @@ def build(docs: DataFrame, tokens: Column, marked: Column | None = None, lower:
                     flags.append(batch.column("marked").slice(begin, end - begin))
                     lengths.append(size[begin:end])
                     flat.append(part.flatten())
-                    held += int(size[begin:end].sum())
+                    held += int(np.maximum(size[begin:end], 1).sum())
                     begin = end
                 if begin < len(size):
                     yield pa.RecordBatch.from_pydict(_emit(ids, flags, lengths, flat, number, buckets, lower, hashed), schema=out)

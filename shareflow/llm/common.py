@@ -46,5 +46,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more than this share of all rows.
+HOT_SHARE = 1e-3
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of rows with groups, which has a row per distinct key and its number of rows, n_rows (dropped).
+
+    Hot keys are broadcast, so their rows stay where they are: at most 1 / HOT_SHARE keys can be hot, whatever the data.
+    """
+    groups = written(groups, "groups")
+    least = (groups.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]) * HOT_SHARE
+    hot = groups.filter(F.col("n_rows") > max(least, 1.0)).drop("n_rows")
+    # left_anti keeps rows with a null key
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col("n_rows") <= max(least, 1.0)).drop("n_rows"), keys, "left")
+    return others.unionByName(rows.join(F.broadcast(hot), keys).select(*others.columns))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

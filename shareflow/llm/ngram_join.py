@@ -1,17 +1,19 @@
 """Near-duplicate documents by an exact Jaccard join of word n-gram sets.
 
-1. Documents become dictionary blocks of word codes. Equal word sequences are one node; its smallest place represents it.
+1. Documents become dictionary blocks of word codes. Equal word sequences are one node, the place of its first document.
 2. The n-gram hashes of all nodes are counted. An n-gram of one node alone can't be shared, so it takes up the rarest
    places of the node's order without ever being moved; a node with too few shared n-grams has no partner at all.
 3. The others order their n-grams rare first; two nodes that reach the threshold share an n-gram of both prefixes.
-   Candidates pass a length, a positional and a suffix filter and are verified once per pair. The suffix filter bounds
-   how far two sets differ by bitmaps: bit k of a set's map is the parity of its n-grams whose hash falls on k, so two
-   sets differ in at least as many n-grams as their maps do in bits.
-4. Only components are asked for, so inside a prefix n-gram's group first a few pivots meet all members. Members that
-   are in one component already need no comparison. When a round of pivots finds next to no links, or few pairs are left,
-   all pairs left between components are made, filtered inside the join.
+   At the first one they share, all that they share is there and behind it. So a row of a prefix n-gram holds how many
+   n-grams are left from there on (positional filter) and a bitmap of those behind (suffix filter): bit k is the parity of
+   the n-grams whose hash falls on k, so two suffixes differ in at least as many n-grams as their bitmaps do in bits.
+4. Only components are asked for, so the rows of a prefix n-gram meet in turns: in each turn some of them, drawn by a hash
+   of the node, meet all that haven't had their turn and belong to another component. A turn has GROWTH times the rows of
+   those before it; the number of turns grows with the logarithm of the largest group, and none is left out. Filters are
+   part of the join. A group of many rows is cut into parts, each of which meets the rows whose turn it is.
+5. Pairs that pass are verified once each, on their n-grams.
 
-Links are exact for the hashed n-grams (64 bits); no pair is dropped for the size of its group.
+Links are exact for the hashed n-grams (64 bits) and word sequences (128 bits); no pair is dropped for the size of its group.
 
 - words are runs of non white space, A-Z lower-cased; a text of fewer than N words is one n-gram of all its words;
 - null, empty and blank texts have no n-grams (n_shingles 0) and are linked with nothing;
@@ -29,19 +31,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shareflow.llm import blocks
-from shareflow.llm.common import text_or_empty, words, written
+from shareflow.llm.common import join_groups, text_or_empty, words, written
 from shareflow.llm.components import components
 
 N = 5
 #: Least similarity, in percent.
 PERCENT = 80
-#: Pivots of a group in one round; rounds after which all pairs left are made whatever their number.
-PIVOTS, MOST_ROUNDS = 4, 8
-#: Pivots are done with when a round has found fewer links than this share of the prefix rows.
-LEAST_YIELD = 0.01
-#: And when the pairs left between components are at most this many times the prefix rows, or so few in all.
-PAIRS_PER_ROW, FEW_PAIRS = 4, 50_000
-#: 64-bit words of a set's parity bitmap.
+#: Rows of a group that have the first turn, and by what the rows up to a turn grow from each to the next.
+FIRST_TURN, GROWTH = 8, 8
+#: Rows of a group that one part of it holds.
+PART_ROWS = 4096
+#: 64-bit words of a suffix's parity bitmap.
 WORDS = 4
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -65,15 +65,18 @@ def _stream(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row["hashes"], "<u8")[place] if len(place) else np.empty(0, np.uint64), size
 
 
-def _signatures(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each document's word sequence, and its number of words."""
+def _signatures(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each document's word sequence, and its number of words."""
     h, size = _stream(row)
     begins, full = np.cumsum(size) - size, size > 0
     at = np.arange(len(h), dtype=np.uint64) - np.repeat(begins, size).astype(np.uint64)
-    out = np.zeros(len(size), np.uint64)
-    if full.any():
-        out[full] = np.add.reduceat(_mix(h + _mix(at * _PRIME + np.uint64(1))), begins[full])
-    return _mix(out + size.astype(np.uint64) * _PRIME), size
+    out = []
+    for seed in (np.uint64(1), np.uint64(2)):
+        one = np.zeros(len(size), np.uint64)
+        if full.any():
+            one[full] = np.add.reduceat(_mix(h + _mix(at * _PRIME + seed)), begins[full])
+        out.append(_mix(one + size.astype(np.uint64) * _PRIME + seed))
+    return *out, size
 
 
 def _grams(row: dict, chosen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,23 +128,44 @@ def _bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(keys, np.array(edges, np.uint64))
 
 
+#: A node's number is its first document's place: partition, block of the partition and document of the block.
+PLACE_BITS = 21
+
+
+def _place(block: int, n: int) -> np.ndarray:
+    partition, of_partition = block >> 32, block & (1 << 32) - 1
+    if max(partition, of_partition, n - 1) >> PLACE_BITS:
+        raise ValueError(f"block {block} of {n} documents has no place number")
+    return (partition << 2 * PLACE_BITS | of_partition << PLACE_BITS) + np.arange(n)
+
+
 def _documents(made: blocks.Blocks, id_type: str) -> DataFrame:
-    """A row per document: doc_id, block, its number in the block, node (null without words)."""
+    """A row per document: doc_id, place, high and low half of its word sequence's hash (null without words)."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sign, size = _signatures(row)
+                high, low, size = _signatures(row)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(row["ids"], batch.schema.field("ids").type.value_type),
-                        "block": np.full(len(size), row["block"]),
-                        "number": np.arange(len(size), dtype=np.int32),
-                        "node": pa.array(sign.view(np.int64), pa.int64(), mask=size == 0),
+                        "place": _place(row["block"], len(size)),
+                        "high": pa.array(high.view(np.int64), pa.int64(), mask=size == 0),
+                        "low": pa.array(low.view(np.int64), pa.int64(), mask=size == 0),
                     }
                 )
 
-    return written(made.rows.mapInArrow(one, f"doc_id {id_type}, block long, number int, node long"), "ngram-documents")
+    return written(made.rows.mapInArrow(one, f"doc_id {id_type}, place long, high long, low long"), "ngram-documents")
+
+
+def _chosen(texts: DataFrame) -> DataFrame:
+    """For each block the numbers of its documents that are nodes, in order, and the nodes."""
+    part = (1 << PLACE_BITS) - 1
+    block = F.shiftleft(F.shiftright("node", 2 * PLACE_BITS), 32).bitwiseOR(F.shiftright("node", PLACE_BITS).bitwiseAND(F.lit(part).cast("long")))
+    at = texts.select(block.alias("block"), F.struct(F.col("node").bitwiseAND(F.lit(part).cast("long")).cast("int").alias("number"), "node").alias("at"))
+    # a block's documents are bounded by the block
+    picks = at.groupBy("block").agg(F.sort_array(F.collect_list("at")).alias("picks"))
+    return written(picks.select("block", "picks.number", "picks.node").toDF("block", "numbers", "nodes"), "ngram-chosen")
 
 
 def _counted(made: blocks.Blocks, chosen: DataFrame, n: int) -> DataFrame:
@@ -179,10 +203,13 @@ def _picked(picks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.array(picks["numbers"][0].as_py()), np.array(picks["nodes"][0].as_py())
 
 
-def _parities(grams: np.ndarray) -> np.ndarray:
-    """A bitmap of WORDS 64-bit words: bit k is the parity of the n-grams that fall on k."""
-    odd = np.bincount((grams >> 8) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _suffix_parities(grams: np.ndarray, n_prefix: int) -> np.ndarray:
+    """For each of the first n_prefix n-grams the bitmap of those behind it, WORDS 64-bit words each: bit k is the parity of those that fall on k."""
+    bit = (grams >> 8) & (64 * WORDS - 1)
+    one = np.zeros((len(grams), WORDS), np.uint64)
+    one[np.arange(len(grams)), bit >> 6] = np.uint64(1) << (bit & 63).astype(np.uint64)
+    behind = np.bitwise_xor.reduce(one, axis=0) ^ np.bitwise_xor.accumulate(one[:n_prefix], axis=0)
+    return behind.view(np.int64).reshape(-1)
 
 
 def least_shared(size: np.ndarray, percent: int) -> np.ndarray:
@@ -191,7 +218,7 @@ def least_shared(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _ordered(made: blocks.Blocks, chosen: DataFrame, totals: DataFrame, n: int, percent: int) -> DataFrame:
-    """A row per node: node, size, and if it can have a partner its shared n-grams rare first and how many are prefix."""
+    """A row per node: node, size, and if it can have a partner its shared n-grams rare first, how many are prefix, and suffix bitmaps."""
     gathered = chosen.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("long").alias("mark"), F.lit(None).cast("binary").alias("totals"), "numbers", "nodes").unionByName(
         totals.select("*", F.lit(None).cast("array<int>").alias("numbers"), F.lit(None).cast("array<long>").alias("nodes"))
     )
@@ -220,7 +247,7 @@ def _ordered(made: blocks.Blocks, chosen: DataFrame, totals: DataFrame, n: int,
                 if able[number] and prefix > 0:
                     out["grams"].append(hashes[ends[number] - shared[number] : ends[number]])
                     out["n_prefix"].append(prefix)
-                    out["bits"].append(_parities(out["grams"][-1]))
+                    out["bits"].append(_suffix_parities(out["grams"][-1], prefix))
                 else:
                     for c in ("grams", "n_prefix", "bits"):
                         out[c].append(None)
@@ -231,8 +258,8 @@ def _ordered(made: blocks.Blocks, chosen: DataFrame, totals: DataFrame, n: int,
     return written(ordered, "ngram-nodes")
 
 
-#: What a prefix row says of its node: size of the set, n-grams shared with any other node, place among those, bitmap.
-MEMBER = ["node", "size", "shared", "pos", "root", *(f"bits{k}" for k in range(WORDS))]
+#: What a prefix row says: node, size of its set, shared n-grams from this one on, component, turn, bitmap of those behind.
+MEMBER = ["node", "size", "left", "root", *(f"bits{k}" for k in range(WORDS))]
 
 
 def _other(column: str) -> str:
@@ -240,17 +267,31 @@ def _other(column: str) -> str:
 
 
 def _may_link(percent: int) -> Column:
-    """Length, positional and suffix filter over a prefix n-gram's row and another of its rows (other_ columns)."""
-    sizes = F.col("size") + F.col("other_size")
-    need = F.ceil(sizes * F.lit(percent) / F.lit(100 + percent))
-    length = (F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * percent) & (F.least("shared", "other_shared") >= need)
-    after = F.least(F.col("shared") - F.col("pos"), F.col("other_shared") - F.col("other_pos"))
-    positional = F.least("pos", "other_pos") + after >= need
+    """Length, positional and suffix filter over a prefix n-gram's row and another of its rows (other_ columns).
+
+    They hold at the first n-gram that two linked nodes share; a pair may pass at others too.
+    """
+    need = F.ceil((F.col("size") + F.col("other_size")) * F.lit(percent) / F.lit(100 + percent))
+    length = F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * percent
+    positional = F.least("left", "other_left") >= need
     apart = sum((F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"other_bits{k}"))) for k in range(WORDS)), F.lit(0))
-    suffix = F.col("shared") + F.col("other_shared") - apart >= need * 2
+    suffix = F.col("left") + F.col("other_left") - apart >= need * 2
     return length & positional & suffix
 
 
+def _prefix_rows(nodes: DataFrame) -> DataFrame:
+    """A row per prefix n-gram that several nodes have: MEMBER but root, gram, turn, and the parts of its group."""
+    grams = nodes.select("node", "size", F.size("grams").alias("shared"), "bits", F.posexplode(F.slice("grams", F.lit(1), F.col("n_prefix"))).alias("pos", "gram"))
+    known = ["node", "size", (F.col("shared") - F.col("pos")).alias("left"), *(F.col("bits")[F.col("pos") * WORDS + k].alias(f"bits{k}") for k in range(WORDS))]
+    met = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # the same draw for all n-grams of a node, so that groups of the same nodes compare the same pairs
+    drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
+    turn = F.when(drawn < FIRST_TURN, 0).otherwise(F.floor(F.log(drawn / FIRST_TURN) / F.log(F.lit(float(GROWTH)))) + 1).cast("int")
+    parts = (F.lit(1) + F.expr(f"n div {PART_ROWS}")).cast("int")
+    rows = grams.select("gram", *known).join(met, "gram").select("gram", "node", "size", "left", *(f"bits{k}" for k in range(WORDS)), turn.alias("turn"), parts.alias("parts"))
+    return written(rows, "ngram-prefix")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, size_a, size_b) whose n-gram sets reach the similarity."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
@@ -262,45 +303,29 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _linked(nodes: DataFrame, percent: int) -> DataFrame:
     """node and root of the nodes that links connect to a lesser node."""
     spark: SparkSession = nodes.sparkSession
-    known = ["node", "size", F.size("grams").alias("shared"), *(F.col("bits")[k].alias(f"bits{k}") for k in range(WORDS))]
-    prefix = nodes.select(*known, F.posexplode(F.slice("grams", F.lit(1), F.col("n_prefix"))).alias("pos", "gram"))
-    met = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    prefix = written(prefix.join(met, "gram"), "ngram-prefix")
+    prefix = _prefix_rows(nodes)
+    turns = prefix.agg(F.max("turn")).first()[0]
     roots = spark.createDataFrame([], "node long, root long")
     seen = spark.createDataFrame([], "a long, b long")
-    last = False
-    for k in range(MOST_ROUNDS + 1):
-        rows = prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if k else prefix.withColumn("root", F.col("node"))
-        rows = written(rows, "ngram-rows") if k else rows
-        squares = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        sums = squares.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0)).alias("pairs")).first()
-        if not sums["pairs"]:
-            break
-        last = last or k == MOST_ROUNDS or sums["pairs"] <= max(FEW_PAIRS, PAIRS_PER_ROW * sums["rows"] if k else 0)
-        if last:
-            meet = rows.join(rows.select("gram", *(F.col(c).alias(_other(c)) for c in MEMBER)), "gram").filter("root <> other_root and node < other")
-        else:
-            # the first pivot of the first round is the least node: its links need no further step to their root
-            rank = [F.xxhash64("node", F.lit(k * PIVOTS + i)) if k or i else F.col("node") for i in range(PIVOTS)]
-            member = F.struct(*MEMBER)
-            pivots = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), *(F.min_by(member, r).alias(f"p{i}") for i, r in enumerate(rank)))
-            pivots = pivots.filter("low < high").select("gram", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p"))
-            meet = rows.join(pivots.select("gram", *(F.col(f"p.{c}").alias(_other(c)) for c in MEMBER)), "gram").filter("root <> other_root")
+    for turn in range(-1 if turns is None else turns + 1):
+        left = prefix.filter(F.col("turn") >= turn)
+        rows = written(left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "ngram-rows") if turn else left.withColumn("root", F.col("node"))
+        asking = rows.filter(F.col("turn") == turn).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        asking = asking.select("gram", "part", *(F.col(c).alias(_other(c)) for c in MEMBER))
+        asked = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))
+        meet = asked.join(asking, ["gram", "part"]).filter((F.col("root") != F.col("other_root")) & ((F.col("turn") > turn) | (F.col("node") < F.col("other"))) & _may_link(percent))
         first = F.col("node") < F.col("other")
         ends = (("node", "other", "a"), ("size", "other_size", "size_a"), ("other", "node", "b"), ("other_size", "size", "size_b"))
-        pairs = meet.filter(_may_link(percent)).select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in ends)).distinct()
-        pairs = written(pairs.join(seen, ["a", "b"], "left_anti") if k else pairs, "ngram-pairs")
+        pairs = meet.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in ends)).distinct()
+        pairs = written(pairs.join(seen, ["a", "b"], "left_anti") if turn else pairs, "ngram-pairs")
         links = written(_verified(pairs, nodes, percent), "ngram-links")
-        n_links = links.count()
-        if n_links:
-            of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-            new = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v")) if k else links.toDF("u", "v")
-            # a root with its members is a star already: with the new links it is all that connects
-            roots = components(new.unionByName(roots.toDF("u", "v")) if k else new)
-        if last:
-            break
         seen = seen.unionByName(pairs.select("a", "b"))
-        last = n_links <= LEAST_YIELD * sums["rows"]
+        if links.isEmpty():
+            continue
+        of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        new = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v")) if turn else links.toDF("u", "v")
+        # a root with its members is a star already: with the new links it is all that connects
+        roots = components(new.unionByName(roots.toDF("u", "v")) if turn else new)
     return roots
 
 
@@ -309,16 +334,18 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     id_type = docs.schema["doc_id"].dataType.simpleString()
     made = blocks.build(docs, words(text_or_empty()), lower=True, hashed=True)
     documents = _documents(made, id_type)
-    first = documents.filter("node is not null").groupBy("node").agg(F.min(F.struct("block", "number")).alias("at"))
-    chosen = first.groupBy("at.block").agg(F.sort_array(F.collect_list(F.struct("at.number", "node"))).alias("picks"))
-    # a block's documents are bounded by the block
-    chosen = written(chosen.select("block", "picks.number", "picks.node").toDF("block", "numbers", "nodes"), "ngram-chosen")
+    texts = written(documents.filter("low is not null").groupBy("high", "low").agg(F.min("place").alias("node"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_rows")), "ngram-texts")
+    chosen = _chosen(texts)
     nodes = _ordered(made, chosen, _counted(made, chosen, n), n, percent)
     roots = _linked(nodes.filter("grams is not null"), percent)
-    placed = documents.join(nodes.select("node", "size"), "node", "left").join(roots, "node", "left")
-    placed = placed.select("doc_id", F.coalesce("size", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # every node of a component, its root too, with the component's least id
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(texts.select("node", "least_id"), "node")
+    named = members.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n_rows"))
+    named = join_groups(members.select("node", "root"), named, ["root"]).select("node", "component_id")
+    sized = texts.join(nodes.select("node", "size"), "node").join(named, "node", "left")
+    sized = sized.select("high", "low", "n_rows", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "least_id").alias("component_id"))
+    found = join_groups(documents.select("doc_id", "high", "low"), sized, ["high", "low"])
+    return found.select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 ORACLE = r"""

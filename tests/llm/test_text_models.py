@@ -109,11 +109,11 @@ def near_copies(rng, n_groups, size, words):
     return rows
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 8])
-def test_ngram_join_against_all_pairs(spark, monkeypatch, rounds):
-    monkeypatch.setattr(ngram_join, "MOST_ROUNDS", rounds)  # 0: all pairs at once
-    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0)
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 0)
+@pytest.mark.parametrize("first, growth, part", [(8, 8, 4096), (1, 2, 3), (100, 8, 5)])
+def test_ngram_join_against_all_pairs(spark, monkeypatch, first, growth, part):
+    monkeypatch.setattr(ngram_join, "FIRST_TURN", first)
+    monkeypatch.setattr(ngram_join, "GROWTH", growth)
+    monkeypatch.setattr(ngram_join, "PART_ROWS", part)
     monkeypatch.setattr(blocks, "BLOCK_TOKENS", 900)
     rows = near_copies(random.Random(4), 4, 14, 70)
     rows += [(900, None), (901, ""), (902, " \n"), (903, "a b c"), (904, "A  b C"), (905, "a b c d"), (906, "x " * 500), (907, "x " * 501), (3, rows[3][1]), (3, rows[3][1])]

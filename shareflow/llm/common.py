@@ -27,9 +27,11 @@ def words(column: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or (only where it is unset) a temporary one."""
+    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shareflow-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -1,13 +1,13 @@
 """Exact deduplication against an immutable snapshot, screened by static binary fuse filters.
 
 A snapshot is two written tables: exact buckets (one row per distinct digest, with the keeper and the number of rows)
-and one filter per bucket. An incoming batch is grouped by digest on its own first, so copies inside it collapse before
-they meet the snapshot. Its digests are screened by the filter of their bucket; negatives are new without any look at
-the exact bucket, positives join it. Every group of more than one row is then checked byte for byte: the least and
-greatest normalised text of the group must be the same.
+and one filter per bucket; it can be written to a path of its own and read again by later batches. An incoming batch is
+grouped by digest on its own first, so copies inside it collapse before they meet the snapshot. Its digests are screened
+by the filter of their bucket; negatives are new without any look at the exact bucket, positives join it. Every group of
+more than one row is then checked byte for byte: the least and greatest normalised text of the group must be the same.
 
-Only digests travel before the byte check, and the check combines texts map-side, so one huge group of copies costs one
-text per task. Results:
+Texts are read twice, once for their digests and once for the byte check, where only those of repeated digests are
+compared. Those digests are broadcast up to FEW_REPEATED of them; beyond, texts are shuffled by digest. Results:
 
 - null text counts as empty; empty texts are equal to one another;
 - texts are equal when identical after each run of ASCII white space becomes one space;
@@ -18,18 +18,21 @@ text per task. Results:
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shareflow.llm import fuse
-from shareflow.llm.common import SPACE, text_or_empty, written
+from shareflow.llm.common import SPACE, join_groups, shared_dir, text_or_empty, written
 
 #: Digests that one bucket and its filter should hold.
 BUCKET_ROWS = 200_000
+#: Digests of repeated texts that the byte check broadcasts at most, 8 bytes each.
+FEW_REPEATED = 1_000_000
 
 
 class Snapshot(NamedTuple):
@@ -60,16 +63,27 @@ def _keys(column: pa.ChunkedArray) -> np.ndarray:
     return np.array([int(x[-16:], 16) for x in column.to_pylist()], dtype=np.uint64)
 
 
-def build_snapshot(hashed: DataFrame) -> Snapshot:
-    """Write the exact buckets of a snapshot and their filters; neither changes afterwards."""
-    exact = written(grouped(hashed), "exact-dedup-snapshot")
+def build_snapshot(hashed: DataFrame, path: str | None = None) -> Snapshot:
+    """Write the exact buckets of a snapshot and their filters, to `path` or the shared folder; neither changes afterwards."""
+    spark = hashed.sparkSession
+    path = path or f"{shared_dir(spark)}/exact-dedup-{uuid.uuid4().hex}"
+    grouped(hashed).write.parquet(f"{path}/exact")
+    exact = spark.read.parquet(f"{path}/exact")
     buckets = max(1, -(-exact.count() // BUCKET_ROWS))
 
     def one(rows: pa.Table) -> pa.Table:
-        return pa.table({"bucket": rows["bucket"][:1].cast(pa.int32()), "filter": pa.array([fuse.build(_keys(rows["digest"]))], pa.binary())})
+        return pa.table({"bucket": rows["bucket"][:1].cast(pa.int32()), "buckets": pa.array([buckets], pa.int32()), "filter": pa.array([fuse.build(_keys(rows["digest"]))], pa.binary())})
 
-    filters = exact.select("digest", _bucket(buckets).alias("bucket")).groupBy("bucket").applyInArrow(one, "bucket int, filter binary")
-    return Snapshot(exact, written(filters, "exact-dedup-filters"), buckets)
+    filters = exact.select("digest", _bucket(buckets).alias("bucket")).groupBy("bucket").applyInArrow(one, "bucket int, buckets int, filter binary")
+    filters.write.parquet(f"{path}/filters")
+    return read_snapshot(spark, path)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    """A snapshot that build_snapshot has written to `path`."""
+    filters = spark.read.parquet(f"{path}/filters")
+    buckets = filters.agg(F.max("buckets")).first()[0]
+    return Snapshot(spark.read.parquet(f"{path}/exact"), filters.drop("buckets"), buckets or 1)
 
 
 def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
@@ -87,41 +101,43 @@ def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
 
 def same_bytes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """The digests of repeated whose rows in docs all hold the same normalised bytes."""
-    texts = docs.select(F.sha2(normalised(), 256).alias("digest"), normalised().alias("norm")).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-    return texts.join(repeated.select("digest"), "digest").filter("low = high").select("digest")
-
+    texts = docs.select(normalised().alias("norm")).withColumn("digest", F.sha2("norm", 256))
+    if repeated.count() <= FEW_REPEATED:
+        # a screen before any text is sorted or moved: a collision of the 64 bits lets a text through, no more
+        texts = texts.join(F.broadcast(repeated.select(F.xxhash64("digest").alias("short"))), F.xxhash64("digest") == F.col("short"), "left_semi")
+    checked = texts.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    return checked.join(repeated.select("digest"), "digest").filter("low = high").select("digest")
 
-def exact_dedup(batch: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Groups of equal texts over a batch and the documents of an earlier snapshot.
 
-    Returns a row per row of either: doc_id, keep_id, group_size, kept, text_sha256, in_snapshot (the text is in the
-    snapshot), from_batch.
-    """
-    old = written(digests(earlier), "exact-dedup-earlier")
-    new = written(digests(batch), "exact-dedup-batch")
-    snapshot = build_snapshot(old)
+def _against(new: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """A row per distinct digest of either side: keep_id, n_rows and in_snapshot."""
     batch_groups = written(grouped(new), "exact-dedup-groups")
     positives = screen(batch_groups, snapshot)
     matched = positives.join(snapshot.exact.select("digest", F.col("keep_id").alias("old_id"), F.col("n_rows").alias("old_rows")), "digest")
-    both = batch_groups.join(matched, "digest", "full_outer")
-    new_or_both = both.select(
+    both = batch_groups.join(matched, "digest", "left").select(
         "digest",
         F.least("keep_id", "old_id").alias("keep_id"),
-        (F.coalesce("n_rows", F.lit(0)) + F.coalesce("old_rows", F.lit(0))).alias("n_rows"),
+        (F.col("n_rows") + F.coalesce("old_rows", F.lit(0))).alias("n_rows"),
         F.col("old_rows").isNotNull().alias("in_snapshot"),
     )
     old_only = snapshot.exact.join(batch_groups.select("digest"), "digest", "left_anti").select("digest", "keep_id", "n_rows", F.lit(True).alias("in_snapshot"))
-    groups = written(new_or_both.unionByName(old_only), "exact-dedup-all")
-    checked = same_bytes(earlier.select("text").unionByName(batch.select("text")), groups.filter("n_rows > 1"))
+    return both.unionByName(old_only)
+
+
+def dedup_split(docs: DataFrame, from_batch: Column) -> DataFrame:
+    """exact_dedup() of one table, whose rows are in the batch where from_batch holds and in the earlier snapshot else."""
+    hashed = written(docs.select("doc_id", F.sha2(normalised(), 256).alias("digest"), from_batch.alias("from_batch")), "exact-dedup-rows")
+    snapshot = build_snapshot(hashed.filter("not from_batch"))
+    groups = written(_against(hashed.filter("from_batch"), snapshot), "exact-dedup-all")
+    checked = same_bytes(docs, groups.filter("n_rows > 1"))
     # a digest with differing texts would be a SHA-256 collision: stop rather than drop a text
     groups = groups.join(checked.withColumn("same", F.lit(True)), "digest", "left").withColumn(
-        "n_rows", F.when((F.col("n_rows") == 1) | F.col("same"), F.col("n_rows")).otherwise(F.raise_error(F.lit("different texts share a SHA-256 digest")).cast("long"))
+        "group_size", F.when((F.col("n_rows") == 1) | F.col("same"), F.col("n_rows")).otherwise(F.raise_error(F.lit("different texts share a SHA-256 digest")).cast("long"))
     )
-    rows = old.withColumn("from_batch", F.lit(False)).unionByName(new.withColumn("from_batch", F.lit(True)))
-    return rows.join(groups, "digest").select(
+    return join_groups(hashed, groups.drop("same"), ["digest"]).select(
         "doc_id",
         "keep_id",
-        F.col("n_rows").alias("group_size"),
+        "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
         "in_snapshot",
@@ -129,10 +145,24 @@ def exact_dedup(batch: DataFrame, earlier: DataFrame) -> DataFrame:
     )
 
 
+def exact_dedup(batch: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Groups of equal texts over a batch and the documents of an earlier snapshot.
+
+    Returns a row per row of either: doc_id, keep_id, group_size, kept, text_sha256, in_snapshot (the text is in the
+    snapshot), from_batch.
+    """
+    sides = [x.select("doc_id", "text", F.lit(new).alias("from_batch")) for x, new in ((earlier, False), (batch, True))]
+    return dedup_split(sides[0].unionByName(sides[1]), F.col("from_batch"))
+
+
+def in_new_batch() -> Column:
+    """Splits one table into a batch and an earlier snapshot: rows go by a hash of their id, null ids to the batch."""
+    return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) != 0, F.lit(True)) | F.col("doc_id").isNull()
+
+
 def split_by_day(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A batch and an earlier snapshot out of one table: rows go by a hash of their id, null ids to the batch."""
-    old = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(False)) & F.col("doc_id").isNotNull()
-    return docs.filter(~old), docs.filter(old)
+    """The batch and the earlier snapshot of in_new_batch() as two frames."""
+    return docs.filter(in_new_batch()), docs.filter(~in_new_batch())
 
 
 ORACLE = r"""

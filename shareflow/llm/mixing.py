@@ -3,11 +3,12 @@
 Every document gets a hash-random key. Within each source, documents are ordered by key; sums of sizes over key ranges
 are accumulated once per range (not per row), so the prefix sum of a hot source is spread over KEY_RANGES groups. The
 source's budget is cut exactly: whole epochs first, then documents in key order until the rest is used up; the document
-at the cut gives only the words that are still missing.
+at the cut gives only the words that are still missing. Words are counted in one pass over the texts, which is written.
+Sources are thought to be named collections: their budgets are worked out over one row per source, in one task.
 
 - size is the number of words (runs of non white space); null or empty text has size 0 and nothing is taken from it;
 - null is a source of its own, after all others;
-- ties in the key are broken by doc_id and size; identical rows are interchangeable;
+- the key is a digest of doc_id and text; ties are broken by doc_id and size; identical rows are interchangeable;
 - a source of total size 0 has target 0; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shareflow.llm.common import WORD
+from shareflow.llm.common import WORD, text_or_empty, written
 
 #: Ranges of the random key, by its first three hexadecimal digits.
 KEY_RANGES = 4096
@@ -53,8 +54,9 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("source_key"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
-    ).withColumn("key_range", F.substring("key", 1, 3))
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text_or_empty()))).alias("key"),
+    )
+    sized = written(sized, "mix-sizes").withColumn("key_range", F.substring("key", 1, 3))
     ranges = sized.groupBy("source_key", "key_range").agg(F.first("source").alias("source"), F.sum("size").alias("range_size"))
     sources = ranges.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size"))
     earlier = Window.partitionBy("source_key").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,7 +76,7 @@ with sized as (
   select doc_id, source,
          cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
          coalesce('s' || source, 'null') as source_key,
-         md5('mix:' || coalesce(cast(doc_id as varchar), '')) as key
+         md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as key
   from documents),
 sources as (
   select source_key, source, cast(sum(size) as bigint) as source_size from sized group by 1, 2),

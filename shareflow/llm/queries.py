@@ -39,8 +39,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch, earlier = exact_dedup.split_by_day(table(spark, sf_dir, "documents"))
-    return exact_dedup.exact_dedup(batch, earlier).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.dedup_split(table(spark, sf_dir, "documents"), exact_dedup.in_new_batch()).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

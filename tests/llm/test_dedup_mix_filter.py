@@ -36,6 +36,20 @@ def test_exact_dedup(spark):
     # all new against an empty snapshot, all known against itself
     assert {r.in_snapshot for r in exact_dedup.exact_dedup(df, none).collect()} == {False}
     assert {r.in_snapshot for r in exact_dedup.exact_dedup(df, df).collect()} == {True}
+    both = exact_dedup.dedup_split(df, exact_dedup.in_new_batch()).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in both) == got
+
+
+def test_snapshot_is_read_again_and_texts_may_be_shuffled(spark, tmp_path, monkeypatch):
+    df = docs(spark, [(k, f"text {k % 7}", "s") for k in range(30)])
+    hashed = exact_dedup.digests(df)
+    made = exact_dedup.build_snapshot(hashed, f"{tmp_path}/snapshot")
+    again = exact_dedup.read_snapshot(spark, f"{tmp_path}/snapshot")
+    groups = exact_dedup.grouped(hashed)
+    assert again.buckets == made.buckets and exact_dedup.screen(groups, again).count() == 7
+    for few in (0, 10):
+        monkeypatch.setattr(exact_dedup, "FEW_REPEATED", few)
+        assert exact_dedup.same_bytes(df, groups.filter("n_rows > 1")).count() == 7
 
 
 def test_mixing_cuts_each_source_at_its_budget(spark):

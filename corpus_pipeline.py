@@ -33,8 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id."""
-    batch, earlier = exact_dedup.split_by_day(docs)
-    kept = exact_dedup.exact_dedup(batch, earlier).filter("kept").select(F.col("doc_id").alias("id"), "text_sha256")
+    kept = exact_dedup.dedup_split(docs, exact_dedup.in_new_batch()).filter("kept").select(F.col("doc_id").alias("id"), "text_sha256")
     hashed = docs.withColumn("digest", F.sha2(exact_dedup.normalised(), 256))
     left = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["id"]) & (hashed["digest"] == kept["text_sha256"]), "left_semi")
     return left.dropDuplicates(["doc_id", "digest"]).select(*COLUMNS)
@@ -73,7 +72,7 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: SQL can't express the classifier of the first stage; tests hold each stage against a brute-force version.
+#: SQL can't express the classifier of the first stage: tests/llm/test_pipeline.py holds every stage and run() against plain Python.
 ORACLE_SQL = None
 
 

@@ -1,16 +1,22 @@
 """Exact top-k by inner product, block at a time with upper bounds.
 
-Vectors are quantised to integers. Candidates are cut into shards of adjacent vec_ids, shards into blocks with a forward
-index (the block's vectors) and the greatest and least value of every dimension. For one query the bound of a block is
-the sum over dimensions of the larger of weight x greatest and weight x least; blocks are scored in descending order of
-bound until the next bound falls below the kth score so far. Best lists of shards are merged per query.
+Vectors are quantised to integers. Candidates are numbered in the order of the table and cut into shards of adjacent
+rows, shards into blocks with a forward index (the block's vectors) and the greatest and least value of every dimension.
+For one query the bound of a block or shard is the sum over dimensions of the larger of weight x greatest and weight x
+least.
 
-Queries are dealt in slabs, so a task holds one shard and one slab, both of bounded size; each slab meets each shard.
+1. A small table of every shard's extremes gives the bound of every query and shard.
+2. Each query is answered in the shard of its greatest bound: its kth score there is a floor for the whole search.
+3. Only shards whose bound reaches the floor are searched, each with its blocks in descending order of bound until the
+   next bound falls below the kth score so far. Best lists are merged per query.
+
+A task holds one shard and at most about SLAB_QUERIES queries, or SLAB_QUERIES queries and SLAB_SHARDS extremes.
 
 - vectors that are null, empty or hold a null or non-finite component take no part, nor do rows with a null vec_id;
 - vectors of different lengths aren't compared; a query without any candidate gives no row;
 - ties go to the smaller vec_id; repeated rows of a vec_id are separate candidates for others, never for their own query,
   and a repeated query row is asked once for each distinct vector;
+- products are exact whatever their size; a score beyond 64 bits is an error, components saturate at 64 bits;
 - an empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,8 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shareflow.llm.common import written
+
 SHARD_ROWS = 8192
 SLAB_QUERIES = 2048
+SLAB_SHARDS = 4096
 BLOCK_ROWS = 256
 SCALE = 1024
 
@@ -45,17 +54,32 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _search(query_id: int, q: np.ndarray, bounds: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) of a shard for one query."""
+def _exact(v: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in a type whose inner products are exact: float64 where they stay below 2**53, 64-bit or Python's integers else."""
+    most = int(np.abs(v.astype(object)).max()) * int(np.abs(q.astype(object)).max()) * v.shape[1] if v.size and q.size else 0
+    kind = np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
+    return v.astype(kind), q.astype(kind)
+
+
+def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    zero = q.dtype.type(0) if q.dtype != object else 0
+    return np.maximum(q, zero) @ high.T + np.minimum(q, zero) @ low.T
+
+
+def _search(query_id: int, q: np.ndarray, bounds: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, least: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (ids, scores) of a shard for one query, of those that score `least` or more."""
     ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
     for b in np.argsort(-bounds, kind="stable"):
-        if len(scores) == k and bounds[b] < scores[-1]:
+        if len(scores) == k and (least is None or scores[-1] > least):
+            least = int(scores[-1])
+        if least is not None and bounds[b] < least:
             break
         own, forward = blocks[b]
-        got = (forward @ q).astype(np.int64)
-        keep = own != query_id
-        if len(scores) == k:
-            keep &= got >= scores[-1]
+        got = forward @ q
+        if got.dtype == object and max(map(abs, got)) >= 2**63:
+            raise ValueError("a score doesn't fit into 64 bits")
+        got = got.astype(np.int64)
+        keep = own != query_id if least is None else (own != query_id) & (got >= least)
         ids, scores = np.concatenate([ids, own[keep]]), np.concatenate([scores, got[keep]])
         top = _best(ids, scores, k)
         ids, scores = ids[top], scores[top]
@@ -67,18 +91,15 @@ def _shard_search(k: int):
         out: list[tuple[np.ndarray, ...]] = []
         if docs.num_rows and queries.num_rows:
             ids, v = np.asarray(docs["vec_id"].combine_chunks()), _matrix(docs["v"])
-            qid, q = np.asarray(queries["query_id"].combine_chunks()), _matrix(queries["v"])
+            qid, q, least = np.asarray(queries["query_id"].combine_chunks()), _matrix(queries["v"]), queries["least"].to_pylist()
             order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], v[order]
-            # products in float64 are exact and fast below 2**53; else stay with 64-bit integers
-            exact = float(np.abs(v).max()) * float(np.abs(q).max()) * v.shape[1] < 2.0**53
-            v, q = (v.astype(np.float64), q.astype(np.float64)) if exact else (v, q)
+            v, q = _exact(v[order], q)
+            ids = ids[order]
             cuts = range(0, len(ids), BLOCK_ROWS)
             blocks = [(ids[c : c + BLOCK_ROWS], v[c : c + BLOCK_ROWS]) for c in cuts]
-            high, low = np.stack([b.max(0) for _, b in blocks]), np.stack([b.min(0) for _, b in blocks])
-            bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+            bounds = _bounds(q, np.stack([b.max(0) for _, b in blocks]), np.stack([b.min(0) for _, b in blocks]))
             for i in range(len(qid)):
-                got, scores = _search(qid[i], q[i], bounds[i], blocks, k)
+                got, scores = _search(qid[i], q[i], bounds[i], blocks, k, least[i])
                 out.append((np.full(len(got), qid[i]), np.full(len(got), i), got, scores))
         rows = queries["query_row"].combine_chunks() if out else pa.array([], pa.string())
         a, b, c, d = (np.concatenate(x).astype(np.int64) if out else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else [()] * 4))
@@ -87,21 +108,61 @@ def _shard_search(k: int):
     return search
 
 
+def _extremes(rows: pa.Table) -> pa.Table:
+    """One row for a shard: its extremes by dimension."""
+    v = _matrix(rows["v"])
+    kind = pa.list_(pa.int64())
+    return pa.table({"shard": rows["shard"][:1], "dims": rows["dims"][:1], "high": pa.array([v.max(0).tolist()], kind), "low": pa.array([v.min(0).tolist()], kind)})
+
+
+def _reach(shards: pa.Table, queries: pa.Table) -> pa.Table:
+    """The bound of each of the queries and shards; bounds beyond 64 bits count as the greatest number there is."""
+    if not shards.num_rows or not queries.num_rows:
+        return pa.table({"query_id": pa.array([], pa.int64()), "query_row": pa.array([], pa.string()), "shard": pa.array([], pa.int64()), "bound": pa.array([], pa.int64())})
+    high, low = _matrix(shards["high"]), _matrix(shards["low"])
+    both, q = _exact(np.concatenate([high, low]), _matrix(queries["v"]))
+    bounds = np.clip(_bounds(q, both[: len(high)], both[len(high) :]), -(2**63), 2**63 - 1).astype(np.int64)
+    at_query, at_shard = (pa.array(x.reshape(-1)) for x in np.indices(bounds.shape))
+    return pa.table({"query_id": queries["query_id"].take(at_query), "query_row": queries["query_row"].take(at_query), "shard": shards["shard"].take(at_shard), "bound": bounds.reshape(-1)})
+
+
+def bounds(asked: DataFrame, placed: DataFrame) -> DataFrame:
+    """query_id, query_row, shard, bound: no candidate of the shard scores more than bound."""
+    extremes = written(placed.groupBy("shard", "dims").applyInArrow(_extremes, "shard long, dims int, high array<long>, low array<long>"), "topk-extremes")
+    parts, slabs = (max(1, -(-df.count() // n)) for df, n in ((extremes, SLAB_SHARDS), (asked, SLAB_QUERIES)))
+    shards = extremes.withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(parts))).withColumn("slab", F.expr(f"explode(sequence(0L, {slabs - 1}L))"))
+    queries = asked.withColumn("slab", F.pmod(F.xxhash64("query_row"), F.lit(slabs))).withColumn("part", F.expr(f"explode(sequence(0L, {parts - 1}L))"))
+    keys = ["part", "slab", "dims"]
+    return written(shards.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_reach, "query_id long, query_row string, shard long, bound long"), "topk-bounds")
+
+
+def _searched(wanted: DataFrame, asked: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """The best candidates of the wanted (query_id, query_row, shard, least)."""
+    slabs = max(1, -(-asked.count() // SLAB_QUERIES))
+    queries = wanted.join(asked, ["query_id", "query_row"]).withColumn("slab", F.pmod(F.xxhash64("query_row"), F.lit(slabs)))
+    keys = ["shard", "slab", "dims"]
+    slots = queries.select(*(F.col(c).alias(f"{c}_") for c in keys)).distinct()
+    dealt = placed.join(slots, (F.col("shard") == F.col("shard_")) & (F.col("dims") == F.col("dims_"))).select("vec_id", "v", *(F.col(f"{c}_").alias(c) for c in keys))
+    return dealt.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_shard_search(k), _FOUND)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k candidates of another vec_id with the greatest inner product.
 
     Both have vec_id and v (array of long), as quantised() gives them.
     """
-    n, n_queries = candidates.count(), queries.count()
-    shards, slabs = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // SLAB_QUERIES))
-    asked = queries.distinct().select(F.col("vec_id").alias("query_id"), "v", F.concat_ws(",", F.col("v").cast("array<string>")).alias("query_row"))
-    asked = asked.withColumn("query_row", F.sha2("query_row", 256)).withColumn("slab", F.pmod(F.xxhash64("query_id"), F.lit(slabs)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("dims", F.size("v"))
-    dealt = candidates.repartitionByRange(shards, "vec_id").withColumn("shard", F.spark_partition_id())
-    dealt = dealt.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)))).withColumn("dims", F.size("v"))
-    keys = ["shard", "slab", "dims"]
-    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_shard_search(k), _FOUND)
-    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    placed = candidates.select("vec_id", "v", F.size("v").alias("dims"), F.expr(f"monotonically_increasing_id() div {SHARD_ROWS}").alias("shard"))
+    placed = written(placed, "topk-candidates")
+    row = F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)
+    asked = written(queries.distinct().select(F.col("vec_id").alias("query_id"), "v", row.alias("query_row"), F.size("v").alias("dims")), "topk-queries")
+    reach = bounds(asked, placed)
+    query = ["query_id", "query_row"]
+    best = reach.groupBy(*query).agg(F.max_by("shard", F.struct("bound", "shard")).alias("shard"))
+    first = written(_searched(best.withColumn("least", F.lit(None).cast("long")), asked, placed, k), "topk-first")
+    floor = first.groupBy(*query).agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("least"))
+    rest = reach.join(best.withColumnRenamed("shard", "first"), query).filter("shard <> first").join(floor, query, "left").filter("least is null or bound >= least")
+    found = first.unionByName(_searched(rest.select(*query, "shard", "least"), asked, placed, k))
+    order = Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

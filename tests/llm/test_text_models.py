@@ -127,24 +127,36 @@ def test_ngram_join_empty_and_null_ids(spark):
     assert got == Counter({(None, 1, 4): 1, (4, 1, 4): 1, (None, 0, None): 1})
 
 
-def test_top_k_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("partitions", [1, 4, 211])
+def test_top_k_against_brute_force(spark, monkeypatch, partitions):
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
     monkeypatch.setattr(topk, "SLAB_QUERIES", 3)
+    monkeypatch.setattr(topk, "SLAB_SHARDS", 2)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
     rng = random.Random(5)
     rows = [(k, [round(rng.uniform(-1, 1), 1) for _ in range(4)]) for k in range(150)] + [(20, [0.5, 0.5, 0.5, 0.5]), (160, [1.0]), (161, None), (162, []), (163, [1.0, None, 0.0, 0.0]), (164, [float("nan")] * 4), (165, [float("inf")] * 4), (None, [1.0] * 4), (170, [3.0e6] * 4)]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, v string, shard int")
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, v string, shard int").repartition(partitions)
     vectors = topk.quantised(df)
     queries = vectors.filter("vec_id % 20 = 0 and size(v) = 4 and vec_id <> 20")
     got = {}
     for r in topk.top_k(queries, vectors, 5).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    ok = [(i, [math.floor(1024 * __import__("numpy").float32(x).item()) for x in v]) for i, v in rows if i is not None and v and len(v) == 4 and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(1024 * np.float32(x).item()) for x in v]) for i, v in rows if i is not None and v and len(v) == 4 and all(x is not None and math.isfinite(x) for x in v)]
     for i, q in ok:
         if i % 20 == 0 and i != 20:
             best = sorted(((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in ok if j != i))[:5]
             assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert topk.top_k(queries, vectors.limit(0), 5).count() == 0 and topk.top_k(queries.limit(0), vectors, 5).count() == 0
+    if partitions == 1:
+        assert topk.top_k(queries, vectors.limit(0), 5).count() == 0 and topk.top_k(queries.limit(0), vectors, 5).count() == 0
+
+
+def test_top_k_prunes_shards_and_keeps_large_products_exact(spark):
+    rows = [(k, [k // 10 * 1000 + k % 10, 1]) for k in range(40)] + [(99, [2**40, 3]), (98, [2**40 - 1, 5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>").coalesce(1)
+    got = [tuple(r) for r in topk.top_k(vectors.filter("vec_id = 39"), vectors, 2).orderBy("rank").collect()]
+    assert got == [(39, 1, 99, 3009 * 2**40 + 3), (39, 2, 98, 3009 * (2**40 - 1) + 5)]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(vectors.filter("vec_id = 99"), vectors, 2).collect()
 
 
 def test_chat_spans_and_round_trip(spark, monkeypatch):

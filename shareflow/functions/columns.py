@@ -30,7 +30,9 @@ def harmonised(df: DataFrame, wanted: dict[str, list[str]], required: list[str]
 def header_index(header: Column, candidates: list[str]) -> Column:
     """The place from 1 of the column that a header (array of texts) has for the candidates in order; null without one."""
     names = F.transform(header, normal_name)
-    return F.coalesce(*(F.nullif(F.array_position(F.transform(names, lambda n: n.contains(normal(want))), F.lit(True)), F.lit(0).cast("long")) for want in candidates))
+    # a candidate of signs alone has no normal name: the header must be just that
+    hits = lambda want: F.transform(names, lambda n: n.contains(normal(want))) if normal(want) else F.transform(header, lambda h: F.trim(h) == want)
+    return F.coalesce(*(F.nullif(F.array_position(hits(want), F.lit(True)), F.lit(0).cast("long")) for want in candidates))
 
 
 def cell(cells: Column, index: Column) -> Column:

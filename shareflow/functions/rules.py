@@ -106,6 +106,11 @@ def with_category(participants: DataFrame, by_id=None, by_keyword=CATEGORY_BY_KE
     return known.withColumn("category", F.coalesce("by_id", category_by_keyword(F.col("participant_name"), by_keyword), other)).drop("by_id", "known_id")
 
 
+def collected(ids: DataFrame, words: DataFrame) -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """Rules of a configuration, as read_category_rules gives them, in the form that with_category takes. A configuration is small."""
+    return {r["participant_id"]: r["category"] for r in ids.collect()}, [(r["category"], [r["keyword"]]) for r in words.orderBy("priority").collect()]
+
+
 def reason_tags(reason: Column, rules=REASON_TAGS) -> Column:
     """The tags whose needles a reason contains, in the order of the rules."""
     text = F.coalesce(reason, F.lit(""))
@@ -115,7 +120,9 @@ def reason_tags(reason: Column, rules=REASON_TAGS) -> Column:
 def event_tags(category: Column, title: Column, rules=EVENT_TAGS) -> Column:
     """The sorted distinct tags of an announcement."""
     text = F.lower(F.concat_ws(" ", F.coalesce(category, F.lit("")), F.coalesce(title, F.lit(""))))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(text.rlike(f"(?U){pattern}"), tag) for tag, pattern in rules)))))
+    # the text is a variable of a lambda, so that it is put together once and not for each rule
+    tags = F.transform(F.array(text), lambda t: F.array_compact(F.array(*(F.when(t.rlike(f"(?U){pattern}"), tag) for tag, pattern in rules))))
+    return F.array_sort(F.array_distinct(F.flatten(tags)))
 
 
 def error_code(error_type: Column, message: Column, rules=ERROR_RULES) -> Column:

@@ -18,8 +18,10 @@ def in_period(announcements: DataFrame, as_of: str, years: int = 1) -> DataFrame
 
 
 def timeline(announcements: DataFrame) -> DataFrame:
-    """Announcements with a tag, oldest first."""
-    return tagged(announcements).filter(F.size("event_tags") > 0).orderBy("publish_date", "news_id")
+    """Announcements with a tag; whoever shows them sorts them by publish_date and news_id."""
+    # the tags pass a lambda, which a filter on them would run a second time: explode them once instead
+    rows = tagged(announcements).withColumn("event_tags", F.explode(F.array("event_tags")))
+    return rows.filter(F.size("event_tags") > 0)
 
 
 def tag_summary(announcements: DataFrame) -> DataFrame:

@@ -17,6 +17,11 @@ def _by_shares() -> list[Column]:
     return [F.desc("shares"), F.asc("participant_id")]
 
 
+def snapshots_at(snapshots: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The snapshots of the wanted (code, date) pairs."""
+    return snapshots.join(wanted.select("code", "date").distinct(), ["code", "date"], "left_semi")
+
+
 def snapshot_at(snapshots: DataFrame, code: str, date: str) -> DataFrame:
     """One snapshot, largest holdings first; both conditions reach the scan."""
     return snapshots.filter((F.col("code") == code) & (F.col("date") == F.lit(date).cast("date"))).orderBy(*_by_shares())

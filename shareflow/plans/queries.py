@@ -90,9 +90,10 @@ def cumulative_at(spark, d):
     return snapshots.cumulative_at(snapshots.holdings_ranked(_snaps(spark, d)))
 
 
-@register("snapshot_scan", "select code, date, participant_id, shares, bps from snapshots where code = '00007' and date = date '1996-03-31' order by shares desc, participant_id", "snapshots")
+@register("snapshot_scan", "select code, date, participant_id, shares, bps from snapshots qualify date = max(date) over (partition by code)", "snapshots")
 def snapshot_scan(spark, d):
-    return snapshots.snapshot_at(_snaps(spark, d), "00007", "1996-03-31").select("code", "date", "participant_id", "shares", "bps")
+    snaps = _snaps(spark, d)
+    return snapshots.snapshots_at(snaps, snaps.groupBy("code").agg(F.max("date").alias("date"))).select("code", "date", "participant_id", "shares", "bps")
 
 
 @register("date_pairs", PAIRS + " select * from pairs", "snapshots")
@@ -671,14 +672,14 @@ SCREEN = (
     + f""", {KINDS}, latest as (select code, max(date) as date, arg_max(previous_date, date) as p, count(*) as history_depth from pairs group by 1),
 holder as (select r.code, r.participant_id as largest_id, trim(r.participant_name) as largest_name, k.category as largest_category, r.bps as largest_bps from ranked r join latest l on r.code = l.code and r.date = l.date left join kinds k on k.participant_id = r.participant_id where r.rank = 1),
 mover as (select code, participant_id as mover_id, change_shares as mover_change, date as mover_date from changes qualify row_number() over (partition by code order by abs(change_shares) desc, date, participant_id) = 1),
-wanted as (select c_custkey as seq, lpad(cast(c_custkey % 60 as varchar), 5, '0') as code, cast(c_custkey % 60 as varchar) as requested from customer where c_custkey <= 100)
+wanted as (select c_custkey as seq, lpad(cast(c_custkey % 60 as varchar), 5, '0') as code, cast(c_custkey % 60 as varchar) as requested from customer)
 select w.*, m.name, s.date, s.top5_bps, s.top10_bps, s.total_bps, l.history_depth, h.* exclude (code), v.* exclude (code), case when s.date is null then 'no snapshot of this code' end as error
 from wanted w left join latest l on w.code = l.code left join stock_meta m on m.code = w.code left join series s on s.code = w.code and s.date = l.date left join holder h on h.code = w.code left join mover v on v.code = w.code"""
 )
 
 
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "customer").filter("c_custkey <= 100").select(F.col("c_custkey").alias("seq"), (F.col("c_custkey") % 60).cast("string").alias("code"))
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("seq"), (F.col("c_custkey") % 60).cast("string").alias("code"))
 
 
 @register("screen", SCREEN, "snapshots", "stock_meta")
@@ -690,7 +691,7 @@ def screen(spark, d):
     "participant_search",
     RANKED
     + """, latest as (select code, max(date) as date from ranked group by 1), mine as (select r.* from ranked r join latest l on r.code = l.code and r.date = l.date where r.participant_id = 'B00012'),
-wanted as (select distinct lpad(cast(c_custkey % 60 as varchar), 5, '0') as code from customer where c_custkey <= 100)
+wanted as (select distinct lpad(cast(c_custkey % 60 as varchar), 5, '0') as code from customer)
 select w.code, m.* exclude (code), m.participant_id is not null as found from wanted w left join mine m on w.code = m.code""",
     "snapshots",
 )
@@ -785,3 +786,6 @@ def latest_lines(spark, d):
 def capital_summary(spark, d):
     bought = view(spark, d, "buybacks").groupBy("code").agg(F.count(F.lit(1)).alias("n_buybacks"), F.max("buyback_date").alias("last_buyback"))
     return capital.latest_capital(view(spark, d, "share_changes")).join(bought, "code", "left").withColumn("n_buybacks", F.coalesce("n_buybacks", F.lit(0)))
+
+
+from shareflow.plans import source_queries  # noqa: E402, F401  (registers its queries)

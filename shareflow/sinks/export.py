@@ -28,9 +28,9 @@ def combined(sections: dict[str, DataFrame], source: str, warnings: DataFrame |
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """UTF-8 CSV with a header; arrays and structs as JSON."""
+    """UTF-8 CSV with a header, quotes doubled inside quoted texts; arrays and structs as JSON."""
     flat = df.select(*(F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(f"`{c}`") for c, kind in df.dtypes))
-    flat.write.mode("overwrite").option("header", True).csv(path)
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def json_records(sections: dict[str, DataFrame]) -> DataFrame:

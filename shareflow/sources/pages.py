@@ -109,8 +109,11 @@ class _Tables(HTMLParser):
 
 def _parsed(html: str | None) -> _Tables:
     parser = _Tables()
-    parser.feed(html or "")
-    parser.close()
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except AssertionError:  # the parser gives up on a malformed marked section: what it has read so far counts
+        pass
     return parser
 
 
@@ -140,8 +143,8 @@ def html_tables(pages: DataFrame, keys: list[str], html: str = "html") -> DataFr
     return pages.select(*keys, html).mapInArrow(one, f"{types}, {ROWS_DDL}")
 
 
-def page_texts(pages: DataFrame, keys: list[str], html: str = "html", limit: int = 8000) -> DataFrame:
-    """The keys, title, h1, h2 (first headings' text), notice, and the first `limit` characters of the visible text."""
+def page_texts(pages: DataFrame, keys: list[str], html: str = "html", limit: int | None = None) -> DataFrame:
+    """The keys, title, h1, h2 (first headings' text), notice, and the visible text (its first `limit` characters if given)."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,16 +325,20 @@ def first_match(text: Column, patterns: list[str]) -> Column:
 
 def page_metadata(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """Names, ids and facts that pages state in links and text: organisation, issue, code, date, issued shares, notice."""
-    facts = page_texts(pages, keys, html).join(pages.select(*keys, html), keys) if keys else page_texts(pages, keys, html)
     raw, text = F.col(html), F.col("text")
+    ids = {
+        "org_id": first_match(raw, [r"(?:orgdata|officers|overlap|pay|advisers|docs)\.asp\?p=(\d+)"]),
+        "issue_id": first_match(raw, [r"[?&]i=(\d{4,8})\b", r"issue[_ ]?id[=: ]+(\d{4,8})"]),
+    }
+    facts = page_texts(pages.withColumns(ids), [*keys, *ids], html)
     return facts.select(
         *keys,
         "title",
         F.coalesce("h1", "title").alias("company_name"),
         F.col("h2").alias("page_name"),
         F.nullif("notice", F.lit("")).alias("shutdown_notice"),
-        first_match(raw, [r"(?:orgdata|officers|overlap|pay|advisers|docs)\.asp\?p=(\d+)"]).alias("org_id"),
-        first_match(raw, [r"[?&]i=(\d{4,8})\b", r"issue[_ ]?id[=: ]+(\d{4,8})"]).alias("issue_id"),
+        "org_id",
+        "issue_id",
         first_match(text, [r"\bStock code[:\s]+(\d{4,5})", r"\bCode[:\s]+(\d{4,5})"]).alias("code"),
         scalars.parse_date(first_match(text, [r"holdings on (\d{4}-\d{2}-\d{2})", r"Shareholding Date\s*[:：]?\s*(\d{4}[/-]\d{1,2}[/-]\d{1,2})"])).alias("holdings_date"),
         F.regexp_replace(first_match(text, [r"Issued (?:shares|securities)\s*[:：]?\s*([0-9,]+)"]), ",", "").try_cast("bigint").alias("issued_shares"),
@@ -407,7 +414,7 @@ def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("rank", F.coalesce("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("row_no"))))
 
 
-#: For each section the fields of its rows and the headers that hold them, in order of preference.
+# For each section the fields of its rows and the headers that hold them, in order of preference.
 SECTION_FIELDS = {
     "Holdings": {"rank": ["rank", "#"], "participant_name": ["name of ccass participant", "participant", "name"], "participant_id": ["ccass id", "participant id", "id"], "shares": ["holding", "shares", "securities"], "stake": ["stake %", "holding percentage", "stake", "%"], "cumulative": ["cumul stake", "cumulative", "cum"]},
     "Changes": {"participant_name": ["participant", "name"], "change": ["change in shares", "change"], "change_pct": ["stake change", "change %", "%"], "shares_after": ["holding after", "holding"], "stake_after": ["stake after", "stake"]},

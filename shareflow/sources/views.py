@@ -52,10 +52,10 @@ VIEWS: dict[str, str] = {
     "buybacks": """
         select lpad(cast(o_custkey % 200 as string), 5, '0') as code, o_orderkey as seq, cast(o_orderdate as date) as buyback_date,
                o_totalprice as amount_wan, o_totalprice / 10 as shares_wan
-        from orders where o_orderkey % 7 = 0""",
+        from orders""",
     "announcements": """
         select doc_id as news_id, lpad(cast(doc_id % 50 as string), 5, '0') as code, source as category,
-               concat(substr(replace(text, chr(10), ' '), 1, 80), case doc_id % 9 when 0 then ' Rights Issue' when 1 then ' Change of Directors' when 2 then ' 停牌'
+               concat(replace(text, chr(10), ' '), case doc_id % 9 when 0 then ' Rights Issue' when 1 then ' Change of Directors' when 2 then ' 停牌'
                  when 3 then ' Annual Results' when 4 then ' Placing of New Shares' else '' end) as title,
                cast(date '2024-01-01' + cast(doc_id % 1500 as int) as date) as publish_date
         from documents""",

@@ -212,6 +212,12 @@ def text_quality(c: Column) -> Column:
     return F.struct(score.alias("score"), F.length(F.regexp_replace(c, r"(?U)\s+", "")).alias("visible"))
 
 
+def better_text(c: Column) -> Column:
+    """What to order candidate texts by, the best first: score, then visible characters."""
+    q = text_quality(c)
+    return F.struct((-q["score"]).alias("score"), (-q["visible"]).alias("visible"))
+
+
 def json_safe(c: Column) -> Column:
     """Null in place of NaN and infinities."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)

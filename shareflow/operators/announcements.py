@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shareflow.functions.rules import event_tags
+from shareflow.functions.scalars import better_text, clean_extracted
+from shareflow.operators.tables import first_rows
 
 
 def tagged(announcements: DataFrame) -> DataFrame:
@@ -29,3 +31,9 @@ def tag_summary(announcements: DataFrame) -> DataFrame:
     return tagged(announcements).groupBy("code").agg(
         F.count(F.lit(1)).alias("announcements"), F.count_if(F.size("event_tags") > 0).alias("tagged"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("event_tags")))), ",").alias("tags")
     )
+
+
+def best_texts(candidates: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of several extracted texts of one document the best by text_quality(), of equals the first in `order`; blank texts don't count."""
+    rows = candidates.withColumn("text", clean_extracted(F.col("text"))).filter("text <> ''")
+    return first_rows(rows, keys, [better_text(F.col("text")).asc(), F.col(order).asc()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shareflow.functions.scalars import change_percent, hk_amount, price_text, share_amount, signed_percent
@@ -55,6 +55,19 @@ def suspensions(chart: DataFrame, longest: int = LONGEST_GAP) -> DataFrame:
     return chart.filter(F.col("gap_days") > longest).select("code", F.date_sub("date", F.col("gap_days")).alias("start_date"), F.col("date").alias("end_date"))
 
 
+def _cents(turnover: str) -> Column:
+    """Turnover in whole hundredths: sums don't depend on the order of additions."""
+    return F.floor(F.col(turnover) * 100)
+
+
+def trailing_turnover(prices: DataFrame, rows: int = 20) -> DataFrame:
+    """Each row's turnover against the mean of the last `rows` rows of its code up to it, those without turnover left out."""
+    back = Window.partitionBy("code").orderBy("date", "price_source").rowsBetween(1 - rows, Window.currentRow)
+    mean = F.try_divide(F.sum(_cents("turnover")).over(back), F.count("turnover").over(back) * 100.0)
+    out = prices.select("code", "date", "price_source", "turnover", mean.alias("mean_turnover"))
+    return out.withColumn("turnover_vs_mean_pct", F.try_divide("turnover", "mean_turnover") * 100)
+
+
 def price_stats(prices: DataFrame, shares: DataFrame | None = None) -> DataFrame:
     """Per code: the latest record, its change, its turnover against the mean of the last 20 known, its volume by issued shares."""
     back = Window.partitionBy("code").orderBy(F.desc("date"), F.desc("price_source"))
@@ -62,7 +75,7 @@ def price_stats(prices: DataFrame, shares: DataFrame | None = None) -> DataFrame
     known = Window.partitionBy("code").orderBy(F.desc("date"), F.desc("price_source")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranked.withColumn("known", F.count("turnover").over(known))
     at = lambda c, k: F.max(F.when(F.col("n") == k, F.col(c)))
-    recent_turnover = F.when(F.col("known") <= 20, F.col("turnover"))
+    recent_turnover = F.when((F.col("known") <= 20) & F.col("turnover").isNotNull(), _cents("turnover"))
     stats = ranked.groupBy("code").agg(
         at("date", 1).alias("date"),
         at("close", 1).alias("close"),
@@ -70,7 +83,7 @@ def price_stats(prices: DataFrame, shares: DataFrame | None = None) -> DataFrame
         at("vwap", 1).alias("vwap"),
         at("volume", 1).alias("volume"),
         at("turnover", 1).alias("turnover"),
-        F.avg(recent_turnover).alias("mean_turnover"),
+        F.try_divide(F.sum(recent_turnover), F.count(recent_turnover) * 100.0).alias("mean_turnover"),
     )
     stats = stats.withColumns(
         {

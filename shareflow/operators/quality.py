@@ -79,6 +79,11 @@ def run_totals(log: DataFrame) -> DataFrame:
     return log.groupBy("fetched_on").agg(F.count(F.lit(1)).alias("total"), F.count_if(~failed()).alias("ok"), F.count_if(failed()).alias("failed"))
 
 
+def fetched_days(log: DataFrame) -> DataFrame:
+    """Per code: on how many days it was fetched, and the last of them."""
+    return log.groupBy("code").agg(F.count_distinct("fetched_on").alias("fetched_days"), F.max("fetched_on").alias("data_as_of"))
+
+
 def cross_section_warnings(present: DataFrame) -> DataFrame:
     """Warnings of codes (flags holdings, changes, big_changes, concentration) of which one section needs another."""
     texts = F.array_compact(

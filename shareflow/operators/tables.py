@@ -54,7 +54,10 @@ RANGES = {"1M": 31, "3M": 93, "6M": 186, "1Y": 365, "Max": None}
 
 
 def ordered_codes(df: DataFrame, code: Column, seq: str, limit: int) -> DataFrame:
-    """The first distinct codes in order of seq, with `number`; codes beyond the limit are returned with over = true."""
+    """Distinct codes; the first `limit` in order of seq have a `number`, the others are returned with over = true and none.
+
+    Only the first `limit` rows are ever sorted in one task.
+    """
     distinct = first_rows(df.withColumn("code", code).filter("code <> ''"), ["code"], [F.col(seq)])
-    numbered = distinct.withColumn("number", F.row_number().over(Window.orderBy(seq)))
-    return numbered.withColumn("over", F.col("number") > limit)
+    first = distinct.orderBy(seq).limit(limit).withColumn("number", F.row_number().over(Window.orderBy(seq)))
+    return distinct.join(F.broadcast(first.select("code", "number")), "code", "left").withColumn("over", F.col("number").isNull())

@@ -430,15 +430,14 @@ def bar_values(spark, d):
 @register(
     "price_stats",
     """with r as (select *, row_number() over w as n, count(turnover) over (partition by code order by date desc, price_source desc rows unbounded preceding) as known from price_history window w as (partition by code order by date desc, price_source desc)),
-s as (select code, max(date) filter (n = 1) as date, max(close) filter (n = 1) as close, max(close) filter (n = 2) as previous_close, max(vwap) filter (n = 1) as vwap, max(volume) filter (n = 1) as volume, max(turnover) filter (n = 1) as turnover from r group by 1)
-select s.*, case when previous_close <> 0 then (close - previous_close) / previous_close * 100 end as daily_change_pct, case when vwap <> 0 then (close - vwap) / vwap * 100 end as close_vs_vwap_pct, case when issued_shares <> 0 then volume * 100.0::double / issued_shares end as turnover_rate_pct
+s as (select code, max(date) filter (n = 1) as date, max(close) filter (n = 1) as close, max(close) filter (n = 2) as previous_close, max(vwap) filter (n = 1) as vwap, max(volume) filter (n = 1) as volume, max(turnover) filter (n = 1) as turnover, sum(cast(floor(turnover * 100) as bigint)) filter (known <= 20) / (nullif(count(turnover) filter (known <= 20), 0) * 100.0::double) as mean_turnover from r group by 1)
+select s.*, turnover / mean_turnover * 100 as turnover_vs_mean_pct, case when previous_close <> 0 then (close - previous_close) / previous_close * 100 end as daily_change_pct, case when vwap <> 0 then (close - vwap) / vwap * 100 end as close_vs_vwap_pct, case when issued_shares <> 0 then volume * 100.0::double / issued_shares end as turnover_rate_pct
 from s left join stock_meta m on s.code = m.code""",
     "price_history",
     "stock_meta",
 )
 def price_stats(spark, d):
-    # the mean turnover sums doubles, whose last bits depend on the order; tests compare it with a tolerance
-    return prices.price_stats(view(spark, d, "price_history"), view(spark, d, "stock_meta")).drop("mean_turnover", "turnover_vs_mean_pct", "issued_shares")
+    return reports.price_report(view(spark, d, "price_history"), view(spark, d, "share_changes"), view(spark, d, "stock_meta")).stats.drop("issued_shares")
 
 
 CAPITAL = """with cap as (select code, shares_million, cast(trunc(shares_million * 1000000) as bigint) as shares, change_date as as_of, reason from share_changes where change_date is not null and shares_million is not null qualify row_number() over (partition by code order by change_date desc, seq) = 1)"""
@@ -461,7 +460,7 @@ select *, close * issued_shares as market_cap, case when close * issued_shares <
     "stock_meta",
 )
 def price_report(spark, d):
-    return reports.price_report(view(spark, d, "price_history"), view(spark, d, "share_changes"), view(spark, d, "stock_meta"))
+    return reports.price_report(view(spark, d, "price_history"), view(spark, d, "share_changes"), view(spark, d, "stock_meta")).prices
 
 
 @register(
@@ -657,7 +656,7 @@ def watchlist_group(spark, d):
     return rows.filter(F.array_contains("groups", "core")).select("seq", "code")
 
 
-@register("requested_codes", WATCH + ", f as (select seq, code from u qualify row_number() over (partition by code order by seq) = 1), n as (select code, seq, cast(row_number() over (order by seq) as int) as number from f) select *, number > 20 as over from n", "watchlist")
+@register("requested_codes", WATCH + ", f as (select seq, code from u qualify row_number() over (partition by code order by seq) = 1), n as (select code, seq, cast(row_number() over (order by seq) as int) as n from f) select code, seq, case when n <= 20 then n end as number, n > 20 as over from n", "watchlist")
 def requested_codes(spark, d):
     return reports.requested_codes(view(spark, d, "watchlist").select("seq", "code"))
 
@@ -758,8 +757,7 @@ def code_forms(spark, d):
 @register("fresh_codes", "select distinct code from price_history where date = (select max(date) from price_history)", "price_history")
 def fresh_codes(spark, d):
     bars = view(spark, d, "price_history")
-    newest = bars.agg(F.max("date").alias("newest"))
-    return bars.join(newest, F.col("date") == F.col("newest"), "left_semi").select("code").distinct()
+    return quality.fresh_codes(bars, str(bars.agg(F.max("date")).first()[0]))
 
 
 @register(
@@ -768,7 +766,7 @@ def fresh_codes(spark, d):
     "fetch_log",
 )
 def event_days(spark, d):
-    return view(spark, d, "fetch_log").groupBy("code").agg(F.count_distinct("fetched_on").alias("fetched_days"), F.max("fetched_on").alias("data_as_of"))
+    return quality.fetched_days(view(spark, d, "fetch_log"))
 
 
 @register("latest_lines", CHART + ", l as (select code, 'Close' as series, date, close as price from seg union all select code, 'VWAP', date, vwap from seg where vwap is not null) select * from l qualify row_number() over (partition by code, series order by date desc) = 1", "price_history")

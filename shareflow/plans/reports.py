@@ -11,7 +11,7 @@ from shareflow.functions.rules import with_category
 from shareflow.functions.scalars import participant_id, stock_code
 from shareflow.operators import announcements as news
 from shareflow.operators import capital, concentration, flows, history, prices, quality, snapshots
-from shareflow.operators.tables import ordered_codes, top_rows
+from shareflow.operators.tables import last_rows, ordered_codes, recent, top_rows, within_bounds
 from shareflow.sinks import export
 from shareflow.sources import pages
 
@@ -24,6 +24,25 @@ class StockReport(NamedTuple):
     concentration: DataFrame
     patterns: DataFrame
     moves: DataFrame
+    big_changes: DataFrame
+    warnings: DataFrame | None
+
+
+class PriceReport(NamedTuple):
+    """Frames of the price report, for all codes."""
+
+    prices: DataFrame
+    stats: DataFrame
+
+
+class HistoryReport(NamedTuple):
+    """Frames of the participants' history report, for all codes, aligned to the sampled dates."""
+
+    history: DataFrame
+    broker_counts: DataFrame
+    concentration: DataFrame
+    prices: DataFrame
+    latest: DataFrame
 
 
 def categories_of(snaps: DataFrame) -> DataFrame:
@@ -31,16 +50,20 @@ def categories_of(snaps: DataFrame) -> DataFrame:
     return with_category(snaps.groupBy("participant_id").agg(F.min("participant_name").alias("participant_name")))
 
 
-def stock_report(snaps: DataFrame, holdings_limit: int = 15, changes_limit: int = 20, dates_limit: int = 15) -> StockReport:
-    """Latest holdings and changes of each code with categories, its concentration series, patterns and major moves."""
+def stock_report(snaps: DataFrame, holdings_limit: int = 15, changes_limit: int = 20, dates_limit: int = 15, big_limit: int = 10, log: DataFrame | None = None, price_history: DataFrame | None = None) -> StockReport:
+    """Latest holdings and changes of each code with categories, its concentration on both bases, patterns, major moves,
+    the largest changes of stakes of all dates, and (if the fetch log and prices are given) the warnings."""
     kinds = categories_of(snaps).select("participant_id", "category")
     latest = snapshots.date_pairs(snaps).groupBy("code").agg(F.max("date").alias("date"))
     ranked = snapshots.holdings_ranked(snaps.join(latest, ["code", "date"]))
     holdings = ranked.filter(F.col("rank") <= holdings_limit).join(kinds, "participant_id", "left")
     moved = snapshots.consecutive_changes(snaps).join(latest, ["code", "date"])
     top = top_rows(moved, ["code"], [F.desc_nulls_last(F.abs("change_shares")), F.asc("participant_id")], changes_limit, "row_no").join(kinds, "participant_id", "left")
-    series = top_rows(snapshots.concentration_series(snaps), ["code"], [F.desc("date")], dates_limit, "row_no")
-    return StockReport(holdings, top, series, flows.change_patterns(moved), flows.major_moves(moved))
+    series = top_rows(concentration_report(snaps), ["code"], [F.desc("date")], dates_limit, "row_no")
+    stakes = snapshots.consecutive_changes(snaps).filter("change_bps is not null")
+    big = top_rows(stakes, ["code"], [F.desc(F.abs("change_bps")), F.desc("date"), F.asc("participant_id")], big_limit, "row_no").join(kinds, "participant_id", "left")
+    warnings = quality_report(log, price_history) if log is not None and price_history is not None else None
+    return StockReport(holdings, top, series, flows.change_patterns(moved), flows.major_moves(moved), big, warnings)
 
 
 def screen(snaps: DataFrame, meta: DataFrame, codes: DataFrame) -> DataFrame:
@@ -64,20 +87,23 @@ def participant_search(snaps: DataFrame, wanted_id: str, codes: DataFrame) -> Da
     latest = snapshots.date_pairs(snaps).groupBy("code").agg(F.max("date").alias("date"))
     ranked = snapshots.holdings_ranked(snaps.join(latest, ["code", "date"])).filter(F.upper(F.trim("participant_id")) == pid)
     found = codes.select(stock_code(F.col("code")).alias("code")).distinct().join(ranked, "code", "left")
-    return found.withColumn("found", F.col("participant_id").isNotNull()).orderBy(F.desc(F.coalesce("bps", F.lit(0))), "code")
+    return found.withColumn("found", F.col("participant_id").isNotNull())
 
 
 def diff_report(snaps: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Changed participants by size of change, net flow by category, and a summary of each pair of dates."""
+    """Changed participants, net flow by category, and a summary of each pair of dates."""
     compared = snapshots.diff(snaps, pairs)
     keys = ["code", "date_a", "date_b"]
     kinds = categories_of(snaps)
-    return snapshots.changed_only(compared).orderBy(*keys, F.desc(F.abs("change_shares")), "participant_id"), snapshots.net_flow(compared, kinds, keys), snapshots.diff_summary(compared)
+    return snapshots.changed_only(compared), snapshots.net_flow(compared, kinds, keys), snapshots.diff_summary(compared)
 
 
-def price_report(price_history: DataFrame, share_changes: DataFrame, meta: DataFrame, limit: int = 20) -> DataFrame:
-    """The latest prices of each code with market cap and turnover by cap, capital from share changes or the stock's data."""
-    return prices.with_share_capital(prices.latest_prices(price_history, limit), capital.latest_capital(share_changes), meta)
+def price_report(price_history: DataFrame, share_changes: DataFrame, meta: DataFrame, limit: int = 20, days: int | None = None, start: str | None = None) -> PriceReport:
+    """The latest prices of each code with market cap and turnover by cap, capital from share changes or the stock's data,
+    and each code's statistics; of the last `days` of each code, or from `start` on, if given."""
+    rows = recent(price_history, ["code"], "date", days)
+    rows = rows.filter(F.col("date") >= F.lit(start).cast("date")) if start else rows
+    return PriceReport(prices.with_share_capital(prices.latest_prices(rows, limit), capital.latest_capital(share_changes), meta), prices.price_stats(rows, meta))
 
 
 def announcement_report(announcements: DataFrame, as_of: str, years: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -97,6 +123,16 @@ def participant_history(snaps: DataFrame, top: int = 10, most_dates: int = 12) -
     return history.dense_history(history.top_participants(ranked, top), history.sampled_dates(snaps, most_dates), snaps)
 
 
+def history_report(snaps: DataFrame, price_history: DataFrame, top: int = 10, most_dates: int = 12) -> HistoryReport:
+    """Stakes of the largest participants on sampled dates; broker counts and concentration of these dates; prices of the
+    time they span; and the last line of each participant."""
+    dates = history.sampled_dates(snaps, most_dates)
+    stakes = history.dense_history(history.top_participants(snapshots.holdings_ranked(snaps), top), dates, snaps)
+    brokers = snapshots.broker_counts(snaps.join(dates, ["code", "date"], "left_semi"))
+    series = concentration_report(snaps).join(dates, ["code", "date"], "left_semi")
+    return HistoryReport(stakes, brokers, series, within_bounds(price_history, dates, ["code"], "date"), last_rows(stakes, ["code", "participant_id"], "date"))
+
+
 def price_chart(price_history: DataFrame, days: int | None = 365) -> DataFrame:
     return prices.with_labels(prices.chart_frame(price_history, days))
 
@@ -137,9 +173,13 @@ def people_report(officer_pages: DataFrame, manager_pages: DataFrame, site: str,
     return people.filter("is_current") if current_only else people, pages.managers(manager_pages, ["code"])
 
 
-def full_export(snaps: DataFrame, share_changes: DataFrame, buybacks: DataFrame, log: DataFrame, price_history: DataFrame, source: str) -> DataFrame:
-    """All sections of all codes as one table with provenance, status rows first and warnings last."""
+def full_export(snaps: DataFrame, share_changes: DataFrame, buybacks: DataFrame, log: DataFrame, price_history: DataFrame, source: str, meta: DataFrame | None = None, more: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All sections of all codes as one table with provenance: metadata and status rows first, warnings last.
+
+    more: sections read from pages (events, officers, managers), each with a code column.
+    """
     report = stock_report(snaps)
     _, changes, bought = capital_report(share_changes, buybacks)
-    sections = {"Holdings": report.holdings, "Changes": report.changes, "Concentration": report.concentration, "Share changes": changes, "Buybacks": bought}
-    return export.combined(sections, source, warnings=quality_report(log, price_history), summary=quality.fetch_summary(log).withColumnRenamed("section", "fetched_section").drop("status"))
+    sections = {"Holdings": report.holdings, "Changes": report.changes, "Big Changes": report.big_changes, "Concentration": report.concentration, "Price History": prices.latest_prices(price_history), "Share changes": changes, "Buybacks": bought, **(more or {})}
+    summary = quality.fetch_summary(log).withColumnRenamed("section", "fetched_section").withColumnRenamed("error", "error_message").withColumnRenamed("status", "fetch_status")
+    return export.combined(sections, source, warnings=quality_report(log, price_history), summary=summary, metadata=meta)

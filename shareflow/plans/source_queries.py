@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from shareflow.functions import rules, scalars
 from shareflow.functions.columns import harmonised
-from shareflow.operators import prices, quality, snapshots
+from shareflow.operators import announcements, prices, quality, snapshots
 from shareflow.plans import reports
-from shareflow.plans.queries import BIG, CHANGES, FAILED, SERIES, register
+from shareflow.plans.queries import BIG, CHANGES, EVENTS_SQL, FAILED, FEED, KINDS, RANKED, SAMPLED, SERIES, register
 from shareflow.sinks import export, ingest
 from shareflow.sources import feeds, pages
 from shareflow.sources.views import load, view
@@ -366,10 +366,10 @@ def merged_meta(spark, d):
     return ingest.merged_meta(old, new.withColumn("issued_shares", F.when(F.col("code") < "00010", F.col("issued_shares"))))
 
 
-@register("combined_table", "select 'data' as record_type, 'Holdings' as section, code, 'views' as source, cast(date as varchar) as data_as_of, 'success' as status, cast(shares as varchar) as shares, cast(null as varchar) as close from snapshots union all select 'data', 'Prices', code, 'views', cast(date as varchar), 'success', null, cast(cast(floor(close) as bigint) as varchar) from price_history", "snapshots", "price_history")
+@register("combined_table", "select 'data' as record_type, cast(null as varchar) as row_meaning, cast(null as varchar) as name, cast(null as varchar) as issue_id, cast(null as varchar) as source_url, cast(null as varchar) as fetched_at, cast(null as varchar) as fetch_method, cast(null as varchar) as http_status, cast(null as varchar) as error_type, cast(null as varchar) as error_message, cast(null as varchar) as fallback_method, 'Holdings' as section, code, 'views' as source, cast(date as varchar) as data_as_of, 'success' as status, cast(shares as varchar) as shares, cast(null as varchar) as close from snapshots union all select 'data', 'daily prices', null, null, null, null, null, null, null, null, null, 'Prices', code, 'views', cast(date as varchar), 'success', null, cast(cast(floor(close) as bigint) as varchar) from price_history", "snapshots", "price_history")
 def combined_table(spark, d):
     bars = view(spark, d, "price_history").select("code", "date", F.floor("close").alias("close"))
-    return export.combined({"Holdings": view(spark, d, "snapshots").select("code", "date", "shares"), "Prices": bars}, "views").drop("date")
+    return export.combined({"Holdings": view(spark, d, "snapshots").select("code", "date", "shares"), "Prices": bars}, "views", meanings={"Prices": "daily prices"}).drop("date")
 
 
 @register("json_records", "select 'Holdings' as section, code, '{\"code\":\"' || code || '\",\"shares\":' || shares || '}' as record from snapshots", "snapshots")
@@ -466,3 +466,86 @@ def daily_ingest(spark, d):
     wanted = feeds.watchlist_rows(view(spark, d, "watchlist").select("seq", "code", "name", "group_text"))
     landed = view(spark, d, "price_history").select("code", "date", "price_source", "close", "volume", F.lit(1).alias("fetched_at"))
     return ingest.daily_ingest(wanted, landed, scratch(spark, "ingest"))
+
+
+@register("daily_ingest_snapshots", "with w as (select distinct lpad(substr(code, 3), 5, '0') as code from watchlist), s as (select code, count(*) as n from snapshots group by 1), p as (select distinct code from price_history) select w.code, coalesce(s.n, 0) as snapshot_rows, p.code is not null as ok from w left join s on w.code = s.code left join p on w.code = p.code", "watchlist", "price_history", "snapshots")
+def daily_ingest_snapshots(spark, d):
+    wanted = feeds.watchlist_rows(view(spark, d, "watchlist").select("seq", "code", "name", "group_text"))
+    landed = view(spark, d, "price_history").select("code", "date", "price_source", "close", "volume", F.lit(1).alias("fetched_at"))
+    holdings = view(spark, d, "snapshots").select("code", "date", "participant_id", "shares", F.lit(1).alias("fetched_at"))
+    report = ingest.daily_ingest(wanted, landed, scratch(spark, "ingest"), holdings, view(spark, d, "stock_meta").select("code", "name", "issued_shares", "issued_shares_as_of"))
+    return report.select("code", "snapshot_rows", "ok")
+
+
+@register("daily_totals", "with w as (select distinct lpad(substr(code, 3), 5, '0') as code from watchlist), p as (select distinct code from price_history) select count(*) as total, count(p.code) as ok, count(*) - count(p.code) as failed from w left join p on w.code = p.code", "watchlist", "price_history")
+def daily_totals(spark, d):
+    return ingest.daily_totals(daily_ingest(spark, d))
+
+
+@register("trailing_turnover", """with t as (select code, date, price_source, turnover, sum(cast(floor(turnover * 100) as bigint)) over w / (nullif(count(turnover) over w, 0) * 100.0::double) as mean_turnover from price_history window w as (partition by code order by date, price_source rows between 19 preceding and current row))
+select *, turnover / mean_turnover * 100 as turnover_vs_mean_pct from t""", "price_history")
+def trailing_turnover(spark, d):
+    return prices.trailing_turnover(view(spark, d, "price_history"))
+
+
+@register("report_big_changes", CHANGES + f", {KINDS}, c as (select *, cast(row_number() over (partition by code order by abs(change_bps) desc, date desc, participant_id) as int) as row_no from changes where change_bps is not null) select c.*, k.category from c left join kinds k on k.participant_id = c.participant_id where row_no <= 10", "snapshots")
+def report_big_changes(spark, d):
+    return reports.stock_report(view(spark, d, "snapshots")).big_changes
+
+
+@register("report_concentration", FEED + ", c as (select *, cast(row_number() over (partition by code order by date desc) as int) as row_no from feed) select code, date, top5_pct, top5_pct * stake_pct / 100 as top5_pct_of_issued, row_no from c where row_no <= 15", "snapshots")
+def report_concentration(spark, d):
+    return reports.stock_report(view(spark, d, "snapshots")).concentration.select("code", "date", "top5_pct", "top5_pct_of_issued", "row_no")
+
+
+@register("price_report_window", "with p as (select * from price_history qualify date >= max(date) over (partition by code) - interval 30 day) select code, date, price_source, close, cast(row_number() over (partition by code order by date desc, price_source) as int) as row_number from p qualify row_number <= 20", "price_history")
+def price_report_window(spark, d):
+    report = reports.price_report(view(spark, d, "price_history"), view(spark, d, "share_changes"), view(spark, d, "stock_meta"), days=30, start="1970-01-01")
+    return report.prices.select("code", "date", "price_source", "close", "row_number")
+
+
+@register("history_broker_counts", SAMPLED + " select s.code, s.date, count(*) as participants from snapshots h join sampled s on h.code = s.code and h.date = s.date where regexp_matches(participant_id, '^[A-C][0-9]{5}$') group by all", "snapshots")
+def history_broker_counts(spark, d):
+    return reports.history_report(view(spark, d, "snapshots"), view(spark, d, "price_history"), 10, 3).broker_counts
+
+
+@register("announcement_report", f"with a as (select *, lower(coalesce(category, '') || ' ' || coalesce(title, '')) as t from announcements where publish_date >= date '2026-01-01' - interval 365 day) select news_id, code, array_to_string({EVENTS_SQL}, ',') as tags from a where len({EVENTS_SQL}) > 0", "announcements")
+def announcement_report(spark, d):
+    return reports.announcement_report(view(spark, d, "announcements"), "2026-01-01")[0].select("news_id", "code", F.array_join("event_tags", ",").alias("tags"))
+
+
+QUALITY_SQL = "10 * (length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g'))) + length(text) - length(regexp_replace(text, '[A-Za-z0-9]', '', 'g')) - 20 * (length(text) - length(regexp_replace(text, '\ufffd', '', 'g')))"
+
+
+@register("best_texts", f"select source, max({QUALITY_SQL}) as score from documents where text is not null and trim(text) <> '' group by 1")
+def best_texts(spark, d):
+    best = announcements.best_texts(load(spark, d, "documents").select("source", "doc_id", "text"), ["source"], "doc_id")
+    return best.select("source", scalars.text_quality(F.col("text"))["score"].alias("score"))
+
+
+@register(
+    "full_export",
+    CHANGES
+    + f""", {RANKED.replace('with ', '', 1)}, last as (select code, max(date) as date from pairs group by 1), n as (
+  select 'Holdings' as section, 'data' as record_type, r.code, count(*) as n from ranked r join last l on r.code = l.code and r.date = l.date where rank <= 15 group by all
+  union all select 'Changes', 'data', c.code, least(count(*), 20) from changes c join last l on c.code = l.code and c.date = l.date group by all
+  union all select 'Big Changes', 'data', code, least(count(*), 10) from changes where change_bps is not null group by all
+  union all select 'Concentration', 'data', code, least(count(distinct date), 15) from snapshots group by all
+  union all select 'Price History', 'data', code, least(count(*), 90) from price_history group by all
+  union all select 'Share changes', 'data', code, least(count(*), 30) from share_changes group by all
+  union all select 'Buybacks', 'data', code, least(count(*), 20) from buybacks group by all
+  union all select 'Events', 'data', code, count(*) from share_changes group by all
+  union all select 'Metadata', 'metadata', code, 1 from stock_meta
+  union all select 'status', 'status', code, 5 from (select distinct code from fetch_log))
+select * from n""",
+    "snapshots",
+    "share_changes",
+    "buybacks",
+    "fetch_log",
+    "price_history",
+    "stock_meta",
+)
+def full_export(spark, d):
+    table = reports.full_export(*(view(spark, d, v) for v in ("snapshots", "share_changes", "buybacks", "fetch_log", "price_history")), "views", view(spark, d, "stock_meta"), {"Events": pages.corporate_events(_event_pages(spark, d), ["code"], SITE)})
+    # warnings have a query of their own
+    return table.filter("record_type <> 'warning'").groupBy("section", "record_type", "code").agg(F.count(F.lit(1)).alias("n"))

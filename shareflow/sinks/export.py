@@ -7,22 +7,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PROVENANCE = ["record_type", "section", "code", "source", "data_as_of", "status"]
-
-
-def section_rows(section: str, rows: DataFrame, source: str, status: str = "success", record_type: str = "data") -> DataFrame:
-    """Rows of a section with provenance columns in front; all other columns become text, so sections can be united."""
-    as_of: Column = F.col("date").cast("string") if "date" in rows.columns else F.lit(None).cast("string")
-    code: Column = F.col("code") if "code" in rows.columns else F.lit(None).cast("string")
-    lead = [F.lit(record_type), F.lit(section), code, F.lit(source), as_of, F.lit(status)]
+#: Leading columns of a combined table: what a row is, whose it is, where it comes from, and how its fetch went.
+PROVENANCE = [
+    "record_type", "section", "row_meaning", "code", "name", "issue_id", "source", "source_url", "fetched_at", "data_as_of",
+    "status", "fetch_method", "http_status", "error_type", "error_message", "fallback_method",
+]
+
+
+def section_rows(section: str, rows: DataFrame, source: str, status: str = "success", record_type: str = "data", meaning: str | None = None) -> DataFrame:
+    """Rows of a section with the leading columns in front, taken from the rows where they have them; all others become text.
+
+    data_as_of is the rows' own, else their date.
+    """
+    given = {"record_type": record_type, "section": section, "row_meaning": meaning, "source": source, "status": status}
+    have = lambda c: F.col(f"`{c}`").cast("string") if c in rows.columns else F.lit(given.get(c)).cast("string")
+    lead: dict[str, Column] = {c: F.lit(given[c]).cast("string") if c in given else have(c) for c in PROVENANCE}
+    if "data_as_of" not in rows.columns and "date" in rows.columns:
+        lead["data_as_of"] = F.col("date").cast("string")
     rest = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(f"`{c}`").cast("string").alias(c) for c, kind in rows.dtypes if c not in PROVENANCE]
-    return rows.select(*(x.alias(n) for x, n in zip(lead, PROVENANCE, strict=True)), *rest)
+    return rows.select(*(x.alias(n) for n, x in lead.items()), *rest)
 
 
-def combined(sections: dict[str, DataFrame], source: str, warnings: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
-    """All sections as one table: status rows, data rows, warning rows; columns that a section lacks are null."""
-    frames = [section_rows("status", summary, source, record_type="status")] if summary is not None else []
-    frames += [section_rows(name, rows, source) for name, rows in sections.items()]
+def combined(sections: dict[str, DataFrame], source: str, warnings: DataFrame | None = None, summary: DataFrame | None = None, metadata: DataFrame | None = None, meanings: dict[str, str] | None = None) -> DataFrame:
+    """All sections as one table: a metadata row per code, status, data and warning rows; columns that a section lacks are null."""
+    extra = [("Metadata", metadata, "metadata"), ("status", summary, "status")]
+    frames = [section_rows(name, rows, source, record_type=kind) for name, rows, kind in extra if rows is not None]
+    frames += [section_rows(name, rows, source, meaning=(meanings or {}).get(name)) for name, rows in sections.items()]
     frames += [section_rows("warnings", warnings, source, record_type="warning")] if warnings is not None else []
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

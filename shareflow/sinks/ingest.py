@@ -25,12 +25,22 @@ def last_written(rows: DataFrame, key: list[str], order: str = "fetched_at") ->
 
 
 def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table at path, or an empty one if nothing was written yet; other faults of reading it are errors."""
     try:
         return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:  # nothing was written yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], like.schema)
 
 
+def written_beside(rows: DataFrame, path: str) -> DataFrame:
+    """rows, written to a staging folder beside path and read again, so path itself can be overwritten."""
+    staging = f"{path.rstrip('/')}_staging/{uuid.uuid4().hex}"
+    rows.write.parquet(staging)
+    return rows.sparkSession.read.schema(rows.schema).parquet(staging)
+
+
 def upsert(path: str, incoming: DataFrame, key: list[str], partition: str = "date", order: str = "fetched_at") -> None:
     """Insert or replace rows by key; only partitions that incoming touches are read and written."""
     spark = incoming.sparkSession
@@ -56,7 +66,7 @@ def clean_prices(raw: DataFrame) -> DataFrame:
 
 def upsert_prices(path: str, raw: DataFrame) -> int:
     """Clean and upsert prices; the number of rows of the batch."""
-    rows = clean_prices(raw)
+    rows = written_beside(clean_prices(raw), path)
     upsert(path, rows, PRICE_KEY)
     return rows.count()
 
@@ -72,9 +82,28 @@ def merged_meta(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def daily_ingest(watchlist: DataFrame, landed: DataFrame, path: str) -> DataFrame:
-    """Upsert the landed prices of listed codes and report each code: rows landed, ok or the reason why not."""
-    wanted = landed.join(watchlist.select("code"), "code", "left_semi")
-    upsert_prices(path, wanted)
-    rows = wanted.groupBy("code").agg(F.count(F.lit(1)).alias("rows"))
-    return watchlist.select("code").join(rows, "code", "left").select("code", F.coalesce("rows", F.lit(0)).alias("rows"), F.col("rows").isNotNull().alias("ok"), F.when(F.col("rows").isNull(), "no prices landed").alias("error"))
+def daily_ingest(watchlist: DataFrame, landed: DataFrame, path: str, holdings: DataFrame | None = None, meta: DataFrame | None = None) -> DataFrame:
+    """Upsert what has landed of listed codes and report each code: price rows, ok or the reason why not.
+
+    Prices go to path/prices. holdings (snapshots, if given) go to path/snapshots, and meta is merged into path/stock_meta;
+    then the report has snapshot_rows too. daily_totals() sums the report up.
+    """
+    of = lambda rows: rows.join(watchlist.select("code"), "code", "left_semi")
+    counts = lambda rows, name: rows.groupBy("code").agg(F.count(F.lit(1)).alias(name))
+    wanted = of(landed)
+    upsert_prices(f"{path}/prices", wanted)
+    report = watchlist.select("code").join(counts(wanted, "rows"), "code", "left")
+    if holdings is not None:
+        upsert_snapshots(f"{path}/snapshots", of(holdings))
+        report = report.join(counts(of(holdings), "snapshot_rows"), "code", "left").withColumn("snapshot_rows", F.coalesce("snapshot_rows", F.lit(0)))
+    if meta is not None:
+        target = f"{path}/stock_meta"
+        new = written_beside(merged_meta(_existing(meta.sparkSession, target, meta), of(meta)).select(meta.columns), target)
+        new.write.mode("overwrite").parquet(target)
+    error = F.when(F.col("rows").isNull(), "no prices landed")
+    return report.withColumns({"ok": F.col("rows").isNotNull(), "error": error, "rows": F.coalesce("rows", F.lit(0))})
+
+
+def daily_totals(report: DataFrame) -> DataFrame:
+    """One row for a run: codes, and how many went well and failed."""
+    return report.agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))

@@ -156,3 +156,10 @@ def test_page_reports(spark):
     assert len(r) == 1 and r[0].data_as_of == "2024-01-05"
     people, bosses = reports.people_report(spark.createDataFrame([("00001", OFFICERS)], "code string, html string"), spark.createDataFrame([("00001", MANAGERS)], "code string, html string"), "https://s")
     assert people.count() == 1 and bosses.count() == 2
+
+
+def test_malformed_page_costs_only_itself(spark):
+    df = spark.createDataFrame([(1, "<table><tr><td>a</td></tr></table><![x[ <table><tr><td>lost</td></tr></table>"), (2, "<table><tr><td>b</td></tr></table>"), (3, None)], "k long, html string")
+    got = {(r.k, r.cells[0].text) for r in pages.html_tables(df, ["k"]).collect()}
+    assert {(1, "a"), (2, "b")} <= got
+    assert pages.page_metadata(df, ["k"]).count() == 3

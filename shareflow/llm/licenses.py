@@ -1,19 +1,27 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences and each is normalised; an ordered rule of a licence matches where sentences that follow one
-another without a gap hold the rule's words and nothing else. Cuts inside the rule's words don't matter: hard-wrapped
-lines, "v. 2.0" or "WARRANTY; without" split a text where a rule doesn't, and the rule matches all the same. A match that
-lies within a longer match of the same document is dropped.
-
-- null or empty text has no sentences; sentences without a letter or digit don't count and leave no gap;
-- a sentence that is a list number ("1.") leaves no gap either, but counts in first_sentence and n_sentences;
-- a document without a match gives no row; repeated rows of one doc_id and text give one set of matches;
+1. A text is cut into pieces at line ends and sentence ends, each normalised.
+2. Known licence sentences are recognised: a run of pieces that holds a sentence's words and nothing else is one occurrence
+   of that sentence's identifier. Cuts inside a sentence don't matter: hard-wrapped lines, comment signs at their beginning,
+   "v. 2.0" or "WARRANTY; without" cut a text where a sentence doesn't end, and it is found all the same.
+3. Licence rules are ordered sequences of identifiers; a rule matches where occurrences of its identifiers follow one
+   another without a gap.
+4. A match that lies within a longer match of the same text is dropped.
+
+All of it happens within a row, so texts are read once and never shuffled; only matches are.
+
+- null or empty text has no sentences; pieces without a letter or digit don't count and leave no gap;
+- a piece that is a list number ("1.") leaves no gap either, but counts in first_sentence and n_sentences;
+- a document without a match gives no row; texts are looked at one by one, also those of one doc_id or of null ids; equal
+  matches of rows that share a doc_id are given once;
 - an empty table gives an empty result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shareflow.llm.common import text_or_empty
@@ -48,6 +56,28 @@ SENTENCES = {
     "cc0": "this work is dedicated to the public domain under cc0 1 0",
     "isc-1": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "unlicense-1": "this is free and unencumbered software released into the public domain",
+    "unlicense-2": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "mit-4": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-5": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "lgpl21-1": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl21-2": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl21-3": "see the gnu lesser general public license for more details",
+    "lgpl3-1": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-1": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-3": "see the gnu affero general public license for more details",
+    "boost-1": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "boost-short": "distributed under the boost software license version 1 0",
+    "zlib-1": "this software is provided as is without any express or implied warranty",
+    "zlib-2": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-3": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "isc-2": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "epl-1": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "wtfpl-1": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "artistic-short": "licensed under the artistic license 2 0",
+    "cc-by-long": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-long": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-long": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd-long": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
 }
 
 # Licence, and its sentences in order.
@@ -71,6 +101,24 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("ISC", ["isc-1"]),
     ("Unlicense", ["unlicense-1"]),
+    ("Unlicense", ["unlicense-1", "unlicense-2"]),
+    ("MIT", ["mit-1", "mit-2", "mit-3", "mit-4"]),
+    ("BSD-2-Clause", ["bsd-1", "bsd-2", "bsd-3", "bsd-5"]),
+    ("BSD-3-Clause", ["bsd-1", "bsd-2", "bsd-3", "bsd-4", "bsd-5"]),
+    ("LGPL-2.1", ["lgpl21-1", "lgpl21-2", "lgpl21-3"]),
+    ("LGPL-3.0", ["lgpl3-1", "gpl-2", "lgpl21-3"]),
+    ("AGPL-3.0", ["agpl3-1", "gpl-2", "agpl3-3"]),
+    ("BSL-1.0", ["boost-1"]),
+    ("BSL-1.0", ["boost-short"]),
+    ("Zlib", ["zlib-1", "zlib-2", "zlib-3"]),
+    ("ISC", ["isc-1", "isc-2"]),
+    ("EPL-2.0", ["epl-1"]),
+    ("WTFPL", ["wtfpl-1"]),
+    ("Artistic-2.0", ["artistic-short"]),
+    ("CC-BY-4.0", ["cc-by-long"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-long"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-long"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-long"]),
 ]
 
 
@@ -86,49 +134,88 @@ def sentences(text: Column) -> Column:
     return F.array_remove(plain, "")
 
 
-def _matches(kept: Column, rule: Column, n_words: Column) -> Column:
-    """Array of (first_sentence, n_sentences): where sentences of `kept` (an array of no, s) hold the rule's words and no other."""
+#: Every rule has a sentence with one of these in a word, so a text without any needs no closer look.
+ANCHORS = ("licens", "permission", "redistribution", "software", "domain")
+
+
+def _occurrences(kept: Column, sentence: Column, n_words: Column) -> Column:
+    """Array of (at, end): where pieces of `kept` (an array of no, s), from the one at place `at` to before `end`, hold the sentence's words and no other."""
 
     def at(k: Column) -> Column:
-        # a sentence has a word at least, so a match takes n_words sentences at most
-        run = F.slice(kept, k, n_words)
-        text = F.array_join(F.transform(run, lambda x: x["s"]), "\n")
-        head = F.substr(text, F.lit(1), F.length(rule))
-        whole = (F.translate(head, "\n", " ") == rule) & F.substr(text, F.length(rule) + 1, F.lit(1)).isin("", "\n")
-        last = F.length(head) - F.length(F.translate(head, "\n", ""))
-        return F.when(whole, F.struct(run[0]["no"].alias("first_sentence"), (run[last]["no"] - run[0]["no"] + 1).alias("n_sentences")))
-
-    starts = F.filter(F.transform(kept, lambda x, k: F.when(F.startswith(rule, x["s"]), k + 1)), lambda k: k.isNotNull())
+        # a piece has a word at least, so a sentence takes n_words pieces at most
+        text = F.array_join(F.transform(F.slice(kept, k, n_words), lambda x: x["s"]), "\n")
+        head = F.substr(text, F.lit(1), F.length(sentence))
+        whole = (F.translate(head, "\n", " ") == sentence) & F.substr(text, F.length(sentence) + 1, F.lit(1)).isin("", "\n")
+        return F.when(whole, F.struct(k.alias("at"), (k + 1 + F.length(head) - F.length(F.translate(head, "\n", ""))).alias("end")))
+
+    starts = F.filter(F.transform(kept, lambda x, k: F.when(F.startswith(sentence, x["s"]), k + 1)), lambda k: k.isNotNull())
     return F.array_compact(F.transform(starts, at))
 
 
-def license_scan(docs: DataFrame, rules: list[tuple[str, int, str, int, int]] | None = None) -> DataFrame:
+def _recognised(kept: Column, known: Column) -> Column:
+    """Array of (id, at, end): the occurrences of all known sentences (an array of id, sentence, n_words)."""
+    text = F.array_join(F.transform(kept, lambda x: x["s"]), " ")
+    # the text is a variable of a lambda, so that it is put together once and not for each sentence
+    held = F.flatten(F.transform(F.array(text), lambda t: F.filter(known, lambda r: F.contains(t, r["sentence"]))))
+    found = F.transform(held, lambda r: F.transform(_occurrences(kept, r["sentence"], r["n_words"]), lambda o: F.struct(r["id"].alias("id"), o["at"].alias("at"), o["end"].alias("end"))))
+    return F.flatten(found)
+
+
+def _ruled(kept: Column, seen: Column, rules: Column) -> Column:
+    """Array of (license, rule_id, first_sentence, n_sentences): where occurrences follow one another as a rule (license, rule_id, ids) says."""
+    span = "array<struct<at:int,end:int>>"
+
+    def chains(ids: Column) -> Column:
+        begun = F.transform(F.filter(seen, lambda o: o["id"] == ids[0]), lambda o: F.struct(o["at"].alias("at"), o["end"].alias("end"))).cast(span)
+
+        def longer(so_far: Column, wanted: Column) -> Column:
+            return F.flatten(F.transform(so_far, lambda c: F.transform(F.filter(seen, lambda o: (o["id"] == wanted) & (o["at"] == c["end"])), lambda o: F.struct(c["at"].alias("at"), o["end"].alias("end"))))).cast(span)
+
+        return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), begun, longer)
+
+    def match(r: Column, c: Column) -> Column:
+        first, last = F.get(kept, c["at"] - 1)["no"], F.get(kept, c["end"] - 2)["no"]
+        return F.struct(r["license"].alias("license"), r["rule_id"].alias("rule_id"), first.alias("first_sentence"), (last - first + 1).alias("n_sentences"))
+
+    return F.flatten(F.transform(rules, lambda r: F.transform(chains(r["ids"]), lambda c: match(r, c))))
+
+
+def _outermost(matches: Column) -> Column:
+    """The matches that don't lie within a longer one."""
+
+    def inside(m: Column, w: Column) -> Column:
+        end = lambda x: x["first_sentence"] + x["n_sentences"]
+        return (w["n_sentences"] > m["n_sentences"]) & (m["first_sentence"] >= w["first_sentence"]) & (end(m) <= end(w))
+
+    return F.filter(matches, lambda m: ~F.exists(matches, lambda w: inside(m, w)))
+
+
+def license_scan(docs: DataFrame, steps: list[tuple[str, int, str, int, int]] | None = None) -> DataFrame:
     """doc_id, license, rule_id, first_sentence, n_sentences: a row per match. The rules are the library's own fixed table.
 
-    n_sentences counts the document's sentences, which are more than the rule's where lines are wrapped.
+    steps: other rules, as rule_steps() gives them. n_sentences counts the document's pieces, which are more than the
+    rule's sentences where lines are wrapped.
     """
-    spark: SparkSession = docs.sparkSession
-    texts: dict[tuple[str, int], list[str]] = {}
-    for licence, rule_id, sentence, _, _ in sorted(rules or rule_steps(), key=lambda x: (x[1], x[3])):
-        texts.setdefault((licence, rule_id), []).append(sentence)
-    whole = [(licence, rule_id, " ".join(s)) for (licence, rule_id), s in texts.items()]
-    table = spark.createDataFrame([(*x, x[2].count(" ") + 1) for x in whole], "license string, rule_id int, rule string, n_words int")
+    steps = sorted(steps or rule_steps(), key=lambda x: (x[1], x[3]))
+    number = {sentence: k for k, sentence in enumerate(dict.fromkeys(x[2] for x in steps))}
+    ids: dict[tuple[str, int], list[int]] = {}
+    for licence, rule_id, sentence, _, _ in steps:
+        ids.setdefault((licence, rule_id), []).append(number[sentence])
+    known = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(s).alias("sentence"), F.lit(s.count(" ") + 1).alias("n_words")) for s, k in number.items()))
+    rules = F.array(*(F.struct(F.lit(licence).alias("license"), F.lit(rule_id).alias("rule_id"), F.array(*map(F.lit, x)).alias("ids")) for (licence, rule_id), x in ids.items()))
+    anchored = all(any(a in " ".join(x[2] for x in steps if x[1] == rule_id) for a in ANCHORS) for _, rule_id in ids)
+    likely = F.exists(F.array(F.lower(text_or_empty())), lambda t: reduce(Column.__or__, [F.contains(t, F.lit(a)) for a in ANCHORS])) if anchored else F.lit(True)
     numbered = F.transform(sentences(text_or_empty()), lambda x, k: F.struct(k.alias("no"), x.alias("s")))
-    cut = docs.select("doc_id", numbered.alias("all"))
-    # a number on a line of its own may be a list's or, where the line was wrapped, the rule's: both readings are tried
-    unlisted = F.filter("all", lambda x: ~x["s"].rlike("^[0-9]{1,3}$"))
-    texts_read = F.array_distinct(F.transform(F.array("all", unlisted), lambda a: F.array_join(F.transform(a, lambda x: x["s"]), " ")))
-    # the text is a variable of a lambda, so that it is put together once and not for each rule
-    held = F.transform(texts_read, lambda t: F.array_compact(F.array(*(F.when(F.contains(t, F.lit(rule)), F.lit(rule_id)) for _, rule_id, rule in whole))))
-    candidates = cut.select("doc_id", "all", unlisted.alias("unlisted"), F.explode(F.array_distinct(F.flatten(held))).alias("rule_id"))
-    # the rule table is fixed by its author, a few kilobytes, whatever the corpus
-    places = F.concat(*(_matches(F.col(x), F.col("rule"), F.col("n_words")) for x in ("all", "unlisted")))
-    runs = candidates.join(F.broadcast(table), "rule_id").select("doc_id", "license", "rule_id", F.inline(places)).distinct()
-    wide = runs.select("doc_id", F.col("first_sentence").alias("wide_first"), F.col("n_sentences").alias("wide_n"))
-    within = (F.col("wide_n") > F.col("n_sentences")) & (F.col("first_sentence") >= F.col("wide_first")) & (F.col("first_sentence") + F.col("n_sentences") <= F.col("wide_first") + F.col("wide_n"))
-    # rules of one sentence can't hold another match
-    wide = wide.filter("wide_n > 1")
-    return runs.join(wide, runs["doc_id"].eqNullSafe(wide["doc_id"]) & within, "left_anti").select("doc_id", "license", "rule_id", "first_sentence", "n_sentences")
+    # every step passes a one-element generator, so that the next refers to its result and doesn't work it out again
+    once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))
+    cut = once(docs.filter(likely).select("doc_id", "text"), "all", numbered).drop("text")
+    # a number on a line of its own may be a list's or, where the line was wrapped, the sentence's: both readings are tried
+    cut = once(cut, "unlisted", F.filter("all", lambda x: ~x["s"].rlike("^[0-9]{1,3}$")))
+    for kept in ("all", "unlisted"):
+        cut = once(cut, f"seen_{kept}", _recognised(F.col(kept), known))
+    cut = cut.filter("size(seen_all) > 0 or size(seen_unlisted) > 0")
+    cut = once(cut, "matches", F.array_distinct(F.concat(*(_ruled(F.col(k), F.col(f"seen_{k}"), rules) for k in ("all", "unlisted")))))
+    return cut.select("doc_id", F.inline(_outermost(F.col("matches")))).distinct()
 
 
 def oracle() -> str:

@@ -24,6 +24,12 @@ BSD = [
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
 ]
+DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+LESSER = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+UNLICENSE = [
+    "This is free and unencumbered software released into the public domain.",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+]
 #: For each of RULES, the licence's own wording in paragraphs.
 CANONICAL = [
     ["Licensed under the Apache License, Version 2.0."],
@@ -45,6 +51,21 @@ CANONICAL = [
     ["This work is dedicated to the public domain under CC0 1.0."],
     ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     ["This is free and unencumbered software released into the public domain."],
+    UNLICENSE,
+    [*MIT, 'IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'],
+    [*BSD[:3], DISCLAIMER],
+    [*BSD, DISCLAIMER],
+    [LESSER.format("library", "2.1"), GPL[1].replace("program", "library").replace("General", "Lesser General")],
+    [LESSER.format("program", "3"), GPL[1].replace("General", "Lesser General")],
+    [LESSER.format("program", "3").replace("Lesser", "Affero"), GPL[1].replace("General", "Affero General")],
+    ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    ["Distributed under the Boost Software License, Version 1.0."],
+    ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'],
+    ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."],
+    ["Licensed under the Artistic License 2.0."],
+    *([f"This work is licensed under a Creative Commons Attribution{x} 4.0 International License."] for x in ("", "-ShareAlike", "-NonCommercial", "-NoDerivatives")),
 ]
 
 
@@ -77,3 +98,9 @@ def test_places_gaps_and_borders(spark):
     ]
     assert scan(spark, rows) == sorted([(1, "MIT", 3, 0, 1), (1, "MIT", 3, 1, 1), (1, "MIT", 3, 2, 2), (3, "MIT", 3, 2, 1), (None, "MIT", 3, 0, 1)], key=str)
     assert scan(spark, []) == []
+
+
+def test_texts_of_one_id_are_looked_at_one_by_one(spark):
+    half = [(None, MIT[0]), (None, MIT[1]), (7, MIT[0]), (7, "\n".join(MIT[1:])), (8, "\n".join(MIT[:2])), (8, "\n".join(MIT))]
+    # of the two texts of 8, the match of the first isn't hidden by the longer one of the second
+    assert scan(spark, half) == [(8, "MIT", 5, 0, 2), (8, "MIT", 6, 0, 3)]

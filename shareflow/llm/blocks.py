@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from shareflow.llm.common import shared_dir, shuffle_partitions
 
 #: Tokens after which a block ends, where an empty document counts as one; a longer document is a block of its own.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
 

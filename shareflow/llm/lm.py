@@ -1,8 +1,10 @@
 """Language-model scores by Brown classes: an exchange clustering of all training words, then a class bigram model.
 
 Words are grouped into classes by batch exchange: with the class bigram counts of the last round fixed, every word moves
-to the class that gives its neighbours and itself the greatest likelihood; then counts are taken again. The most frequent
-words start as classes of their own and everything else as one class, so the first round already splits by context.
+to the class that gives its neighbours and itself the greatest likelihood; then counts are taken again. Words that move
+at the same time can get in each other's way, so the likelihood of the training texts is worked out from the counts of
+every round: a round that doesn't raise it is taken back and ends the clustering. The most frequent words start as classes
+of their own and everything else as one class, so the first round already splits by context.
 
 Spark alternates two jobs over dictionary blocks. A block job walks the blocks' codes with the current class of each
 word and returns, per word bucket, how often each class stood left and right of a word. A bucket job adds those counts
@@ -89,7 +91,7 @@ def _seeded(vocabulary: DataFrame, seeds: dict[tuple[int, int], int]) -> DataFra
             out = []
             for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("place").to_pylist(), strict=True):
                 place = blocks.unpack_ints(payload)
-                given = np.zeros(len(place), np.uint8)
+                given = np.zeros(len(place), np.int32)
                 for (b, number), k in seeds.items():
                     if b == bucket:
                         given[place == number] = k
@@ -114,9 +116,9 @@ class _Walk(NamedTuple):
 
 def _walk(row: dict, answers: pa.Table, classes: int) -> _Walk:
     got = blocks.answers_in_order(answers, row["mark"])
-    given = _ragged(got, "classes")
+    given = _ragged(got, "classes").astype(np.int32)  # packed in as few bytes as they need, but a boundary's number may need more
     place, size = blocks.positions(row)
-    own = given[place] if len(place) else np.empty(0, np.uint8)
+    own = given[place] if len(place) else np.empty(0, np.int32)
     left, right = np.empty_like(own), np.empty_like(own)
     left[1:], right[:-1] = own[:-1], own[1:]
     ends = np.cumsum(size)
@@ -188,6 +190,12 @@ def _pair_counts(counted: DataFrame, classes: int) -> np.ndarray:
     return out.reshape(width, width)
 
 
+def likelihood(pairs: np.ndarray) -> float:
+    """The log-likelihood of the training texts under class bigrams, but for a term that no move changes."""
+    entropy = lambda n: float((n * np.log(np.maximum(n, 1))).sum())
+    return entropy(pairs) - entropy(pairs.sum(axis=0)) - entropy(pairs.sum(axis=1))
+
+
 def _transitions(pairs: np.ndarray) -> np.ndarray:
     return (pairs + 1) / (pairs.sum(axis=1, keepdims=True) + pairs.shape[1])
 
@@ -211,7 +219,7 @@ def _move(counted: DataFrame, vocabulary: DataFrame, pairs: np.ndarray, classes:
                 cells[place[where // width].astype(np.int64) * width + where % width] += blocks.unpack_ints(n)
             gain += cells.reshape(-1, width) @ weights
         gain -= counts[:, None] * price
-        given = gain.argmax(axis=1).astype(np.uint8)
+        given = gain.argmax(axis=1).astype(np.int32)
         once = np.bincount(given[counts == 1], minlength=classes)
         types = np.bincount(given[counts > 0], minlength=classes)
         n = rows.num_rows
@@ -295,6 +303,32 @@ def _sums(values: np.ndarray, begins: np.ndarray, full: np.ndarray) -> np.ndarra
     return out
 
 
+class Clusters(NamedTuple):
+    """Classes of all words with their counts, class bigram counts, and the likelihood after each round that was kept."""
+
+    moved: DataFrame
+    pairs: np.ndarray
+    likelihoods: list[float]
+
+
+def cluster(made: blocks.Blocks, vocabulary: DataFrame, classes: int, rounds: int) -> Clusters:
+    """Exchange clustering in at most `rounds` rounds, at least one; it ends before a round that doesn't raise the likelihood."""
+    if rounds < 1 or classes < 1:
+        raise ValueError("there must be a class and a round at least")
+    counted = _count(made, _seeded(vocabulary, _first_classes(vocabulary, classes)), classes, contexts=True)
+    pairs, kept = _pair_counts(counted, classes), []
+    best: Clusters | None = None
+    for k in range(rounds):
+        moved = _move(counted, vocabulary, pairs, classes)
+        counted = _count(made, moved.filter("kind = 'answers'").select("bucket", "block", "mark", "place", "classes"), classes, contexts=k + 1 < rounds)
+        pairs = _pair_counts(counted, classes)
+        kept.append(likelihood(pairs))
+        if best and kept[-1] <= kept[-2]:
+            break
+        best = Clusters(moved, pairs, list(kept))
+    return best
+
+
 def lm_scores(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """Base-10 log probability of each document under classes learnt from those that aren't held out.
 
@@ -306,11 +340,6 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) ->
     sums = vocabulary.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_types"), F.lit(0)).alias("types")).first()
     texts = made.rows.select(F.coalesce(F.sum(F.size(F.filter("marked", lambda x: x))), F.lit(0)).alias("n")).first()["n"]
     totals = Totals(sums["tokens"] + texts, sums["types"] + int(texts > 0), texts)
-    answers = _seeded(vocabulary, _first_classes(vocabulary, classes))
-    for _ in range(rounds):
-        counted = _count(made, answers, classes, contexts=True)
-        moved = _move(counted, vocabulary, _pair_counts(counted, classes), classes)
-        answers = moved.filter("kind = 'answers'").select("bucket", "block", "mark", "place", "classes")
-    pairs = _pair_counts(_count(made, answers, classes, contexts=False), classes)
-    scored = _scores(made, moved, totals, pairs, _class_sums(moved, "types", classes), _class_sums(moved, "once", classes), docs.schema["doc_id"].dataType.simpleString())
+    found = cluster(made, vocabulary, classes, rounds)
+    scored = _scores(made, found.moved, totals, found.pairs, _class_sums(found.moved, "types", classes), _class_sums(found.moved, "once", classes), docs.schema["doc_id"].dataType.simpleString())
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -9,7 +9,10 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+from pyspark.sql import functions as F
+
 from shareflow.llm import blocks, bpe, chat, lm, ngram_join, topk, toxicity
+from shareflow.llm.common import text_or_empty, words
 
 WORD = r"[^\x20\x09-\x0D]+"
 EXTRA = ", mark long, ids string, bucket int, tokens string"
@@ -79,6 +82,41 @@ def test_class_model_is_a_distribution(spark):
     assert sum(10 ** got[i].score for i in held) < 1
 
 
+def test_class_model_scores_follow_from_its_classes(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_TOKENS", 60)
+    rng = random.Random(11)
+    halves = [[f"{c}{k}" for k in range(8)] for c in "ab"]
+    rows = [(k, " ".join(rng.choice(halves[j % 2]) for j in range(rng.randrange(0, 12)))) for k in range(60)] + [(60, "new a1 newer"), (61, None)]
+    df, classes = docs(spark, rows), 5
+    train = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    split = F.crc32(F.col("doc_id").cast("string")) % 7
+    made = blocks.build(df, words(text_or_empty()), marked=split != 2, lower=True)
+    found = lm.cluster(made, lm._vocabulary(made), classes, 4)
+    assert all(x < y for x, y in zip(found.likelihoods, found.likelihoods[1:], strict=False))
+    of_word = {}
+    for r in made.words.join(found.moved.filter("kind = 'answers'").select("block", "bucket", "classes"), ["block", "bucket"]).collect():
+        of_word |= dict(zip(blocks.unpack_strings(r["words"]).to_pylist(), blocks.unpack_ints(r["classes"]).tolist(), strict=True))
+    texts = {i: (t or "").split() for i, t in rows}
+    n = Counter(w for i, t in texts.items() if train(i) for w in t)
+    pairs = np.zeros((classes + 1, classes + 1))
+    for i, t in texts.items():
+        path = [classes, *(of_word[w] for w in t), classes]
+        for x, y in zip(path, path[1:], strict=False):
+            pairs[x, y] += train(i)
+    assert (pairs == found.pairs).all() and abs(lm.likelihood(pairs) - found.likelihoods[-1]) < 1e-6
+    known = (pairs + 1) / (pairs.sum(1, keepdims=True) + classes + 1)
+    once, types, total = (np.array([f(k) for k in range(classes)], float) for f in (lambda k: sum(c == 1 and of_word[w] == k for w, c in n.items()), lambda k: sum(of_word[w] == k for w in n), lambda k: sum(c for w, c in n.items() if of_word[w] == k)))
+    after_new = (once + 1) / (once + 1).sum() @ known[:classes]
+    got = {r.doc_id: r for r in lm.lm_scores(df, classes, len(found.likelihoods)).collect()}
+    for i, t in texts.items():
+        want, before = 0.0, known[classes]
+        for w in t:
+            k = of_word[w]
+            want += math.log10(before[k] * (n[w] + 1) / (total[k] + types[k] + 1) if w in n else (before[:classes] / (total + types + 1)).sum())
+            before = known[k] if w in n else after_new
+        assert abs(got[i].score - want - math.log10(before[classes])) < 1e-9
+
+
 def jaccard_components(rows):
     sets = []
     for _, t in rows:
@@ -121,6 +159,19 @@ def test_ngram_join_against_all_pairs(spark, monkeypatch, first, growth, part):
     assert got == jaccard_components(rows)
 
 
+def test_digests_against_tiktoken(spark, ranks, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(blocks, "BLOCK_TOKENS", 40)
+    said = ["Hello, world!  12345 ünïcödé 🎉\r\n tabs\t", "", None, "<|endoftext|> x", "a" * 3000, "Hello, world!"]
+    engine = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in bpe.digests(docs(spark, list(enumerate(said))), ranks, public_tokenizers.PATTERN).collect()}
+    for k, t in enumerate(said):
+        ids = engine.encode_ordinary(t or "")
+        assert got[k].n_tokens == len(ids) and got[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+        assert got[k].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
 def test_ngram_join_empty_and_null_ids(spark):
     assert ngram_join.ngram_join(docs(spark, [])).count() == 0
     got = Counter(map(tuple, ngram_join.ngram_join(docs(spark, [(None, "a b c d e"), (4, "a b c d e"), (None, None)])).collect()))

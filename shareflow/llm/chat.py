@@ -195,10 +195,12 @@ def _order(rows: pa.Table) -> list[int]:
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def digests(segments: DataFrame) -> DataFrame:
+def digests(segments: DataFrame, read: Callable[[str], tuple] = read_turn, plain: Callable[[str], str] = unescape) -> DataFrame:
     """Per conversation, what reading the formatted text back gives: digests of its turns and of its text under the loss mask.
 
-    The template is one that read_turn() reads.
+    read takes a turn's span and gives its role and text first; plain undoes the escapes of a text. They are those of
+    turn_template unless others are given. Where history was rewritten turns can't be read back: the digests and loss_chars
+    are null.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,17 +210,20 @@ def digests(segments: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 if state is None or state["conv_id"] != row["conv_id"]:
                     done += [state] if state else []
-                    state = {"conv_id": row["conv_id"], "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
+                    state = {"conv_id": row["conv_id"], "whole": True, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
                 whole = row["formatted"]
+                state["whole"] &= row["rewritten_at"] is None
+                state["n"] += row["n_turns"]
+                state["chars"] += len(whole)
+                if not state["whole"]:
+                    continue
                 for s, e in zip(row["starts"], row["ends"], strict=True):
-                    role, text, _, _ = read_turn(whole[s:e])
+                    role, text = read(whole[s:e])[:2]
                     state["turns"].update(f"{role}\n{text}\n".encode())
                 for s, e in zip(row["loss_starts"], row["loss_ends"], strict=True):
-                    text = unescape(whole[s:e])
+                    text = plain(whole[s:e])
                     state["loss"].update(text.encode())
                     state["loss_chars"] += len(text)
-                state["n"] += row["n_turns"]
-                state["chars"] += len(whole)
             yield _digest_batch(done)
         if state:
             yield _digest_batch([state])
@@ -228,13 +233,14 @@ def digests(segments: DataFrame) -> DataFrame:
 
 
 def _digest_batch(states: list[dict]) -> pa.RecordBatch:
+    of = lambda value: [value(s) if s["whole"] else None for s in states]
     return pa.RecordBatch.from_pydict(
         {
             "conv_id": pa.array([s["conv_id"] for s in states], pa.int64()),
             "n_turns": pa.array([s["n"] for s in states], pa.int64()),
-            "turns_sha256": pa.array([s["turns"].hexdigest() for s in states], pa.string()),
-            "loss_chars": pa.array([s["loss_chars"] for s in states], pa.int64()),
-            "loss_sha256": pa.array([s["loss"].hexdigest() for s in states], pa.string()),
+            "turns_sha256": pa.array(of(lambda s: s["turns"].hexdigest()), pa.string()),
+            "loss_chars": pa.array(of(lambda s: s["loss_chars"]), pa.int64()),
+            "loss_sha256": pa.array(of(lambda s: s["loss"].hexdigest()), pa.string()),
             "formatted_chars": pa.array([s["chars"] for s in states], pa.int64()),
         }
     )

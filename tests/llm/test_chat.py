@@ -1,3 +1,4 @@
+import hashlib
 import pytest
 
 from shareflow.llm import chat
@@ -77,3 +78,18 @@ def test_a_false_declaration_is_an_error(spark):
     for template in (false_bos, false_last):
         with pytest.raises(Exception, match="the template's output depends on more turns|rewrites history"):
             chat.format_segments(df, template).collect()
+
+
+def test_digests_of_other_templates_and_rewritten_conversations(spark):
+    def im_start(turns):
+        return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+
+    def last_only(turns):  # keeps reasoning in the last turn only
+        return "".join(f"[{r}]{t if k == len(turns) - 1 else t.replace('<think>', '')}" for k, (r, t) in enumerate(turns))
+
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "<think>b"), (1, 2, "user", "c")], "conv_id long, turn long, role string, text string")
+    read = lambda piece: tuple(piece.removeprefix("<|im_start|>").removesuffix("<|im_end|>\n").split("\n", 1))
+    one = chat.digests(chat.format_segments(df, im_start), read, lambda x: x).first()
+    assert (one.n_turns, one.loss_chars, one.loss_sha256) == (3, 8, hashlib.sha256(b"<think>b").hexdigest())
+    two = chat.digests(chat.format_segments(df, last_only)).first()
+    assert (two.n_turns, two.turns_sha256, two.loss_chars, two.loss_sha256) == (3, None, None, None) and two.formatted_chars == len("[user]a[assistant]b[user]c")

@@ -35,7 +35,8 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.url_filter(spark.sql(url_filter.CAPTURES_SQL.replace("from pages", "from {pages}"), pages=pages), spark.sql(url_filter.ENTRIES_SQL.replace("from pages", "from {pages}"), pages=pages))
+    captures = spark.sql(url_filter.CAPTURES_SQL.replace("from pages", "from {pages}"), pages=pages)
+    return url_filter.url_filter(captures, url_filter.derived_entries(pages))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

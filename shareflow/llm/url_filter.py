@@ -5,7 +5,9 @@ validity intervals [from, to), and every capture is evaluated against the entrie
 
 A pattern is a domain (it matches that host and all hosts below it) or `host/segment` (it matches that exact host when the
 first path segment of the URL is `segment`; case counts there). One capture has at most as many keys as its host has labels, plus one, so
-the as-of join is an equi-join on keys with a date range. A hot host is spread over SALTS copies of its few intervals.
+the as-of join is an equi-join on keys with a date range. Keys are counted first: a key of more than HOT_SHARE of all
+captures is spread over as many salts as it has such shares, with a copy of its intervals for each; there are at most
+(keys of a capture) / HOT_SHARE salts in all, so the hot keys are a small table that is broadcast.
 
 - a null, empty or unparsable URL has a null host and matches nothing; hosts of over 253 characters are invalid and null;
 - a capture without fetch date matches nothing; entries with a null pattern, date, list or unknown action are ignored;
@@ -18,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Copies of each interval, dealt by a hash of the capture.
-SALTS = 16
+from shareflow.llm.common import HOT_SHARE, written
 
 AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 SEGMENT = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*/([^/?#]+)"
@@ -35,7 +36,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def with_keys(captures: DataFrame) -> DataFrame:
-    """Each distinct capture (page_id, url, fetched_on) with its host and the array of patterns that would match it."""
+    """Captures with the host of their url and the array of patterns that would match it."""
     found = F.regexp_replace(F.lower(F.regexp_extract("url", AUTHORITY, 1)), r"\.$", "")
     host = F.when((F.length(found) > 0) & (F.length(found) <= 253), found)
     segment = F.regexp_extract("url", SEGMENT, 1)
@@ -44,17 +45,26 @@ def with_keys(captures: DataFrame) -> DataFrame:
     keys = F.when(F.col("host").isNull(), F.array().cast("array<string>")).otherwise(
         F.concat(suffixes, F.when(F.length(segment) > 0, F.array(F.concat_ws("/", "host", segment))).otherwise(F.array().cast("array<string>")))
     )
-    return captures.select("page_id", "url", "fetched_on").distinct().withColumn("host", host).withColumn("keys", keys)
+    return captures.withColumn("host", host).withColumn("keys", keys)
+
+
+def hot_keys(captures: DataFrame) -> DataFrame:
+    """hot_key (null: no host) and salts of each key of more than HOT_SHARE of the captures."""
+    share = max(captures.count() * HOT_SHARE, 1.0)
+    counted = with_keys(captures.select("url")).select(F.explode_outer("keys").alias("hot_key")).groupBy("hot_key").count()
+    return written(counted.filter(F.col("count") > share).select("hot_key", F.ceil(F.col("count") / share).cast("int").alias("salts")), "hot-keys")
 
 
 def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, url, fetched_on, host, blocked, lists (sorted), n_entries: a row per distinct capture."""
-    keyed = with_keys(captures)
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    probe = keyed.select("page_id", "url", "fetched_on", "host", F.explode_outer("keys").alias("key"), salt.alias("salt"))
-    spans = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hot = hot_keys(captures)
+    keyed = with_keys(captures.select("page_id", "url", "fetched_on").distinct())
+    probe = keyed.select("page_id", "url", "fetched_on", "host", F.explode_outer("keys").alias("key"))
+    salts = F.coalesce("salts", F.lit(1))
+    probe = probe.join(F.broadcast(hot), F.col("key").eqNullSafe(F.col("hot_key")), "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched_on"), salts).cast("int"))
+    spans = intervals(entries).join(F.broadcast(hot), F.col("pattern") == F.col("hot_key"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     active = (F.col("c.key") == F.col("e.pattern")) & (F.col("c.salt") == F.col("e.salt")) & (F.col("fetched_on") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))
-    joined = probe.alias("c").join(spans.alias("e"), active, "left")
+    joined = probe.drop("hot_key", "salts").alias("c").join(spans.drop("hot_key", "salts").alias("e"), active, "left")
     return joined.groupBy("page_id", "url", "fetched_on", "host").agg(
         (F.count("pattern") > 0).alias("blocked"),
         F.concat_ws(",", F.array_sort(F.collect_set("list_name"))).alias("lists"),
@@ -62,6 +72,31 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def derived_entries(pages: DataFrame) -> DataFrame:
+    """The rows of ENTRIES_SQL in one scan: page_id and url make list_name, pattern, action, effective_on."""
+    host = F.lower(F.regexp_extract("url", AUTHORITY, 1))
+    segment = F.regexp_extract("url", SEGMENT, 1)
+
+    def named(list_name, pattern):
+        return F.struct(F.lit(list_name).alias("list_name"), pattern.alias("pattern"))
+
+    domain = F.regexp_extract(host, r"([^.]+[.][^.]+)$", 1)
+    path = F.when(segment != "", F.concat(host, F.lit("/"), segment))
+    names = pages.select(F.inline(F.array(named("hosts", host), named("paths", path), named("domains", domain)))).filter("pattern <> ''").distinct()
+    digest = F.md5(F.concat("list_name", F.lit(":"), "pattern"))
+
+    def digit(place):
+        return F.ascii(F.substring(digest, place, 1))
+
+    start, days, twice = digit(1) * 7 % 256, digit(2) % 90 + 10, digit(4) % 2 == 0
+
+    def dated(action, after):
+        return F.struct(F.lit(action).alias("action"), F.date_add(F.lit("2024-01-01").cast("date"), after).alias("effective_on"))
+
+    log = F.when(twice, F.array(dated("add", start), dated("remove", start + days), dated("add", start + 2 * days))).otherwise(F.array(dated("add", start)))
+    return names.filter(digit(3) % 3 != 0).select("list_name", "pattern", F.inline(log))
+
+
 #: Captures and list entries that derive from `pages`, in SQL that both engines run: pages are fetched over a year; each
 #: host is listed, or its first path segment or its registered domain is, on days that follow from a digest of the name.
 CAPTURES_SQL = "select page_id, url, date '2024-01-01' + cast(page_id % 366 as int) as fetched_on from pages"

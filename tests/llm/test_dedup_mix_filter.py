@@ -85,6 +85,15 @@ def test_url_filter_as_of(spark):
     got = {r.page_id: (r.blocked, r.lists) for r in url_filter.url_filter(c, e).collect()}
     assert {k for k, v in got.items() if v[0]} == {2, 4, 5, 7} - {7} and len(got) == 11
     assert got[5] == (True, "m") and got[8] == (False, "")
+    # a hot host, hot captures without a host, a very long url, a very long host
+    more = [(100 + k, f"http://h{k % 3}.bad.com/{k}", date(2024, 4, 1 + k % 28)) for k in range(3000)] + [(5000 + k, None, None) for k in range(2000)]
+    more += [(9000, "http://bad.com/" + "x" * 100_000, date(2024, 4, 1)), (9001, "http://" + "a." * 200 + "bad.com/", date(2024, 4, 1))]
+    c = c.unionByName(spark.createDataFrame([(*x, "salt") for x in more], c.schema))
+    salts = {r.hot_key: r.salts for r in url_filter.hot_keys(c).collect()}
+    assert salts["com"] > 500 and salts["bad.com"] > 500 and salts[None] > 300
+    again = {r.page_id: (r.blocked, r.lists) for r in url_filter.url_filter(c, e).collect()}
+    assert {k: again[k] for k in got} == got and len(again) == 5013
+    assert all(again[100 + k] == (True, "l") for k in range(3000)) and again[5000] == (False, "") and again[9000] == (True, "l") and again[9001] == (False, "")
     assert not any(r.blocked for r in url_filter.url_filter(c, e.limit(0)).collect()) and url_filter.url_filter(c.limit(0), e).count() == 0
 
 

@@ -97,7 +97,7 @@ def derived_entries(pages: DataFrame) -> DataFrame:
     return names.filter(digit(3) % 3 != 0).select("list_name", "pattern", F.inline(log))
 
 
-#: Captures and list entries that derive from `pages`, in SQL that both engines run: pages are fetched over a year; each
+#: Captures and list entries that derive from `pages`, in SQL (for the entries, derived_entries gives the same rows): pages are fetched over a year; each
 #: host is listed, or its first path segment or its registered domain is, on days that follow from a digest of the name.
 CAPTURES_SQL = "select page_id, url, date '2024-01-01' + cast(page_id % 366 as int) as fetched_on from pages"
 ENTRIES_SQL = r"""

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shareflow.llm import bpe, chat, exact_dedup, licenses, lm, mixing, ngram_join, topk, toxicity, url_filter
+from shareflow.llm import bpe, chat, cross_tokens, exact_dedup, licenses, line_dedup, lm, merkle, mixing, ngram_join, topk, toxicity, url_filter
 from shareflow.llm.common import table
 
 
@@ -60,6 +61,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_segments(rows))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"), {"text": merkle.lower_cased()})
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def vocabularies() -> cross_tokens.Vocabularies:
+    return cross_tokens.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.align(table(spark, sf_dir, "documents"), vocabularies())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_class_lm": op2_class_lm,
@@ -71,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op11_merkle": op11_merkle,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_cross_tokens": op13_cross_tokens,
 }
 
 ORACLES: dict[str, str] = {
@@ -81,4 +102,6 @@ ORACLES: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_merkle": merkle.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
 }

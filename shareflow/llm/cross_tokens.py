@@ -29,7 +29,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import sentencepiece
 import tiktoken
 from pyspark import TaskContext
@@ -37,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shareflow.llm.blocks import pack_ints, release, unpack_ints
+from shareflow.llm.bpe import cut_exactly
 from shareflow.llm.common import written
 
 #: Bytes of text after which a block ends, where a text counts as one byte at least; a longer text is a block of its own.
@@ -88,7 +88,7 @@ class _Encoders:
 
     def __init__(self, where: Vocabularies) -> None:
         tokens = byte_bpe_tokens(where.byte_bpe)
-        self.cut = regex.compile(where.pattern)
+        self.pattern = where.pattern
         self.byte_bpe = tiktoken.Encoding("byte-level", pat_str=where.pattern, mergeable_ranks=tokens, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=where.pieces)
         a = [b""] * (max(tokens.values()) + 1)
@@ -110,9 +110,10 @@ class _Encoders:
     def encode_a(self, unit: str) -> list[int]:
         try:
             return self.byte_bpe.encode_ordinary(unit)
-        except (ValueError, RuntimeError):  # the engine's stack is too small for a run of very many spaces
-            merge = self.byte_bpe._encode_single_piece
-            return [k for m in self.cut.finditer(unit) for k in merge(m.group())]
+        except BaseException as fault:  # the engine panics where its stack is too small for a run of very many spaces
+            if type(fault).__name__ != "PanicException":
+                raise
+            return [k for piece in cut_exactly(self.pattern, unit) for k in self.byte_bpe._encode_single_piece(piece)]
 
     def encode_b(self, units: list[str]) -> list[list[int]]:
         if not self.cuts:

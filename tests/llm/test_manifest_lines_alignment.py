@@ -163,10 +163,12 @@ def tools():
     return a, sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
 
 
+OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {chr(b): b for b in OWN} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in OWN)}
+
+
 def token_bytes_a(token):
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in own)}
-    return bytes(letters[c] for c in token)
+    return bytes(LETTERS[c] for c in token)
 
 
 def token_bytes_b(model, k):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,9 +108,49 @@ def with_category(participants: DataFrame, by_id=None, by_keyword=CATEGORY_BY_KE
     return known.withColumn("category", F.coalesce("by_id", category_by_keyword(F.col("participant_name"), by_keyword), other)).drop("by_id", "known_id")
 
 
-def collected(ids: DataFrame, words: DataFrame) -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
-    """Rules of a configuration, as read_category_rules gives them, in the form that with_category takes. A configuration is small."""
-    return {r["participant_id"]: r["category"] for r in ids.collect()}, [(r["category"], [r["keyword"]]) for r in words.orderBy("priority").collect()]
+#: Characters of the grams by which keywords are found in names.
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct runs of `size` characters of a text; none if it is shorter."""
+    return F.array_distinct(F.transform(F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, size)))
+
+
+def first_keywords(names: DataFrame, by_keyword: DataFrame) -> DataFrame:
+    """name and the category of the keyword of least priority that the upper-case name contains; names without one are left out.
+
+    An inverted index: each keyword stands under the rarest of its grams of GRAM characters (shorter keywords under
+    themselves), rarest among the names at hand; a name meets the keywords that stand under its own grams, and what it
+    really contains decides. Keywords inside a word are found like others. A keyword whose rarest gram is in no name
+    goes before the join.
+    """
+    rows = names.select(F.upper(F.coalesce("name", F.lit(""))).alias("upper_name")).distinct()
+    rules = by_keyword.select("priority", F.upper(F.trim("keyword")).alias("keyword"), "category").filter("keyword <> ''")
+    size = F.least(F.length("keyword"), F.lit(GRAM))
+    of_rules = rules.select("priority", "keyword", "category", F.explode(_grams(F.col("keyword"), size)).alias("gram"))
+    of_names = rows.select("upper_name", F.explode(F.flatten(F.transform(F.array(*(F.lit(n) for n in range(1, GRAM + 1))), lambda n: _grams(F.col("upper_name"), n)))).alias("gram"))
+    # grams of names that no keyword has are of no use
+    useful = of_names.join(of_rules.select("gram").distinct(), "gram", "left_semi")
+    often = useful.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    known = of_rules.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    index = known.groupBy("priority", "keyword", "category").agg(F.min(F.struct("n", "gram")).alias("rarest")).filter("rarest.n > 0")
+    met = useful.join(index.select("priority", "keyword", "category", "rarest.gram"), "gram").filter(F.contains("upper_name", "keyword"))
+    return met.groupBy("upper_name").agg(F.min_by("category", F.struct("priority", "keyword")).alias("category"))
+
+
+def with_category_by(participants: DataFrame, by_id: DataFrame, by_keyword: DataFrame) -> DataFrame:
+    """with_category() for rules that are tables, as read_category_rules gives them, of any size: nothing is collected.
+
+    by_id: participant_id, category; by_keyword: priority (the least counts), keyword, category. Of several rules for an
+    id the least category counts.
+    """
+    ids = by_id.groupBy(F.upper(F.trim("participant_id")).alias("_id")).agg(F.min("category").alias("_by_id"))
+    words = first_keywords(participants.select(F.col("participant_name").alias("name")), by_keyword).select(F.col("upper_name").alias("_name"), F.col("category").alias("_by_name"))
+    pid = F.upper(F.trim("participant_id"))
+    known = participants.join(ids, pid == F.col("_id"), "left").join(words, F.upper(F.coalesce("participant_name", F.lit(""))) == F.col("_name"), "left")
+    other = F.when(pid.startswith("C"), "bank").otherwise("unknown")
+    return known.withColumn("category", F.coalesce("_by_id", "_by_name", other)).drop("_id", "_by_id", "_name", "_by_name")
 
 
 def reason_tags(reason: Column, rules=REASON_TAGS) -> Column:
@@ -117,12 +159,62 @@ def reason_tags(reason: Column, rules=REASON_TAGS) -> Column:
     return F.array_compact(F.array(*(F.when(contains_any(text, needles), tag) for tag, needles in rules)))
 
 
+#: Signs that make an alternative of a pattern more than a literal.
+_SIGNS = re.compile(r"[\\^$.|?*+()\[\]{}]")
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between its outermost bars."""
+    parts, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def _needed(alternative: str) -> str:
+    """The longest literal that a text must hold for an alternative to match: a group and what is optional don't count."""
+    bare = re.sub(r"\\.", "\0", re.sub(r"\([^()]*\)[?*]?|.[?*]", "\0", alternative))
+    return max(re.split(r"[\0^$.|?*+()\[\]{}]", bare), key=len)
+
+
 def event_tags(category: Column, title: Column, rules=EVENT_TAGS) -> Column:
-    """The sorted distinct tags of an announcement."""
+    """The sorted distinct tags of an announcement.
+
+    The literals of all rules stand in one alternation that goes through the text once, at each place with the longest
+    first; a hit stands for every literal that it begins with, so none is missed where literals overlap. Alternatives that
+    aren't literals are looked at only in texts that hold their longest literal part.
+    """
+    plain: dict[str, set[str]] = {}
+    special: list[tuple[str, str, str]] = []
+    for tag, pattern in rules:
+        for part in _alternatives(pattern):
+            if _SIGNS.search(part):
+                special.append((tag, part, _needed(part)))
+            else:
+                plain.setdefault(part, set()).add(tag)
+    needles = sorted({*plain, *(need for _, _, need in special)}, key=lambda x: (-len(x), x))
+    if not all(needles):
+        raise ValueError("an alternative without a literal")
+    scan = F.lit(f"(?=({'|'.join(map(re.escape, needles))}))")
+    under = lambda need: F.array(*(F.lit(x) for x in needles if x.startswith(need)))
+    by_tag: dict[str, list[str]] = {}
+    for literal, tags in plain.items():
+        for tag in tags:
+            by_tag.setdefault(tag, []).append(literal)
     text = F.lower(F.concat_ws(" ", F.coalesce(category, F.lit("")), F.coalesce(title, F.lit(""))))
-    # the text is a variable of a lambda, so that it is put together once and not for each rule
-    tags = F.transform(F.array(text), lambda t: F.array_compact(F.array(*(F.when(t.rlike(f"(?U){pattern}"), tag) for tag, pattern in rules))))
-    return F.array_sort(F.array_distinct(F.flatten(tags)))
+
+    def tags_of(t: Column, hits: Column) -> Column:
+        found = [F.when(F.arrays_overlap(hits, F.array(*(F.lit(x) for x in needles if x.startswith(tuple(literals))))), tag) for tag, literals in by_tag.items()]
+        found += [F.when(F.arrays_overlap(hits, under(need)) & t.rlike(f"(?U){part}"), tag) for tag, part, need in special]
+        return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+
+    # text and hits are variables of lambdas, so that each is made once and not for each rule
+    scanned = F.transform(F.array(text), lambda t: F.struct(t.alias("t"), F.array_distinct(F.regexp_extract_all(t, scan, F.lit(1))).alias("hits")))
+    return F.transform(scanned, lambda s: tags_of(s["t"], s["hits"]))[0]
 
 
 def error_code(error_type: Column, message: Column, rules=ERROR_RULES) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shareflow.functions.scalars import change_percent, hk_amount, price_text, share_amount, signed_percent
+from shareflow.functions.scalars import change_percent, hk_amount, numeric_amount, parse_date, price_text, share_amount, signed_percent
 from shareflow.operators.tables import recent, top_rows
 
 #: A longer gap between records counts as a suspension, in days.
@@ -61,10 +61,16 @@ def _cents(turnover: str) -> Column:
 
 
 def trailing_turnover(prices: DataFrame, rows: int = 20) -> DataFrame:
-    """Each row's turnover against the mean of the last `rows` rows of its code up to it, those without turnover left out."""
-    back = Window.partitionBy("code").orderBy("date", "price_source").rowsBetween(1 - rows, Window.currentRow)
+    """Each row's turnover against the mean of the last `rows` known turnovers of its code up to it.
+
+    Known values are numbered along the code's rows; the mean is over a range of these numbers, so rows without turnover
+    take up no place.
+    """
+    so_far = Window.partitionBy("code").orderBy("date", "price_source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = prices.select("code", "date", "price_source", "turnover", F.count("turnover").over(so_far).alias("_known"))
+    back = Window.partitionBy("code").orderBy("_known").rangeBetween(1 - rows, Window.currentRow)
     mean = F.try_divide(F.sum(_cents("turnover")).over(back), F.count("turnover").over(back) * 100.0)
-    out = prices.select("code", "date", "price_source", "turnover", mean.alias("mean_turnover"))
+    out = numbered.withColumn("mean_turnover", mean).drop("_known")
     return out.withColumn("turnover_vs_mean_pct", F.try_divide("turnover", "mean_turnover") * 100)
 
 
@@ -129,13 +135,21 @@ def overlay(prices: DataFrame, cost_lines: DataFrame) -> DataFrame:
     return cost_lines.join(ends, "code").select("code", "label", "price", F.explode(F.array_distinct(F.array("first", "last"))).alias("date"))
 
 
+def _lines(texts: DataFrame) -> DataFrame:
+    return texts.select("code", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "line"))
+
+
 def parse_cost_lines(texts: DataFrame) -> DataFrame:
-    """`label,price` lines of a text column as rows; lines without a price are left out."""
-    line = texts.select("code", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return line.select("code", "line_no", F.trim(F.regexp_extract("line", "^(.*),([^,]*)$", 1)).alias("label"), F.trim(F.regexp_extract("line", "^(.*),([^,]*)$", 2)).try_cast("double").alias("price")).filter("price is not null")
+    """`label,price` lines of a text column as rows: the second field is an amount (HK$1.2, 3K, 1.5M), further ones don't count.
+
+    A blank label is `Cost line`; lines without a second field or with one that is no amount are left out.
+    """
+    rows = _lines(texts).withColumn("_fields", F.split("line", ",", -1))
+    label, amount = F.trim(F.get("_fields", F.lit(0))), numeric_amount(F.get("_fields", F.lit(1)))
+    return rows.select("code", "line_no", F.when(label == "", "Cost line").otherwise(label).alias("label"), amount.alias("price")).filter("price is not null")
 
 
 def parse_event_markers(texts: DataFrame) -> DataFrame:
-    """`date,label` lines of a text column as rows; lines without a date are left out."""
-    line = texts.select("code", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return line.select("code", "line_no", F.try_to_date(F.trim(F.regexp_extract("line", "^([^,]*),(.*)$", 1)), "yyyy-MM-dd").alias("date"), F.trim(F.regexp_extract("line", "^([^,]*),(.*)$", 2)).alias("label")).filter("date is not null")
+    """`date,label` lines of a text column as rows, the date in any common form; lines without a date are left out."""
+    rows = _lines(texts)
+    return rows.select("code", "line_no", parse_date(F.regexp_extract("line", "^([^,]*),(.*)$", 1)).alias("date"), F.trim(F.regexp_extract("line", "^([^,]*),(.*)$", 2)).alias("label")).filter("date is not null")

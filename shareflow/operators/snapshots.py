@@ -86,43 +86,54 @@ def snapshot_totals(snapshots: DataFrame) -> DataFrame:
     return totals.withColumn("change_shares", F.col("total_shares") - F.lag("total_shares").over(Window.partitionBy("code").orderBy("date")))
 
 
-def _sides(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
-    a = before.select(*keys, F.col("participant_name").alias("name_a"), F.col("shares").alias("shares_a"), F.col("bps").alias("bps_a"))
-    b = now.select(*keys, F.col("participant_name").alias("name_b"), F.col("shares").alias("shares_b"), F.col("bps").alias("bps_b"))
-    return a.join(b, keys, "full_outer")
+def _own(column: str, side: str) -> Column:
+    """A column's value on one side of a comparison; a participant has one row a side."""
+    return F.max(F.when(F.col("side") == side, F.col(column)))
 
 
 def consecutive_changes(snapshots: DataFrame) -> DataFrame:
     """Per code and date with a date before it: each participant's change in shares and bps.
 
     Participants of either date appear; bps changes only where both stakes are known, a participant that left holds 0.
+
+    A sweep over signed events, in one read: each row counts for its own date and, with the opposite sign, for the code's
+    next date; one sum by (code, date, participant) gives the changes. The next date comes from a window by code, and the
+    sum stays in its partitions.
     """
-    keys = [*SERIES, "participant_id"]
-    pairs = date_pairs(snapshots).filter("previous_date is not null")
-    before = snapshots.withColumnRenamed("date", "previous_date").join(pairs, ["code", "previous_date"])
-    now = snapshots.join(pairs.select(*SERIES), SERIES)
-    both = _sides(now, before, keys)
-    return both.select(
-        *keys,
-        F.coalesce("name_b", "name_a").alias("participant_name"),
-        (F.coalesce("shares_b", F.lit(0)) - F.coalesce("shares_a", F.lit(0))).alias("change_shares"),
-        (F.col("bps_b") - F.col("bps_a")).alias("change_bps"),
-        F.coalesce("shares_b", F.lit(0)).alias("shares_after"),
-        F.col("bps_b").alias("bps_after"),
+    later = Window.partitionBy("code").orderBy(F.unix_date("date").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    dated = snapshots.select("code", "date", "participant_id", "participant_name", "shares", "bps", F.min("date").over(later).alias("next_date"), F.min("date").over(Window.partitionBy("code")).alias("first_date"))
+    own = F.when(F.col("date") > F.col("first_date"), F.struct("date", F.lit("after").alias("side")))
+    following = F.when(F.col("next_date").isNotNull(), F.struct(F.col("next_date").alias("date"), F.lit("before").alias("side")))
+    events = dated.select("code", "participant_id", "participant_name", "shares", "bps", F.explode(F.array_compact(F.array(own, following))).alias("event"))
+    events = events.select("code", "event.date", "event.side", "participant_id", "participant_name", "shares", "bps")
+    after = F.coalesce(_own("shares", "after"), F.lit(0))
+    return events.groupBy(*SERIES, "participant_id").agg(
+        F.coalesce(_own("participant_name", "after"), _own("participant_name", "before")).alias("participant_name"),
+        (after - F.coalesce(_own("shares", "before"), F.lit(0))).alias("change_shares"),
+        (_own("bps", "after") - _own("bps", "before")).alias("change_bps"),
+        after.alias("shares_after"),
+        _own("bps", "after").alias("bps_after"),
     )
 
 
 def diff(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Two-date comparison for each (code, date_a, date_b) of pairs: holdings, changes and status of every participant."""
-    keys = ["code", "date_a", "date_b", "participant_id"]
-    a = snapshots.withColumnRenamed("date", "date_a").join(pairs, ["code", "date_a"])
-    b = snapshots.withColumnRenamed("date", "date_b").join(pairs, ["code", "date_b"])
-    both = _sides(b, a, keys)
+    """Two-date comparison for each (code, date_a, date_b) of pairs: holdings, changes and status of every participant.
+
+    Snapshots are read once: rows meet the pairs that their date is an end of, and a sum by pair and participant tells the
+    sides apart.
+    """
+    end = lambda side: F.struct(F.col(f"date_{side}").alias("date"), F.lit(side).alias("side"))
+    ends = pairs.select("code", "date_a", "date_b", F.explode(F.array(end("a"), end("b"))).alias("end")).select("code", "date_a", "date_b", "end.date", "end.side")
+    grouped = snapshots.join(ends.distinct(), SERIES).groupBy("code", "date_a", "date_b", "participant_id")
+    both = grouped.agg(F.coalesce(_own("participant_name", "b"), _own("participant_name", "a")).alias("participant_name"), *(_own(c, side).alias(f"{c}_{side}") for c in ("shares", "bps") for side in "ab"))
     change = F.coalesce("shares_b", F.lit(0)) - F.coalesce("shares_a", F.lit(0))
     status = F.when(F.col("shares_a").isNull(), "new").when(F.col("shares_b").isNull(), "exited").when(change > 0, "increased").when(change < 0, "decreased").otherwise("unchanged")
     return both.select(
-        *keys,
-        F.coalesce("name_b", "name_a").alias("participant_name"),
+        "code",
+        "date_a",
+        "date_b",
+        "participant_id",
+        "participant_name",
         F.coalesce("shares_a", F.lit(0)).alias("shares_a"),
         F.coalesce("shares_b", F.lit(0)).alias("shares_b"),
         change.alias("change_shares"),

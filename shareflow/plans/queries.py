@@ -333,13 +333,18 @@ def move_texts(spark, d):
   count(*) filter (change_shares > 0 and coalesce(bps_after, 0) >= 10000) > 0 as large_increase,
   count(*) filter (change_shares > 0 and {_like("lower(participant_name)", flows.BROKER_WORDS)}) > 0 as broker_increase,
   count(*) filter (change_shares > 0 and {_like("lower(participant_name)", flows.CUSTODY_WORDS)}) > 0 as custody,
-  coalesce(max(-change_shares) filter (change_shares < 0), 0) as largest_loss from changes group by all)
+  coalesce(max(-change_shares) filter (change_shares < 0), 0) as largest_loss,
+  array_to_string(list(participant_name order by change_shares desc, participant_id) filter (change_shares > 0 and coalesce(bps_after, 0) >= 10000)[1:3], ';') as large_names,
+  array_to_string(list(participant_name order by change_shares desc, participant_id) filter (change_shares > 0 and {_like("lower(participant_name)", flows.BROKER_WORDS)})[1:5], ';') as broker_names,
+  list(participant_name order by change_shares, participant_id) filter (change_shares < 0)[1] as seller from changes group by all)
 select code, date, gained, lost, n_increased, n_decreased, large_increase, broker_increase, n_decreased > 0 and largest_loss * 2 >= lost as single_seller, n_increased >= 4 as spread_buying,
-  case when gained > 0 and lost > 0 and abs(gained - lost) * 100 <= greatest(gained, lost) * 15 then 'yes' when custody and lost > 0 then 'possible' else 'no' end as transfer from s""",
+  case when gained > 0 and lost > 0 and abs(gained - lost) * 100 <= greatest(gained, lost) * 15 then 'yes' when custody and lost > 0 then 'possible' else 'no' end as transfer,
+  coalesce(large_names, '') as large_names, coalesce(broker_names, '') as broker_names, case when n_decreased > 0 and largest_loss * 2 >= lost then seller end as seller_name from s""",
     "snapshots",
 )
 def change_patterns(spark, d):
-    return flows.change_patterns(snapshots.consecutive_changes(_snaps(spark, d)))
+    found = flows.change_patterns(snapshots.consecutive_changes(_snaps(spark, d)))
+    return found.withColumns({c: F.array_join(c, ";") for c in ("large_names", "broker_names")})
 
 
 @register("largest_participant", RANKED + " select code, date, participant_id, trim(participant_name) as participant_name, bps from ranked qualify row_number() over (partition by code order by date desc, rank) = 1", "snapshots")

@@ -323,8 +323,8 @@ def announcement_feed(spark, d):
 def configured_categories(spark, d):
     path = scratch(spark, "categories")
     spark.createDataFrame([('{"by_ccass_id": {" b00001": "special"}, "by_name_keyword": {"Supplier#00000001": "ones", "supplier": "any"}}',)], "value string").write.text(path)
-    by_id, by_keyword = rules.collected(*feeds.read_category_rules(spark, path))
-    return rules.with_category(view(spark, d, "participants").select("participant_id", "participant_name"), by_id, by_keyword).select("participant_id", "category")
+    by_id, by_keyword = feeds.read_category_rules(spark, path)
+    return rules.with_category_by(view(spark, d, "participants").select("participant_id", "participant_name"), by_id, by_keyword).select("participant_id", "category")
 
 
 # sinks and streams
@@ -419,11 +419,25 @@ def invalid_pairs(spark, d):
     return snapshots.invalid_pairs(asked)
 
 
-@register("cost_lines", "select lpad(cast(c_custkey as varchar), 5, '0') as code, cast(i as int) as line_no, case i when 0 then 'Placing, first' else 'Rights' end as label, cast(case i when 0 then c_custkey else c_custkey + 0.5 end as double) as price from customer, (select unnest([0, 2]) as i)")
+@register(
+    "cost_lines",
+    """with l as (select lpad(cast(c_custkey as varchar), 5, '0') as code, c_custkey as k, unnest([0, 2, 3, 4]) as line_no from customer)
+select code, cast(line_no as int) as line_no, case line_no when 0 then 'Placing' when 2 then 'Rights' when 3 then 'Cost line' else 'Block' end as label,
+  cast(case line_no when 0 then k when 2 then k * 1000 + 500 when 3 then k * 1000000 else k * 10 end as double) as price from l""",
+)
 def cost_lines(spark, d):
-    k = F.col("c_custkey")
-    text = F.concat(F.lit("Placing, first, "), k.cast("string"), F.lit("\nno price\nRights,"), k.cast("string"), F.lit(".5"))
-    return prices.parse_cost_lines(load(spark, d, "customer").select(F.lpad(k.cast("string"), 5, "0").alias("code"), text.alias("text")))
+    # amounts with a currency sign and a unit, a blank label, and a third field that doesn't count
+    lines = ["Placing, HK${k}, 7", "no price", "Rights,{k}.5K", " , ${k}m", "Block,{k}0,first", "Words, ten"]
+    k = F.col("c_custkey").cast("string")
+    text = F.replace(F.lit("\r\n".join(lines)), F.lit("{k}"), k)
+    return prices.parse_cost_lines(load(spark, d, "customer").select(F.lpad(k, 5, "0").alias("code"), text.alias("text")))
+
+
+@register("event_markers", "select lpad(cast(o_orderkey as varchar), 8, '0') as code, cast(i as int) as line_no, cast(o_orderdate as date) as date, case i when 0 then 'placed, at ' || o_orderkey else 'again' end as label from orders, (select unnest([0, 2]) as i)")
+def event_markers(spark, d):
+    k, day = F.col("o_orderkey").cast("string"), F.col("o_orderdate")
+    text = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(", placed, at "), k, F.lit("\nno date, here\n"), F.date_format(day, "dd/MM/yyyy"), F.lit(",again\n"), F.date_format(day, "yyyy-MM-dd"))
+    return prices.parse_event_markers(load(spark, d, "orders").select(F.lpad(k, 8, "0").alias("code"), text.alias("text")))
 
 
 FORMS = """select o_orderkey as k, o_custkey + 0.25::double as number, o_custkey as whole, cast(o_custkey as int) as first_int, o_custkey / 4.0::double as percent, o_custkey * 1000.0::double as amount, o_custkey || '%' as percent_text, cast(o_orderdate as date) as day,
@@ -482,10 +496,19 @@ def daily_totals(spark, d):
     return ingest.daily_totals(daily_ingest(spark, d))
 
 
-@register("trailing_turnover", """with t as (select code, date, price_source, turnover, sum(cast(floor(turnover * 100) as bigint)) over w / (nullif(count(turnover) over w, 0) * 100.0::double) as mean_turnover from price_history window w as (partition by code order by date, price_source rows between 19 preceding and current row))
-select *, turnover / mean_turnover * 100 as turnover_vs_mean_pct from t""", "price_history")
+# of each row all known turnovers up to it, of which the last five count
+@register(
+    "trailing_turnover",
+    """with p as (select code, date, price_source, case when dayofmonth(date) % 3 <> 0 then close * volume end as turnover from price_history),
+k as (select *, list(turnover) filter (turnover is not null) over (partition by code order by date, price_source rows unbounded preceding) as known from p),
+m as (select code, date, price_source, turnover, list_sum(list_transform(known[-5:], lambda x: cast(floor(x * 100) as bigint))) / (len(known[-5:]) * 100.0::double) as mean_turnover from k)
+select *, turnover / mean_turnover * 100 as turnover_vs_mean_pct from m""",
+    "price_history",
+)
 def trailing_turnover(spark, d):
-    return prices.trailing_turnover(view(spark, d, "price_history"))
+    # a third of the days without turnover, so the rows of a mean have gaps between them
+    bars = view(spark, d, "price_history").withColumn("turnover", F.when(F.dayofmonth("date") % 3 != 0, F.col("close") * F.col("volume")))
+    return prices.trailing_turnover(bars, 5)
 
 
 @register("report_big_changes", CHANGES + f", {KINDS}, c as (select *, cast(row_number() over (partition by code order by abs(change_bps) desc, date desc, participant_id) as int) as row_no from changes where change_bps is not null) select c.*, k.category from c left join kinds k on k.participant_id = c.participant_id where row_no <= 10", "snapshots")

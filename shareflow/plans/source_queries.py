@@ -63,6 +63,40 @@ def registry_pages(spark, d):
     return pages.registry_snapshots(_registry(spark, d, ["code", "query_date"]))
 
 
+#: The same four columns under two rows of headers.
+TWO_HEADERS = f'<p>Shareholding</p><table><thead><tr><th colspan="2">Participant</th><th rowspan=2>{REGISTRY[2]}</th><th rowspan=2>{REGISTRY[3]}</th></tr><tr><th>ID</th><th>Name</th></tr></thead>'
+
+
+@register("registry_two_headers", "select code, date as query_date, participant_id, participant_name, shares, bps / 10000.0::double as pct_of_issued from snapshots", "snapshots")
+def registry_two_headers(spark, d):
+    snaps = view(spark, d, "snapshots").withColumn("query_date", F.col("date"))
+    return pages.registry_snapshots(made_pages(snaps, ["code", "query_date"], [], ["participant_id", "participant_name", F.format_number("shares", 0), _percent_text("bps")], ["participant_id"], TWO_HEADERS))
+
+
+SPANNED = """select r_name as region, cast(row_number() over w as int) as row_no, 'Holder Nation|Holder Name|Balance' as header, n_name as nation,
+  case when s_suppkey % 7 = 0 then 'closed' else s_name end as name, case when s_suppkey % 7 = 0 then 'closed' else cast(cast(floor(s_acctbal) as bigint) as varchar) end as balance
+from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey window w as (partition by r_name order by n_name, s_suppkey)"""
+
+
+def _spanned(spark: SparkSession, d: str) -> DataFrame:
+    """A page per region: two rows of headers, a nation's cell beside all its suppliers, one cell for two columns of some."""
+    rows = load(spark, d, "supplier").join(load(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    tag = lambda inner: F.concat(F.lit("<td>"), inner, F.lit("</td>"))
+    rest = F.when(F.col("s_suppkey") % 7 == 0, F.lit('<td colspan="2">closed</td>')).otherwise(F.concat(tag(F.col("s_name")), tag(F.floor("s_acctbal").cast("string"))))
+    nations = rows.groupBy("r_name", "n_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", rest.alias("rest")))), lambda x: x["rest"]).alias("rests"))
+    block = F.concat(F.lit('<tr><td rowspan="'), F.size("rests").cast("string"), F.lit('">'), F.col("n_name"), F.lit("</td>"), F.array_join("rests", "</tr><tr>"), F.lit("</tr>"))
+    regions = nations.groupBy("r_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_name", block.alias("block")))), lambda x: x["block"]), "").alias("body"))
+    top = '<table><tr><th colspan="2">Holder</th><th rowspan="2">Balance</th></tr><tr><th>Nation</th><th>Name</th></tr>'
+    return regions.select(F.col("r_name").alias("region"), F.concat(F.lit(top), "body", F.lit("</table>")).alias("html"))
+
+
+@register("spanned_tables", SPANNED)
+def spanned_tables(spark, d):
+    rows = pages.html_tables(_spanned(spark, d), ["region"]).filter("row_no > 0")
+    at = lambda k, name: F.get("cells", F.lit(k))["text"].alias(name)
+    return rows.select("region", "row_no", F.array_join("header", "|").alias("header"), at(0, "nation"), at(1, "name"), at(2, "balance"))
+
+
 @register("holdings_pages", "select code, date, participant_id, participant_name, shares, bps / 10000.0::double as stake_pct from snapshots", "snapshots")
 def holdings_pages(spark, d):
     made = made_pages(view(spark, d, "snapshots"), ["code", "date"], ["CCASS ID", "Name", "Holding", "Stake %"], ["participant_id", "participant_name", "shares", _percent_text("bps")], ["participant_id"], closing="<tr><td></td><td>Total</td><td>1</td><td>100</td></tr></table>")
@@ -134,12 +168,17 @@ def section_concentration(spark, d):
 
 @register(
     "section_prices",
-    "select code, date, floor(close * 100) as close, floor(open * 100) as open, floor(high * 100) as high, floor(low * 100) as low, cast(volume as double) as volume, floor(turnover) as turnover, floor(vwap * 100) as vwap, price_source from price_history",
+    """select code, date, round(floor(close) + 0.12349, 3) as close, round(floor(open) + 0.0004, 3) as open, floor(high * 100) as high, floor(low * 100) as low, cast(volume as double) as volume,
+  round(floor(turnover) + 0.126, 2) as turnover, round(floor(vwap) + 0.1236, 3) as vwap, price_source, case when price_source = 'yahoo' then cast(floor(close) * volume as double) end as turnover_est,
+  case when price_source = 'yahoo' and volume <> 0 then floor(close) end as vwap_est from price_history""",
     "price_history",
 )
 def section_prices(spark, d):
-    cents = [F.floor(F.col(c) * 100) for c in ("close", "open", "high", "low")]
-    made = made_pages(view(spark, d, "price_history"), ["code"], ["Date", "Close", "Open", "High", "Low", "Volume", "Turnover", "VWAP", "Price source"], [F.date_format("date", "dd/MM/yyyy"), *cents, "volume", F.floor("turnover"), F.floor(F.col("vwap") * 100), "price_source"], ["date", "price_source"])
+    more = lambda c, digits: F.concat(F.floor(c).cast("string"), F.lit(digits))
+    cells = [F.date_format("date", "dd/MM/yyyy"), more("close", ".12349"), more("open", ".0004"), F.floor(F.col("high") * 100), F.floor(F.col("low") * 100), "volume", more("turnover", ".126"), more("vwap", ".1236"), "price_source"]
+    estimate = F.when(F.col("price_source") == "yahoo", F.floor("close") * F.col("volume"))
+    header = ["Date", "Close", "Open", "High", "Low", "Volume", "Turnover", "VWAP", "Price source", "turnover_est"]
+    made = made_pages(view(spark, d, "price_history"), ["code"], header, [*cells, estimate], ["date", "price_source"])
     return pages.section_rows(pages.html_tables(made, ["code"]), ["code"], "Price History").drop("row_no")
 
 
@@ -247,16 +286,28 @@ def buyback_pages(spark, d):
 
 @register(
     "page_metadata",
-    "select code, 'T ' || code as title, 'Company ' || code as company_name, 'Holdings' as page_name, 'notice' as shutdown_notice, '12' || code as org_id, '9' || code as issue_id, code as stock, issued_shares_as_of as holdings_date, issued_shares, issued_shares as total_in_registry from stock_meta",
+    """select code, 'T ' || code as title, 'Company ' || code as company_name, 'Holdings' as page_name, 'notice' as shutdown_notice, '12' || code as org_id,
+  case cast(code as int) % 4 when 0 then '9' when 1 then '8' when 2 then '7' else '6' end || code as issue_id,
+  code as stock, issued_shares_as_of as holdings_date, issued_shares, issued_shares as total_in_registry, cast(case when cast(code as int) % 2 = 0 then 75.5 else 60.25 end as double) as total_in_registry_pct, cast(code as bigint) * 1000 as outside_registry from stock_meta""",
     "stock_meta",
 )
 def page_metadata(spark, d):
     filler = "<p>" + "words " * 3000 + "</p>"  # facts may stand anywhere in a page
-    text = F.concat(
-        F.lit("<html><head><title>T "), F.col("code"), F.lit("</title></head><body><h1>Company "), F.col("code"), F.lit('</h1><h2>Holdings</h2><div class="letterbox">notice</div>' + filler + '<a href="orgdata.asp?p=12'), F.col("code"), F.lit('">x</a><a href="x.asp?i=9'), F.col("code"),
-        F.lit('">y</a><p>Stock code: '), F.col("code"), F.lit("; holdings on "), F.col("issued_shares_as_of").cast("string"), F.lit("; Issued shares: "), F.format_number("issued_shares", 0), F.lit("; Total in CCASS: "), F.format_number("issued_shares", 0), F.lit("</p></body></html>"),
+    code, kind, text = F.col("code"), F.col("code").cast("int") % 4, F.lit
+    # a decoy before the link of the best kind that a page has
+    holdings = F.concat(text('<a href="x.asp?i=5">a</a><a href="price.asp?i=4">b</a><a href="choldings.asp?sort=n&i=9'), code, text('">c</a>'))
+    trading = F.concat(text('<a href="x.asp?i=5">a</a><a href="dealings.asp?i=8'), code, text('">b</a><a href="price.asp?i=3">c</a>'))
+    plain = F.concat(text('<a href="y.asp?j=5">a</a><a href="x.asp?i=7'), code, text('">b</a><a href="z.asp?i=2">c</a>'))
+    worded = F.concat(text('<a href="x.asp?p=1&amp;i=1">other</a><a href="x.asp?p=1&amp;i=6'), code, text('">Securities <b>list</b></a>'))
+    links = F.when(kind == 0, holdings).when(kind == 1, trading).when(kind == 2, plain).otherwise(worded)
+    total, outside = F.format_number("issued_shares", 0), F.format_number(code.cast("bigint") * 1000, 0)
+    stated = F.concat(text("; Total in CCASS: "), total, text("; Stake in CCASS: 75.5%; Securities not in CCASS: "), outside, text("</p>"))
+    tabled = F.concat(text("</p><table><tr><th>Type of holder</th><th>Holding</th><th>Stake %</th></tr><tr><td>Custodians</td><td>1</td><td>2</td></tr><tr><td>Total in registry</td><td>"), total, text("</td><td>60.25</td></tr><tr><td>Held outside</td><td>"), outside, text("</td><td>1</td></tr></table>"))
+    html = F.concat(
+        text("<html><head><title>T "), code, text("</title></head><body><h1>Company "), code, text('</h1><h2>Holdings</h2><div class="letterbox">notice</div>' + filler + '<a href="orgdata.asp?p=12'), code, text('">x</a>'), links,
+        text("<p>Stock code: "), code, text("; holdings on "), F.col("issued_shares_as_of").cast("string"), text("; Issued shares: "), F.format_number("issued_shares", 0), F.when(kind % 2 == 0, stated).otherwise(tabled), text("</body></html>"),
     )
-    made = view(spark, d, "stock_meta").select(F.col("code").alias("page"), text.alias("html"))
+    made = view(spark, d, "stock_meta").select(code.alias("page"), html.alias("html"))
     return pages.page_metadata(made, ["page"]).withColumnRenamed("code", "stock").withColumnRenamed("page", "code")
 
 

@@ -1,13 +1,15 @@
 """Web pages into rows: one Python job takes pages apart, everything after it is SQL.
 
-`html_tables` returns a row per table row of every page. The readers below choose a page's table, find its columns by
-their headers and clean the cells. Pages are parsed by the standard library's tolerant parser; a page without a table,
-with null or broken HTML, gives no rows.
+`html_tables` returns a row per table row of every page, its cells laid out on the table's grid. The readers below choose
+a page's table by windows over its rows (so each page is parsed once), find its columns by their headers and clean the
+cells. Pages are parsed by the standard library's tolerant parser; a page without a table, with null or broken HTML, gives
+no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -36,6 +38,55 @@ def _squeezed(parts: list[str]) -> str:
     return " ".join("".join(parts).replace("\xa0", " ").split())
 
 
+def _span(value: str | None, most: int) -> int:
+    """A span as HTML reads it: 1 unless it is a number; 0 (for rows: to the end of the table) stays."""
+    return min(int(value), most) if value and value.strip().isascii() and value.strip().isdigit() else 1
+
+
+def _grid(rows: list[list[dict]]) -> list[list[dict]]:
+    """Rows laid out by column: a cell fills all places that its spans cover, and later cells of a row move right of them."""
+    out: list[list[dict]] = []
+    hanging: dict[int, tuple[int, dict]] = {}  # column: rows that a cell from above still covers
+    for row in rows:
+        filled: list[dict] = []
+        below: dict[int, tuple[int, dict]] = {}
+
+        def hang() -> None:
+            while (from_above := hanging.pop(len(filled), None)) is not None:
+                left, cell = from_above
+                if left > 1:
+                    below[len(filled)] = left - 1, cell
+                filled.append(cell)
+
+        for cell in row:
+            hang()
+            wide, high = cell["spans"]
+            for _ in range(max(wide, 1)):
+                hanging.pop(len(filled), None)  # where a wide cell meets one from above, the wide one counts
+                if high != 1:
+                    below[len(filled)] = (high or len(rows)) - 1, cell
+                filled.append(cell)
+        hang()
+        hanging = below
+        out.append(filled)
+    return out
+
+
+def _header_rows(rows: list[list[dict]]) -> int:
+    """How many rows at the top are the header: those of a thead, else those of header cells alone, else the first."""
+    marked = sum(all(c["head"] for c in r) for r in rows)
+    if not marked:
+        while marked < len(rows) and all(c["th"] for c in rows[marked]):
+            marked += 1
+    return max(marked, 1)
+
+
+def _header(band: list[list[dict]]) -> list[str]:
+    """A column's name: the texts of its header cells from top to bottom, one that spans rows once."""
+    columns = [[r[k] for r in band if k < len(r)] for k in range(max(map(len, band), default=0))]
+    return [" ".join(t for n, c in enumerate(cells) if (t := _squeezed(c["text"])) and all(c is not d for d in cells[:n])) for cells in columns]
+
+
 class _Tables(HTMLParser):
     """Collects tables with their headings and enclosing ids, and a page's title, headings, notice and visible text."""
 
@@ -47,6 +98,7 @@ class _Tables(HTMLParser):
         self.open: list[tuple[str, dict]] = []  # elements that are open
         self.stack: list[dict] = []  # tables that are open
         self.heading: list[str] = []
+        self.links: list[tuple[str, list[str]]] = []
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -61,9 +113,11 @@ class _Tables(HTMLParser):
         elif tag in ("td", "th") and self.stack:
             if not self.stack[-1]["rows"]:
                 self.stack[-1]["rows"].append([])
-            self.stack[-1]["rows"][-1].append({"text": [], "href": None, "css": a.get("class"), "code": [], "full": [], "th": tag == "th"})
-        elif tag == "a" and (c := self._cell()) is not None and c["href"] is None:
-            c["href"] = a.get("href")
+            self.stack[-1]["rows"][-1].append({"text": [], "href": None, "css": a.get("class"), "code": [], "full": [], "th": tag == "th", "head": any(t == "thead" for t, _ in self.open), "spans": (_span(a.get("colspan"), 1000), _span(a.get("rowspan"), 65534))})
+        if tag == "a" and a.get("href") is not None:
+            self.links.append((a["href"], []))
+            if (c := self._cell()) is not None and c["href"] is None:
+                c["href"] = a["href"]
         if tag in ("h1", "h2", "h3", "title"):
             if tag in ("h2", "h3"):
                 self.heading = []
@@ -93,6 +147,8 @@ class _Tables(HTMLParser):
             self.found["title"].append(data)
             return
         self.visible.append(data)
+        if "a" in names and self.links:
+            self.links[-1][1].append(data)
         for tag in ("h1", "h2", "h3"):
             if tag in names:
                 self.found[tag].append(data)
@@ -118,9 +174,12 @@ def _parsed(html: str | None) -> _Tables:
 
 
 def html_tables(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
-    """The keys and a row per table row: numbers of table and row, the first row's texts as header, and cells.
+    """The keys and a row per table row: numbers of table and row, the columns' names as header, and cells by column.
 
-    A cell has its text, first link, class, and the outer and inner text of an info span. Rows without cells are left out.
+    Spans fill all their places. A table's header is a band of rows (those of a thead, else all leading rows of header
+    cells, else the first row), whose texts are joined by column; its last row is number 0, those above have negative
+    numbers, and the rows below it count from 1. A cell has its text, first link, class, and the outer and inner text of an
+    info span. Rows without cells are left out.
     """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +187,13 @@ def html_tables(pages: DataFrame, keys: list[str], html: str = "html") -> DataFr
             rows, source = {n: [] for n, _ in _ROW_FIELDS}, []
             for k, text in enumerate(batch.column(html).to_pylist()):
                 for number, table in enumerate(_parsed(text).tables):
-                    filled = [r for r in table["rows"] if r]
-                    header = [_squeezed(c["text"]) for c in filled[0]] if filled else []
-                    for row_no, row in enumerate(filled):
+                    filled = _grid([r for r in table["rows"] if r])
+                    band = _header_rows(filled)
+                    header = _header(filled[:band])
+                    for row_no, row in enumerate(filled, 1 - band):
                         source.append(k)
                         cells = [{"text": _squeezed(c["text"]), "href": c["href"], "css": c["css"], "code": _squeezed(c["code"]), "full": _squeezed(c["full"])} for c in row]
-                        values = (number, table["css"], table["box"], table["heading"], row_no, all(c["th"] for c in row), header, cells)
+                        values = (number, table["css"], table["box"], table["heading"], row_no, (row_no <= 0 and band > 1) or all(c["th"] for c in row), header, cells)
                         for (name, _), v in zip(_ROW_FIELDS, values, strict=True):
                             rows[name].append(v)
             chosen = batch.select(keys).take(pa.array(source, pa.int64()))
@@ -143,18 +203,36 @@ def html_tables(pages: DataFrame, keys: list[str], html: str = "html") -> DataFr
     return pages.select(*keys, html).mapInArrow(one, f"{types}, {ROWS_DDL}")
 
 
+#: Fixed value: the column by which a table of holder types is known.
+HOLDER_TYPE = "Type of holder"
+
+
+def _holder_rows(parsed: _Tables) -> list[dict[str, str]]:
+    for table in parsed.tables:
+        filled = _grid([r for r in table["rows"] if r])
+        band = _header_rows(filled)
+        header = _header(filled[:band])
+        if HOLDER_TYPE in header:
+            return [{h: _squeezed(c["text"]) for h, c in zip(header, row, strict=False)} for row in filled[band:]]
+    return []
+
+
 def page_texts(pages: DataFrame, keys: list[str], html: str = "html", limit: int | None = None) -> DataFrame:
-    """The keys, title, h1, h2 (first headings' text), notice, and the visible text (its first `limit` characters if given)."""
+    """The keys, title, h1, h2 (first headings' text), notice, the visible text (its first `limit` characters if given), links
+    (href and text, in order), and the body rows of the first table with a column HOLDER_TYPE, by column name."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parsed = [_parsed(text) for text in batch.column(html).to_pylist()]
             columns = {n: [_squeezed(p.found[n]) if n in p.found else None for p in parsed] for n in ("title", "h1", "h2", "notice")}
             columns["text"] = [_squeezed(p.visible)[:limit] for p in parsed]
-            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, *(pa.array(v, pa.string()) for v in columns.values())], [*keys, *columns])
+            arrays = [pa.array(v, pa.string()) for v in columns.values()]
+            arrays.append(pa.array([[{"href": h, "text": _squeezed(t)} for h, t in p.links] for p in parsed], pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())]))))
+            arrays.append(pa.array([_holder_rows(p) for p in parsed], pa.list_(pa.map_(pa.string(), pa.string()))))
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, *arrays], [*keys, *columns, "links", "holders"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keys).schema)
-    return pages.select(*keys, html).mapInArrow(one, f"{types}, title string, h1 string, h2 string, notice string, text string")
+    return pages.select(*dict.fromkeys([*keys, html])).mapInArrow(one, f"{types}, title string, h1 string, h2 string, notice string, text string, links array<struct<href:string,text:string>>, holders array<map<string,string>>")
 
 
 def _texts() -> Column:
@@ -170,10 +248,13 @@ def _at(index: str) -> Column:
 
 
 def _largest(tables: DataFrame, keys: list[str], good: Column) -> DataFrame:
-    """Rows of the table of each page with the most good rows (the first of equals)."""
-    counts = tables.groupBy(*keys, "table_no").agg(F.count_if(good).alias("_n")).filter("_n > 0")
-    best = first_rows(counts, keys, [F.desc("_n"), F.asc("table_no")]).select(*keys, "table_no")
-    return tables.join(best, [*keys, "table_no"])
+    """Rows of the table of each page with the most good rows (the first of equals).
+
+    Both windows work in the partitions of one shuffle by page.
+    """
+    counted = tables.repartition(*keys).withColumn("_good", F.count_if(good).over(Window.partitionBy(*keys, "table_no")))
+    best = F.max(F.when(F.col("_good") > 0, F.struct("_good", -F.col("table_no")))).over(Window.partitionBy(*keys))
+    return counted.withColumn("_best", best).filter(-F.col("table_no") == F.col("_best")["col2"]).drop("_good", "_best")
 
 
 def registry_snapshots(pages: DataFrame) -> DataFrame:
@@ -234,8 +315,8 @@ def header_key(c: Column) -> Column:
 def corporate_events(pages: DataFrame, keys: list[str], site: str) -> DataFrame:
     """Events of the first table whose header has `announced` and `type`, with the event's id and link."""
     rows = html_tables(pages, keys).withColumn("_names", F.lower(F.array_join("header", " "))).filter(F.col("_names").contains("announced") & F.col("_names").contains("type"))
-    first = rows.groupBy(*keys).agg(F.min("table_no").alias("table_no"))
-    body = _body(rows.join(first, [*keys, "table_no"])).withColumn("_keys", F.transform("header", header_key))
+    first = rows.withColumn("_first", F.min("table_no").over(Window.partitionBy(*keys))).filter("table_no = _first").drop("_first")
+    body = _body(first).withColumn("_keys", F.transform("header", header_key))
     by_key = lambda k: F.nullif(scalars.clean_text(cell(_texts(), F.nullif(F.array_position("_keys", F.lit(k)), F.lit(0).cast("long")))), F.lit("")).alias(k)
     link = F.try_element_at(F.filter(F.transform("cells", lambda c: c["href"]), lambda h: h.rlike(r"eventdets\.asp\?e=\d+")), F.lit(1))
     fields = dict.fromkeys(k for _, k in EVENT_HEADERS)
@@ -323,26 +404,67 @@ def first_match(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(plain, f"(?i){p}", 1)), F.lit("")) for p in patterns))
 
 
+# What a link with an issue id leads to, from what tells most to what tells least, and words of a link that
+# may stand for a security.
+ISSUE_LINKS = [r"(choldings|chldchg|bigchangesissue|cconchist)\.asp\?", r"(totalreturn|dealings|trades|price|changes)", r""]
+ISSUE_WORDS = ["ccass", "total return", "dealings", "securities"]
+
+
+def issue_of_links(links: Column, html: Column) -> Column:
+    """struct(issue_id, priority) of a page's links (an array of href and text): the id of the first link of the best kind.
+
+    Kinds, in order: pages of holdings and changes, pages of trading and prices, any place of the page where an id stands,
+    and links whose href or text has one of ISSUE_WORDS (ids behind an escaped `&` are found by these alone). Null without
+    an id. A holdings link counts wherever its id stands among the parameters.
+    """
+    number = lambda h: F.regexp_extract(h, r"[?&]i=(\d+)", 1)
+    words = lambda x: reduce(lambda a, b: a | b, (F.lower(F.concat_ws(" ", x["href"], x["text"])).contains(w) for w in ISSUE_WORDS))
+    # as the page writes it: an escaped & begins no parameter
+    plain = lambda x: F.contains(html, x["href"])
+    kind = lambda x: F.when(plain(x) & x["href"].rlike(f"(?i){ISSUE_LINKS[0]}"), 1).when(plain(x) & x["href"].rlike(f"(?i){ISSUE_LINKS[1]}"), 2).when(plain(x), 3).when(words(x), 4)
+    ranked = F.transform(links, lambda x, at: F.struct(kind(x).alias("priority"), at.alias("at"), number(x["href"]).alias("issue_id")))
+    anywhere = F.array(F.struct(F.lit(3).alias("priority"), F.lit(2**31 - 1).alias("at"), F.regexp_extract(html, r"[?&]i=(\d+)", 1).alias("issue_id")))
+    best = F.array_min(F.filter(F.concat(ranked, anywhere), lambda x: x["priority"].isNotNull() & (x["issue_id"] != "")))
+    return F.when(best.isNotNull(), F.struct(best["issue_id"].alias("issue_id"), best["priority"].alias("priority")))
+
+
+def _holder_value(words: list[str], column: str) -> Column:
+    """The value of a column in the first row of a page's holder types whose type has one of the words."""
+    kind = lambda m: F.lower(F.coalesce(F.try_element_at(m, F.lit(HOLDER_TYPE)), F.lit("")))
+    rows = F.filter("holders", lambda m: reduce(lambda a, b: a | b, (kind(m).contains(w) for w in words)))
+    return F.nullif(F.try_element_at(F.get(rows, F.lit(0)), F.lit(column)), F.lit(""))
+
+
 def page_metadata(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
-    """Names, ids and facts that pages state in links and text: organisation, issue, code, date, issued shares, notice."""
+    """Names, ids and facts that pages state in links and text: organisation, issue, code, date, issued shares, notice.
+
+    What the registry holds, its percentage and the shares outside come from the text, else from the rows of a table of
+    holder types.
+    """
     raw, text = F.col(html), F.col("text")
-    ids = {
-        "org_id": first_match(raw, [r"(?:orgdata|officers|overlap|pay|advisers|docs)\.asp\?p=(\d+)"]),
-        "issue_id": first_match(raw, [r"[?&]i=(\d{4,8})\b", r"issue[_ ]?id[=: ]+(\d{4,8})"]),
-    }
-    facts = page_texts(pages.withColumns(ids), [*keys, *ids], html)
-    return facts.select(
+    org = first_match(raw, [r"(?:orgdata|officers|overlap|pay|advisers|docs)\.asp\?p=(\d+)"])
+    # the page goes along for its links: a copy under a name of its own
+    facts = page_texts(pages.withColumns({"org_id": org, "_html": raw}), [*keys, "org_id", "_html"], html)
+    whole = lambda c: F.regexp_replace(c, ",", "").try_cast("bigint")
+    total = first_match(text, [r"Total (?:number )?in CCASS[:\s]+([0-9,]+)", r"Total securities in CCASS[:\s]+([0-9,]+)"])
+    share = first_match(text, [r"Total (?:number )?in CCASS.*?([0-9.]+%)", r"Stake in CCASS[:\s]+([0-9.]+%)"])
+    outside = first_match(text, [r"(?:Securities )?not in CCASS[:\s]+([0-9,]+)"])
+    stated = F.coalesce(share, F.nullif(scalars.percent_text(_holder_value(["total"], "Stake %")), F.lit("")))
+    issue = facts.withColumn("_issue", issue_of_links(F.col("links"), F.col("_html")))
+    return issue.select(
         *keys,
         "title",
         F.coalesce("h1", "title").alias("company_name"),
         F.col("h2").alias("page_name"),
         F.nullif("notice", F.lit("")).alias("shutdown_notice"),
         "org_id",
-        "issue_id",
+        F.coalesce("_issue.issue_id", first_match(F.col("_html"), [r"issue[_ ]?id[=: ]+(\d{4,8})"])).alias("issue_id"),
         first_match(text, [r"\bStock code[:\s]+(\d{4,5})", r"\bCode[:\s]+(\d{4,5})"]).alias("code"),
         scalars.parse_date(first_match(text, [r"holdings on (\d{4}-\d{2}-\d{2})", r"Shareholding Date\s*[:：]?\s*(\d{4}[/-]\d{1,2}[/-]\d{1,2})"])).alias("holdings_date"),
-        F.regexp_replace(first_match(text, [r"Issued (?:shares|securities)\s*[:：]?\s*([0-9,]+)"]), ",", "").try_cast("bigint").alias("issued_shares"),
-        F.regexp_replace(first_match(text, [r"Total (?:number )?in CCASS[:\s]+([0-9,]+)", r"Total securities in CCASS[:\s]+([0-9,]+)"]), ",", "").try_cast("bigint").alias("total_in_registry"),
+        whole(first_match(text, [r"Issued (?:shares|securities)\s*[:：]?\s*([0-9,]+)"])).alias("issued_shares"),
+        whole(F.coalesce(total, _holder_value(["total"], "Holding"))).alias("total_in_registry"),
+        scalars.numeric_percent(stated).alias("total_in_registry_pct"),
+        whole(F.coalesce(outside, _holder_value(["not in ccass", "outside"], "Holding"))).alias("outside_registry"),
     )
 
 
@@ -382,17 +504,33 @@ def section_score(text: Column, section: str) -> Column:
     return score
 
 
+def _head_text(texts: Column) -> Column:
+    """The header and the first five rows of a table as one normal text; texts: an array of (row_no, text)."""
+    return scalars.normal_name(F.array_join(F.transform(F.array_sort(texts), lambda x: x["t"]), " "))
+
+
+def _line() -> Column:
+    return F.when(F.col("row_no") <= 5, F.struct("row_no", F.array_join(_texts(), " ").alias("t")))
+
+
 def section_tables(tables: DataFrame, keys: list[str], chosen: dict[str, int] | None = None) -> DataFrame:
     """The table of each page and section: the best score over the header and five rows, at least 3 (2 for the company); or by choice."""
-    row_text = F.array_join(_texts(), " ")
-    first = tables.filter("row_no <= 5").groupBy(*keys, "table_no").agg(scalars.normal_name(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", row_text.alias("t")))), lambda x: x["t"]), " ")).alias("text"))
-    scores = F.array(*(F.struct(F.lit(s).alias("section"), section_score(F.col("text"), s).alias("score"), F.lit(SECTION_LEAST.get(s, 3)).alias("least")) for s in SECTION_WORDS))
+    first = tables.groupBy(*keys, "table_no").agg(_head_text(F.collect_list(_line())).alias("text"))
+    choice = lambda s: F.lit((chosen or {}).get(s)).cast("int")
+    scores = F.array(*(F.struct(F.lit(s).alias("section"), choice(s).alias("choice"), section_score(F.col("text"), s).alias("score"), F.lit(SECTION_LEAST.get(s, 3)).alias("least")) for s in SECTION_WORDS))
     long = first.select(*keys, "table_no", F.explode(scores).alias("s")).select(*keys, "table_no", "s.*")
-    best = first_rows(long.filter("score >= least"), [*keys, "section"], [F.desc("score"), F.asc("table_no")]).select(*keys, "section", "table_no", "score")
-    if not chosen:
-        return best
-    manual = first.select(*keys, "table_no").join(F.broadcast(tables.sparkSession.createDataFrame(list(chosen.items()), "section string, table_no int")), "table_no").withColumn("score", F.lit(None).cast("int"))
-    return best.filter(~F.col("section").isin(list(chosen))).unionByName(manual.select(best.columns))
+    fits = long.filter("choice = table_no or (choice is null and score >= least)").withColumn("score", F.expr("if(choice is null, score, null)"))
+    return first_rows(fits, [*keys, "section"], [F.desc("score"), F.asc("table_no")]).select(*keys, "section", "table_no", "score")
+
+
+def section_of(tables: DataFrame, keys: list[str], section: str, chosen: dict[str, int] | None = None) -> DataFrame:
+    """The rows of each page's table of a section, by the same choice, in one shuffle by page."""
+    if section in (chosen or {}):
+        return tables.filter(F.col("table_no") == chosen[section])
+    one = Window.partitionBy(*keys, "table_no")
+    scored = tables.repartition(*keys).withColumn("_text", _head_text(F.collect_list(_line()).over(one))).withColumn("_score", section_score(F.col("_text"), section))
+    best = F.max(F.when(F.col("_score") >= SECTION_LEAST.get(section, 3), F.struct("_score", -F.col("table_no")))).over(Window.partitionBy(*keys))
+    return scored.withColumn("_best", best).filter(-F.col("table_no") == F.col("_best")["col2"]).drop("_text", "_score", "_best")
 
 
 def table_previews(tables: DataFrame, keys: list[str]) -> DataFrame:
@@ -420,7 +558,7 @@ SECTION_FIELDS = {
     "Changes": {"participant_name": ["participant", "name"], "change": ["change in shares", "change"], "change_pct": ["stake change", "change %", "%"], "shares_after": ["holding after", "holding"], "stake_after": ["stake after", "stake"]},
     "Big Changes": {"date": ["date"], "participant_name": ["participant", "name"], "change_shares": ["change in shares", "shares", "holding change"], "change_pct": ["change %", "% change", "%", "change"]},
     "Concentration": {"date": ["date"], "top5": ["top 5", "top5"], "top10_ncip": ["top 10 + ncip", "top 10 +ncip", "top 10 ncip", "ncip"], "top10": ["top 10 %", "top 10", "top10"], "stake": ["stake in ccass", "ccass", "stake"]},
-    "Price History": {"date": ["date"], "close": ["close", "price"], "open": ["open"], "high": ["high"], "low": ["low"], "volume": ["volume"], "turnover": ["turnover"], "vwap": ["vwap"], "price_source": ["price source"]},
+    "Price History": {"date": ["date"], "close": ["close", "price"], "open": ["open"], "high": ["high"], "low": ["low"], "volume": ["volume"], "turnover": ["turnover"], "vwap": ["vwap"], "price_source": ["price_source", "price source"], "turnover_est": ["turnover_est", "turnover est"], "vwap_est": ["vwap_est", "vwap est"]},
 }
 #: Fields that are text; all others become numbers.
 TEXT_FIELDS = {"participant_name", "participant_id", "date", "price_source"}
@@ -432,12 +570,12 @@ def section_rows(tables: DataFrame, keys: list[str], section: str, chosen: dict[
     The NCIP column of a concentration table isn't taken for its Top 10 column. Holdings without ranks are numbered, rows
     without a participant are left out, blank dates of Big Changes take the date above, dates become DATE.
     """
-    best = section_tables(tables, keys, chosen).filter(F.col("section") == section).select(*keys, "table_no")
-    body = _body(tables.join(best, [*keys, "table_no"]))
+    body = _body(section_of(tables, keys, section, chosen))
     plain = F.transform("header", lambda h: F.when(~F.lower(h).contains("ncip"), h).otherwise(""))
     fields = SECTION_FIELDS[section]
     places = {f"_{f}": header_index(plain if section == "Concentration" and f == "top10" else F.col("header"), names) for f, names in fields.items()}
-    rows = body.withColumns(places).select(*keys, "row_no", *((_at(f"_{f}") if f in TEXT_FIELDS else scalars.to_number(_at(f"_{f}"))).alias(f) for f in fields))
+    flags = [F.col("_vwap_est").isNotNull().alias("_has_vwap_est")] if section == "Price History" else []
+    rows = body.withColumns(places).select(*keys, "row_no", *flags, *((_at(f"_{f}") if f in TEXT_FIELDS else scalars.to_number(_at(f"_{f}"))).alias(f) for f in fields))
     if "participant_name" in fields:
         rows = rows.filter(F.trim(F.coalesce("participant_name", F.lit(""))) != "")
     if section == "Holdings":
@@ -445,4 +583,16 @@ def section_rows(tables: DataFrame, keys: list[str], section: str, chosen: dict[
     if section == "Big Changes":
         above = Window.partitionBy(*keys).orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = rows.withColumn("date", F.last("date", ignorenulls=True).over(above))
+    if section == "Price History":
+        rows = _rounded_prices(rows.filter(F.trim(F.coalesce("date", F.lit(""))) != ""))
     return rows.withColumn("date", scalars.parse_date(F.col("date"))) if "date" in fields else rows
+
+
+def _rounded_prices(rows: DataFrame) -> DataFrame:
+    """Prices to three decimals, turnover to two; where the page has no column for it, vwap_est follows from the estimated
+    turnover of the source that has no VWAP."""
+    digits = {"close": 3, "open": 3, "high": 3, "low": 3, "vwap": 3, "vwap_est": 3, "turnover": 2, "turnover_est": 2}
+    rounded = rows.withColumns({c: F.round(c, n) for c, n in digits.items()})
+    unknown = (F.lower("price_source") == "yahoo") & F.col("vwap").isNull()
+    estimate = F.when(unknown, F.round(F.try_divide("turnover_est", F.nullif("volume", F.lit(0.0))), 3))
+    return rounded.withColumn("vwap_est", F.when(F.col("_has_vwap_est"), F.col("vwap_est")).otherwise(estimate)).drop("_has_vwap_est")

@@ -163,3 +163,54 @@ def test_malformed_page_costs_only_itself(spark):
     got = {(r.k, r.cells[0].text) for r in pages.html_tables(df, ["k"]).collect()}
     assert {(1, "a"), (2, "b")} <= got
     assert pages.page_metadata(df, ["k"]).count() == 3
+
+
+def cells_of(spark, html):
+    rows = pages.html_tables(spark.createDataFrame([(1, html)], "page_id long, html string"), ["page_id"]).orderBy("table_no", "row_no").collect()
+    return [(r.row_no, r.is_header, r.header, [c.text for c in r.cells]) for r in rows]
+
+
+def test_spans_fill_the_grid(spark):
+    html = """<table><tr><th>ID</th><th>Name</th><th>Shares</th></tr><tr><td rowspan="2">B1</td><td>A</td><td>5</td></tr><tr><td>B</td><td>7</td></tr>
+<tr><td colspan=2>both</td><td>1</td></tr><tr><td rowspan=0>to the end</td><td>x</td><td>2</td></tr><tr><td>y</td><td>3</td></tr></table>"""
+    assert [c for _, _, _, c in cells_of(spark, html)] == [["ID", "Name", "Shares"], ["B1", "A", "5"], ["B1", "B", "7"], ["both", "both", "1"], ["to the end", "x", "2"], ["to the end", "y", "3"]]
+    nested = "<table><tr><td rowspan=2 colspan=2>a</td><td rowspan=3>b</td></tr><tr><td>c</td></tr><tr><td>d</td><td>e</td><td>f</td></tr></table>"
+    assert [c for _, _, _, c in cells_of(spark, nested)] == [["a", "a", "b"], ["a", "a", "b", "c"], ["d", "e", "b", "f"]]
+    odd = "<table><tr><td colspan='x' rowspan='-1'>a</td><td colspan=''>b</td></tr></table>"
+    assert [c for _, _, _, c in cells_of(spark, odd)] == [["a", "b"]]
+
+
+def test_header_bands(spark):
+    two = '<table><tr><th colspan="2">Holder</th><th rowspan="2">Balance</th></tr><tr><th>Nation</th><th>Name</th></tr><tr><td>N</td><td>S</td><td>1</td></tr></table>'
+    head = ["Holder Nation", "Holder Name", "Balance"]
+    assert cells_of(spark, two) == [(-1, True, head, ["Holder", "Holder", "Balance"]), (0, True, head, ["Nation", "Name", "Balance"]), (1, False, head, ["N", "S", "1"])]
+    thead = "<table><thead><tr><td>A</td></tr><tr><td>B</td></tr></thead><tbody><tr><td>1</td></tr></tbody></table>"
+    assert [(n, h, x) for n, h, x, _ in cells_of(spark, thead)] == [(-1, True, ["A B"]), (0, True, ["A B"]), (1, False, ["A B"])]
+    none = "<table><tr><td>A</td></tr><tr><td>1</td></tr></table>"
+    assert [(n, h, x) for n, h, x, _ in cells_of(spark, none)] == [(0, False, ["A"]), (1, False, ["A"])]
+
+
+def test_registry_with_spans(spark):
+    html = """<table><tr><th colspan=2>Participant</th><th rowspan=2>Shareholding</th><th rowspan=2>% of the total Issued Shares</th></tr><tr><th>ID</th><th>Name</th></tr>
+<tr><td rowspan=2>B00001</td><td>A</td><td>1,000</td><td>10%</td></tr><tr><td>A, client account</td><td>7</td><td>1%</td></tr></table>"""
+    got = pages.registry_snapshots(spark.createDataFrame([("1", "d", html)], "code string, query_date string, html string")).collect()
+    assert {(r.participant_id, r.participant_name, r.shares, r.pct_of_issued) for r in got} == {("B00001", "A", 1000, 10.0), ("B00001", "A, client account", 7, 1.0)}
+
+
+def test_issue_id_by_priority_of_links(spark):
+    def found(html):
+        return pages.page_metadata(spark.createDataFrame([(1, html)], "page_id long, html string"), ["page_id"]).first().issue_id
+
+    assert found('<a href="x.asp?i=11">a</a><a href="price.asp?i=22">b</a><a href="cconchist.asp?o=1&i=33">c</a>') == "33"
+    assert found('<a href="x.asp?i=11">a</a><a href="price.asp?i=22">b</a><a href="trades.asp?i=23">c</a>') == "22"
+    assert found('<a href="x.asp?j=1">a</a><a href="x.asp?i=12">b</a><a href="z.asp?i=13">c</a>') == "12"
+    assert found('<a href="x.asp?p=1&amp;i=1">other</a><a href="x.asp?p=1&amp;i=44">CCASS <i>holdings</i></a>') == "44"
+    assert found('<a href="x.asp?p=1&amp;i=1">other</a>') is None and found("<p>issue id: 12345</p>") == "12345" and found(None) is None
+
+
+def test_each_reader_parses_a_page_once(spark):
+    df = spark.createDataFrame([("1", "d", "")], "code string, query_date string, html string")
+    dated = df.withColumnRenamed("query_date", "date")
+    plans = [pages.registry_snapshots(df), pages.holdings_pages(dated), pages.corporate_events(df, ["code"], "s"), pages.page_metadata(df, ["code"])]
+    plans += [pages.section_rows(pages.html_tables(df, ["code"]), ["code"], x) for x in pages.SECTION_FIELDS]
+    assert all(p._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 for p in plans)

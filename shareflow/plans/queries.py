@@ -410,11 +410,12 @@ def price_chart(spark, d):
 
 @register(
     "price_window",
-    "select code, date, close from price_history qualify date >= max(date) over (partition by code) - interval 31 day",
+    "select code, date, close from price_history qualify date >= max(date) over (partition by code) - interval 12 day",
     "price_history",
 )
 def price_window(spark, d):
-    return prices.chart_frame(view(spark, d, "price_history"), tables.RANGES["1M"]).select("code", "date", "close")
+    # the data span a month, so the window is shorter than any named range
+    return prices.chart_frame(view(spark, d, "price_history"), 12).select("code", "date", "close")
 
 
 @register("suspensions", CHART + " select code, cast(date - gap_days as date) as start_date, date as end_date from seg where gap_days > 1", "price_history")
@@ -517,12 +518,13 @@ def participant_history(spark, d):
 
 @register(
     "aligned_prices",
-    "with b as (select code, min(change_date) as lo, max(change_date) as hi from share_changes group by 1) select p.code, p.date, p.close from price_history p join b on p.code = b.code where p.date between lo and hi",
+    "with b as (select lpad(cast(user_id as varchar), 5, '0') as code, min(cast(ts as date)) as lo, max(cast(ts as date)) as hi from events where event_type = 'purchase' group by 1) select p.code, p.date, p.close from price_history p join b on p.code = b.code where p.date between lo and hi",
     "price_history",
-    "share_changes",
 )
 def aligned_prices(spark, d):
-    bounds = view(spark, d, "share_changes").select("code", F.col("change_date").alias("date"))
+    # a code's prices from its first to its last purchase
+    bought = load(spark, d, "events").filter("event_type = 'purchase'")
+    bounds = bought.select(F.lpad(F.col("user_id").cast("string"), 5, "0").alias("code"), F.to_date("ts").alias("date"))
     return tables.within_bounds(view(spark, d, "price_history").select("code", "date", "close"), bounds, ["code"], "date")
 
 
@@ -731,12 +733,13 @@ def page_links(spark, d):
     return pages.outbound_links(load(spark, d, "pages"), ["page_id"])
 
 
-@register("page_urls", "select page_id, case when regexp_matches(url, '^https://[^/@:]+([/?#]|$)') and regexp_extract(url, '^https://([^/?#]*)', 1) like '%.example.org' then regexp_replace(url, '#.*$', '') end as allowed from pages")
+@register("page_urls", "select page_id, case when regexp_matches(url, '^https://[^/@:]+([/?#]|$)') and regexp_extract(url, '^https?://([^/?#]*)', 1) in (select host from (select regexp_extract(url, '^https?://([^/?#]*)', 1) as host, count(*) as n from pages group by 1) where host <> '' order by n desc, host limit 5) then regexp_replace(url, '#.*$', '') end as allowed from pages")
 def page_urls(spark, d):
-    rows = load(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"))
-    # the allow-list is one of host names; here every host of one domain is on it, so the check is per row
-    allowed = F.when(F.col("host").endswith(".example.org"), scalars.allowed_url_any_host(F.col("url")))
-    return rows.select("page_id", allowed.alias("allowed"))
+    rows = load(spark, d, "pages").select("page_id", "url")
+    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
+    # the allow-list is the five hosts with the most pages
+    first = rows.filter(host != "").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "host").limit(5)
+    return rows.select("page_id", scalars.allowed_url(F.col("url"), [r["host"] for r in first.collect()]).alias("allowed"))
 
 
 @register(
@@ -751,11 +754,11 @@ def text_quality(spark, d):
 
 @register(
     "code_forms",
-    "select c_custkey, case when length(k) >= 5 then k else lpad(k, 5, '0') end as code, (case when length(k) >= 4 then k else lpad(k, 4, '0') end) || '.HK' as ticker, 'HK' || (case when length(k) >= 4 then k else lpad(k, 4, '0') end) as slug, length(k) between 4 and 8 as issue_like from (select c_custkey, cast(c_custkey as varchar) as k from customer where c_custkey > 0)",
+    "select c_custkey, case when length(k) >= 5 then k else lpad(k, 5, '0') end as code, (case when length(k) >= 4 then k else lpad(k, 4, '0') end) || '.HK' as ticker, 'HK' || (case when length(k) >= 4 then k else lpad(k, 4, '0') end) as slug, length(k) between 4 and 8 as issue_like from (select c_custkey, cast(c_custkey as varchar) as k from customer)",
 )
 def code_forms(spark, d):
     k = F.col("c_custkey").cast("string")
-    rows = load(spark, d, "customer").filter("c_custkey > 0")
+    rows = load(spark, d, "customer")
     return rows.select("c_custkey", scalars.stock_code(k).alias("code"), scalars.ticker(k).alias("ticker"), scalars.slug(k).alias("slug"), scalars.looks_like_issue_id(k).alias("issue_like"))
 
 

@@ -1,4 +1,8 @@
-"""Whole reports, put together from operators: each is a plan over all codes at once."""
+"""Whole reports, put together from operators: each is a plan over all codes at once.
+
+Reports that read the snapshots for several frames write them once first, with the columns they need; stored=True says
+that they are a stored table already.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from shareflow.operators import announcements as news
 from shareflow.operators import capital, concentration, flows, history, prices, quality, snapshots
 from shareflow.operators.tables import last_rows, ordered_codes, recent, top_rows, within_bounds
 from shareflow.sinks import export
+from shareflow.sinks.once import once
 from shareflow.sources import pages
 
 
@@ -45,29 +50,38 @@ class HistoryReport(NamedTuple):
     latest: DataFrame
 
 
+SNAPSHOT = ["code", "date", "participant_id", "participant_name", "shares", "bps"]
+
+
+def _kept(snaps: DataFrame, stored: bool) -> DataFrame:
+    return snaps if stored else once(snaps.select(*SNAPSHOT), "report-snapshots")
+
+
 def categories_of(snaps: DataFrame) -> DataFrame:
     """Category of each distinct participant (of several names the least)."""
     return with_category(snaps.groupBy("participant_id").agg(F.min("participant_name").alias("participant_name")))
 
 
-def stock_report(snaps: DataFrame, holdings_limit: int = 15, changes_limit: int = 20, dates_limit: int = 15, big_limit: int = 10, log: DataFrame | None = None, price_history: DataFrame | None = None) -> StockReport:
+def stock_report(snaps: DataFrame, holdings_limit: int = 15, changes_limit: int = 20, dates_limit: int = 15, big_limit: int = 10, log: DataFrame | None = None, price_history: DataFrame | None = None, stored: bool = False) -> StockReport:
     """Latest holdings and changes of each code with categories, its concentration on both bases, patterns, major moves,
     the largest changes of stakes of all dates, and (if the fetch log and prices are given) the warnings."""
+    snaps = _kept(snaps, stored)
     kinds = categories_of(snaps).select("participant_id", "category")
-    latest = snapshots.date_pairs(snaps).groupBy("code").agg(F.max("date").alias("date"))
+    latest = snaps.groupBy("code").agg(F.max("date").alias("date"))
     ranked = snapshots.holdings_ranked(snaps.join(latest, ["code", "date"]))
     holdings = ranked.filter(F.col("rank") <= holdings_limit).join(kinds, "participant_id", "left")
-    moved = snapshots.consecutive_changes(snaps).join(latest, ["code", "date"])
+    changes = snapshots.consecutive_changes(snaps)
+    moved = changes.join(latest, ["code", "date"])
     top = top_rows(moved, ["code"], [F.desc_nulls_last(F.abs("change_shares")), F.asc("participant_id")], changes_limit, "row_no").join(kinds, "participant_id", "left")
     series = top_rows(concentration_report(snaps), ["code"], [F.desc("date")], dates_limit, "row_no")
-    stakes = snapshots.consecutive_changes(snaps).filter("change_bps is not null")
-    big = top_rows(stakes, ["code"], [F.desc(F.abs("change_bps")), F.desc("date"), F.asc("participant_id")], big_limit, "row_no").join(kinds, "participant_id", "left")
+    big = top_rows(changes.filter("change_bps is not null"), ["code"], [F.desc(F.abs("change_bps")), F.desc("date"), F.asc("participant_id")], big_limit, "row_no").join(kinds, "participant_id", "left")
     warnings = quality_report(log, price_history) if log is not None and price_history is not None else None
     return StockReport(holdings, top, series, flows.change_patterns(moved), flows.major_moves(moved), big, warnings)
 
 
-def screen(snaps: DataFrame, meta: DataFrame, codes: DataFrame) -> DataFrame:
+def screen(snaps: DataFrame, meta: DataFrame, codes: DataFrame, stored: bool = False) -> DataFrame:
     """One row per requested code (text column `code`, order `seq`): concentration, largest holder, biggest move, or an error."""
+    snaps = _kept(snaps, stored)
     wanted = codes.select("seq", stock_code(F.col("code")).alias("code"), F.col("code").alias("requested"))
     kinds = categories_of(snaps).select("participant_id", "category")
     summary = snapshots.date_summary(snaps)
@@ -84,7 +98,7 @@ def screen(snaps: DataFrame, meta: DataFrame, codes: DataFrame) -> DataFrame:
 def participant_search(snaps: DataFrame, wanted_id: str, codes: DataFrame) -> DataFrame:
     """One row per requested code: the latest holding of a participant, or found = false. All holdings are searched."""
     pid = participant_id(F.lit(wanted_id))
-    latest = snapshots.date_pairs(snaps).groupBy("code").agg(F.max("date").alias("date"))
+    latest = snaps.groupBy("code").agg(F.max("date").alias("date"))
     ranked = snapshots.holdings_ranked(snaps.join(latest, ["code", "date"])).filter(F.upper(F.trim("participant_id")) == pid)
     found = codes.select(stock_code(F.col("code")).alias("code")).distinct().join(ranked, "code", "left")
     return found.withColumn("found", F.col("participant_id").isNotNull())
@@ -117,15 +131,17 @@ def capital_report(share_changes: DataFrame, buybacks: DataFrame, changes_limit:
     return capital.latest_capital(share_changes), capital.first_in_source_order(capital.tagged_changes(share_changes), changes_limit), capital.first_in_source_order(buybacks, buybacks_limit)
 
 
-def participant_history(snaps: DataFrame, top: int = 10, most_dates: int = 12) -> DataFrame:
+def participant_history(snaps: DataFrame, top: int = 10, most_dates: int = 12, stored: bool = False) -> DataFrame:
     """Stakes of today's largest participants on evenly sampled dates of the last year."""
+    snaps = _kept(snaps, stored)
     ranked = snapshots.holdings_ranked(snaps)
     return history.dense_history(history.top_participants(ranked, top), history.sampled_dates(snaps, most_dates), snaps)
 
 
-def history_report(snaps: DataFrame, price_history: DataFrame, top: int = 10, most_dates: int = 12) -> HistoryReport:
+def history_report(snaps: DataFrame, price_history: DataFrame, top: int = 10, most_dates: int = 12, stored: bool = False) -> HistoryReport:
     """Stakes of the largest participants on sampled dates; broker counts and concentration of these dates; prices of the
     time they span; and the last line of each participant."""
+    snaps = _kept(snaps, stored)
     dates = history.sampled_dates(snaps, most_dates)
     stakes = history.dense_history(history.top_participants(snapshots.holdings_ranked(snaps), top), dates, snaps)
     brokers = snapshots.broker_counts(snaps.join(dates, ["code", "date"], "left_semi"))

@@ -5,9 +5,6 @@ The SQL of each gives the rows that the pages were made from, so it never sees H
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +14,7 @@ from shareflow.operators import announcements, prices, quality, snapshots
 from shareflow.plans import reports
 from shareflow.plans.queries import BIG, CHANGES, EVENTS_SQL, FAILED, FEED, KINDS, RANKED, SAMPLED, SERIES, register
 from shareflow.sinks import export, ingest
+from shareflow.sinks.once import scratch
 from shareflow.sources import feeds, pages
 from shareflow.sources.views import load, view
 from shareflow.streaming import ingest as streaming
@@ -24,16 +22,6 @@ from shareflow.streaming import ingest as streaming
 SITE = "https://pages.example"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share; a temporary one only on a single machine without that setting."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-shareflow-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def made_pages(rows: DataFrame, keys: list[str], header: list[str], cells: list[Column | str], order: list[str], opening: str = "<table>", closing: str = "</table>") -> DataFrame:
     """The keys and html: a page per key with one table, whose rows are in the given order."""
     cell = lambda c: F.concat(F.lit("<td>"), F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")), F.lit("</td>"))
@@ -410,6 +398,29 @@ def streamed_prices(spark, d):
     return spark.read.parquet(f"{folder}/out").select("code", "date", "price_source", "close", "volume")
 
 
+def _maintained(spark: SparkSession, d: str) -> str:
+    """Where the derived tables are after a stream that brings dates late and rows wrong first."""
+    folder = scratch(spark, "maintained")
+    rows = view(spark, d, "snapshots").select(*reports.SNAPSHOT)
+    late, wrong = F.quarter("date") == 2, F.col("code") < "00005"
+    waves = [rows.filter(~late).withColumn("shares", F.when(wrong, F.col("shares") * 2).otherwise(F.col("shares"))), rows.filter(late), rows.filter(wrong & ~late)]
+    for k, wave in enumerate(waves):
+        wave.withColumn("fetched_at", F.lit(k)).write.parquet(f"{folder}/in/{k}")
+        landed = streaming.landed(spark, f"{folder}/in/*", wave.withColumn("fetched_at", F.lit(k)).schema)
+        streaming.maintain(landed, f"{folder}/snapshots", f"{folder}/derived", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/derived"
+
+
+@register("maintained_changes", CHANGES + " select * from changes", "snapshots")
+def maintained_changes(spark, d):
+    return spark.read.parquet(f"{_maintained(spark, d)}/changes")
+
+
+@register("maintained_concentration", SERIES + " select code, date, top5_bps, top10_bps, total_bps from series", "snapshots")
+def maintained_concentration(spark, d):
+    return spark.read.parquet(f"{_maintained(spark, d)}/concentration").select("code", "date", "top5_bps", "top10_bps", "total_bps")
+
+
 @register("merged_meta", "select code, coalesce(nullif(trim(name), ''), 'old ' || code) as name, case when code < '00010' then issued_shares else 1 end as issued_shares, issued_shares_as_of from stock_meta", "stock_meta")
 def merged_meta(spark, d):
     new = view(spark, d, "stock_meta")
@@ -452,15 +463,18 @@ def cross_section_warnings(spark, d):
     return quality.cross_section_warnings(flags)
 
 
-@register("provenance", "select code, date, 'registry' as source, date as data_as_of from price_history", "price_history")
+@register("provenance", "select code, date, case when dayofmonth(date) % 3 = 0 then 'own' else 'registry' end as source, case when dayofmonth(date) % 2 = 0 then cast(date - interval 1 day as date) else date end as data_as_of from price_history", "price_history")
 def provenance(spark, d):
-    rows = view(spark, d, "price_history").select("code", "date", F.lit(" ").alias("source"))
+    own = F.when(F.dayofmonth("date") % 3 == 0, "own").when(F.dayofmonth("date") % 3 == 1, " ")
+    rows = view(spark, d, "price_history").select("code", "date", own.alias("source"), F.when(F.dayofmonth("date") % 2 == 0, F.date_sub("date", 1)).alias("data_as_of"))
     return quality.with_provenance(rows, F.col("date"), "registry")
 
 
-@register("limited_history", "select code, count(distinct date) as history_depth from price_history group by 1 having count(distinct date) <= 1", "price_history")
+@register("limited_history", "select l_suppkey as code, count(distinct l_shipdate) as history_depth from lineitem where l_quantity = 50 and l_discount = 0.1 group by 1 having count(distinct l_shipdate) <= 1")
 def limited_history(spark, d):
-    return quality.limited_history(view(spark, d, "price_history").groupBy("code").agg(F.count_distinct("date").alias("history_depth")))
+    # what few large orders of a supplier with the highest discount there are: some suppliers have one date of these, others several
+    dates = load(spark, d, "lineitem").filter("l_quantity = 50 and l_discount = 0.1").groupBy(F.col("l_suppkey").alias("code")).agg(F.count_distinct("l_shipdate").alias("history_depth"))
+    return quality.limited_history(dates)
 
 
 @register("invalid_pairs", "with p as (select o_orderkey as k, case o_orderkey % 4 when 0 then ' ' else '00001' end as code, case o_orderkey % 4 when 1 then '1/2/2020' else strftime(o_orderdate, '%Y-%m-%d') end as date_a, '1995-06-01' as date_b from orders) select *, case when trim(code) = '' then 'no stock code' when date_a = '1/2/2020' then 'dates must be YYYY-MM-DD' else 'date_a must be before date_b' end as error from p where trim(code) = '' or date_a = '1/2/2020' or date_a >= date_b")
@@ -572,9 +586,9 @@ def report_concentration(spark, d):
     return reports.stock_report(view(spark, d, "snapshots")).concentration.select("code", "date", "top5_pct", "top5_pct_of_issued", "row_no")
 
 
-@register("price_report_window", "with p as (select * from price_history qualify date >= max(date) over (partition by code) - interval 30 day) select code, date, price_source, close, cast(row_number() over (partition by code order by date desc, price_source) as int) as row_number from p qualify row_number <= 20", "price_history")
+@register("price_report_window", "with q as (select * from price_history qualify date >= max(date) over (partition by code) - interval 20 day), p as (select * from q where date >= date '2024-01-12') select code, date, price_source, close, cast(row_number() over (partition by code order by date desc, price_source) as int) as row_number from p qualify row_number <= 20", "price_history")
 def price_report_window(spark, d):
-    report = reports.price_report(view(spark, d, "price_history"), view(spark, d, "share_changes"), view(spark, d, "stock_meta"), days=30, start="1970-01-01")
+    report = reports.price_report(view(spark, d, "price_history"), view(spark, d, "share_changes"), view(spark, d, "stock_meta"), days=20, start="2024-01-12")
     return report.prices.select("code", "date", "price_source", "close", "row_number")
 
 

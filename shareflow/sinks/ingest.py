@@ -52,6 +52,17 @@ def upsert(path: str, incoming: DataFrame, key: list[str], partition: str = "dat
     spark.read.schema(incoming.schema).parquet(staging).repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def replace(path: str, rows: DataFrame, replaced: DataFrame, keys: list[str], partition: str = "date") -> None:
+    """Put rows in the place of all rows whose keys are in replaced (distinct, partition among them); other rows stay.
+
+    Only the partitions that replaced names are read and written, by way of a staging table.
+    """
+    spark = rows.sparkSession
+    old = _existing(spark, path, rows).join(replaced.select(partition).distinct(), partition, "left_semi").join(replaced, keys, "left_anti")
+    staged = written_beside(old.select(rows.columns).unionByName(rows), path)
+    staged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def upsert_snapshots(path: str, incoming: DataFrame) -> None:
     upsert(path, incoming, SNAPSHOT_KEY)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shareflow.functions.rules import with_category
-from shareflow.functions.scalars import participant_id, stock_code
+from shareflow.functions.scalars import participant_id, participant_label, stock_code
 from shareflow.operators import announcements as news
 from shareflow.operators import capital, concentration, flows, history, prices, quality, snapshots
 from shareflow.operators.tables import last_rows, ordered_codes, recent, top_rows, within_bounds
@@ -199,3 +199,24 @@ def full_export(snaps: DataFrame, share_changes: DataFrame, buybacks: DataFrame,
     sections = {"Holdings": report.holdings, "Changes": report.changes, "Big Changes": report.big_changes, "Concentration": report.concentration, "Price History": prices.latest_prices(price_history), "Share changes": changes, "Buybacks": bought, **(more or {})}
     summary = quality.fetch_summary(log).withColumnRenamed("section", "fetched_section").withColumnRenamed("error", "error_message").withColumnRenamed("status", "fetch_status")
     return export.combined(sections, source, warnings=quality_report(log, price_history), summary=summary, metadata=meta)
+
+
+def report_metadata(snaps: DataFrame, price_history: DataFrame, meta: DataFrame, source: str, stored: bool = False) -> DataFrame:
+    """One row per code with the facts of its report: dates, depth of history, totals, concentration, largest holder, latest price."""
+    snaps = _kept(snaps, stored)
+    summary = snapshots.date_summary(snaps)
+    ranked = snapshots.holdings_ranked(snaps.join(summary.select("code", F.col("latest_date").alias("date")), ["code", "date"]))
+    held = ranked.groupBy("code").agg(F.sum("shares").alias("total_in_registry"), F.sum(F.coalesce("bps", F.lit(0))).alias("total_bps"))
+    at = snapshots.cumulative_at(ranked).select("code", F.col("cumulative_5_bps").alias("top5_cumulative_bps"), F.col("cumulative_10_bps").alias("top10_cumulative_bps"))
+    holder = flows.largest_participant(ranked).select("code", participant_label(F.col("participant_name"), F.col("participant_id")).alias("largest_participant"))
+    priced = prices.latest_prices(price_history, 1).select("code", F.col("date").alias("price_history_latest_date"), "price_source", F.col("close").alias("latest_price"), F.col("volume").alias("latest_price_volume"), F.col("turnover").alias("latest_price_turnover"), F.col("vwap").alias("latest_price_vwap"))
+    out = summary.select(
+        "code",
+        F.lit(source).alias("source"),
+        F.col("latest_date").alias("holdings_data_date"),
+        F.when(F.col("previous_date").isNotNull(), F.concat_ws(" to ", F.col("previous_date").cast("string"), F.col("latest_date").cast("string"))).alias("changes_date_range"),
+        F.col("history_depth").alias("history_depth_days"),
+    )
+    for more in (meta.select("code", "name", F.col("issued_shares").alias("issued_securities")), held, at, holder, priced):
+        out = out.join(more, "code", "left")
+    return out.withColumn("outside_registry", F.col("issued_securities") - F.col("total_in_registry"))

@@ -100,10 +100,10 @@ def table_cells(spark, d):
     return rows.select("code", "date", "row_no", "is_header", F.array_join(F.transform("cells", lambda c: c["text"]), "|").alias("line"))
 
 
-@register("table_previews", CELLS + " select code, date, 0 as table_no, count(*) as n_rows, 4 as n_columns, min(line) filter (row_no = 1) as first_line from t group by 1, 2", "snapshots")
+@register("table_previews", CELLS + " select code, date, 0 as table_no, count(*) as n_rows, 4 as n_columns, string_agg(line, ';' order by row_no) filter (row_no <= 3) as lines from t group by 1, 2", "snapshots")
 def table_previews(spark, d):
     shown = pages.table_previews(pages.html_tables(_registry(spark, d, ["code", "date"]), ["code", "date"]), ["code", "date"])
-    return shown.select("code", "date", "table_no", "n_rows", "n_columns", F.array_join(F.col("sample")[0]["cells"], "|").alias("first_line"))
+    return shown.select("code", "date", "table_no", "n_rows", "n_columns", F.array_join(F.transform("sample", lambda r: F.array_join(r["cells"], "|")), ";").alias("lines"))
 
 
 HOLDINGS = ["Participant", "CCASS ID", "Holding", "Stake %", "Cumulative"]
@@ -324,17 +324,22 @@ def active_stocks(spark, d):
 
 
 def _chart_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "price_history").filter("price_source = 'yahoo'")
+    """Chart payloads of every code, of all forms that a source may send: by number of the code, every seventh is no JSON,
+    an error object, null or empty."""
+    rows = view(spark, d, "price_history")
     cents = lambda c: (F.floor(F.col(c) * 100) / 100).alias(c)
     bar = F.struct((F.unix_date("date") * 86400 + 7200).cast("long").alias("ts"), *map(cents, ("open", "high", "low", "close")), "volume")
     bars = rows.groupBy("code").agg(F.array_sort(F.collect_list(bar)).alias("b"))
     column = lambda c: F.transform("b", lambda x: x[c]).alias(c)
     quote = F.struct(*map(column, ("open", "high", "low", "close", "volume")))
     result = F.struct(column("ts").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
-    return bars.select("code", F.to_json(F.struct(F.struct(F.array(result).alias("result"), F.lit(None).cast("string").alias("error")).alias("chart"))).alias("json"))
+    good = F.to_json(F.struct(F.struct(F.array(result).alias("result"), F.lit(None).cast("string").alias("error")).alias("chart")))
+    form = F.col("code").cast("int") % 7
+    json = F.when(form == 3, F.concat(F.lit("<html>"), good)).when(form == 4, F.concat(F.lit('{"chart":{"result":null,"error":{"code":"Not Found","description":"no '), "code", F.lit('"}}}'))).when(form == 5, F.when(F.col("code") < "00500", F.lit("")))
+    return bars.select("code", F.when(form.between(3, 5), json).otherwise(good).alias("json"))
 
 
-BARS_SQL = "with b as (select code, date, floor(open * 100) / 100 as open, floor(high * 100) / 100 as high, floor(low * 100) / 100 as low, floor(close * 100) / 100 as close, coalesce(volume, 0) as volume from price_history where price_source = 'yahoo')"
+BARS_SQL = "with b as (select code, date, floor(open * 100) / 100 as open, floor(high * 100) / 100 as high, floor(low * 100) / 100 as low, floor(close * 100) / 100 as close, coalesce(volume, 0) as volume from price_history where cast(code as int) % 7 not between 3 and 5)"
 
 
 @register("daily_bars", BARS_SQL + " select code, date, open, high, low, close, volume from b", "price_history")
@@ -342,20 +347,42 @@ def daily_bars(spark, d):
     return feeds.daily_bars(_chart_json(spark, d))[0].withColumn("volume", F.coalesce("volume", F.lit(0)))
 
 
+@register("bar_errors", "select distinct code, case cast(code as int) % 7 when 3 then 'malformed payload' when 4 then 'no ' || code else 'no data' end as error from price_history where cast(code as int) % 7 between 3 and 5", "price_history")
+def bar_errors(spark, d):
+    return feeds.daily_bars(_chart_json(spark, d))[1]
+
+
 @register("price_table", BARS_SQL + ", t as (select *, round(close * volume, 2) as turnover_est, 'yahoo' as price_source from b) select *, case when volume <> 0 then round(turnover_est / volume, 3) end as vwap_est from t", "price_history")
 def price_table(spark, d):
     return prices.price_table(feeds.daily_bars(_chart_json(spark, d))[0])
 
 
-@register("announcement_feed", f"select cast(doc_id as varchar) as news_id, timestamp '2024-01-01 09:30:00' as publish_time, lpad(cast(doc_id % 50 as varchar), 5, '0') as code, lang as stock_name, source as category, source || ' ' || lang as title, '1KB' as file_info, 'pdf' as file_type, '{SITE}/f/' || doc_id || '.pdf' as url from documents")
-def announcement_feed(spark, d):
+def _news_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """k and json: search payloads of 50 codes. By k: a list, a list as text, null, nothing, an error, no JSON, a broken text, an object."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     item = F.struct(
         F.col("doc_id").cast("string").alias("NEWS_ID"), F.lit("01/01/2024 09:30").alias("DATE_TIME"), (F.col("doc_id") % 50).cast("string").alias("STOCK_CODE"), text("lang").alias("STOCK_NAME"), F.concat(F.lit("<b>"), text("source"), F.lit("</b>")).alias("LONG_TEXT"),
         F.concat(text("source"), F.lit("<br/>"), text("lang")).alias("TITLE"), F.lit("1KB").alias("FILE_INFO"), F.lit("pdf").alias("FILE_TYPE"), F.concat(F.lit("/f/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("FILE_LINK"),
     )
-    payloads = load(spark, d, "documents").groupBy((F.col("doc_id") % 50).alias("k")).agg(F.collect_list(item).alias("result"))
-    return feeds.announcements(payloads.select(F.to_json(F.struct(F.to_json("result").alias("result"))).alias("json")), SITE)
+    lists = load(spark, d, "documents").groupBy((F.col("doc_id") % 50).alias("k")).agg(F.to_json(F.collect_list(item)).alias("list"))
+    wrapped = lambda x: F.concat(F.lit('{"result":'), x, F.lit("}"))
+    as_text = F.to_json(F.struct(F.col("list").alias("result")))
+    forms = [wrapped(F.col("list")), as_text, wrapped(F.lit("null")), F.lit('{"count":0}'), F.lit('{"error":{"message":"busy"}}'), F.concat(F.lit("busy "), "list"), wrapped(F.lit('"[{"')), wrapped(F.lit('{"a":1}'))]
+    json = F.element_at(F.array(*forms), (F.when(F.col("k") < 24, F.col("k") % 2).otherwise(F.col("k") % 8) + 1).cast("int"))
+    return lists.select("k", json.alias("json"))
+
+
+NEWS_FORM = "case when doc_id % 50 < 24 then doc_id % 50 % 2 else doc_id % 50 % 8 end"
+
+
+@register("announcement_feed", f"select cast(doc_id as varchar) as news_id, timestamp '2024-01-01 09:30:00' as publish_time, lpad(cast(doc_id % 50 as varchar), 5, '0') as code, lang as stock_name, source as category, source || ' ' || lang as title, '1KB' as file_info, 'pdf' as file_type, '{SITE}/f/' || doc_id || '.pdf' as url from documents where {NEWS_FORM} < 2")
+def announcement_feed(spark, d):
+    return feeds.announcements(_news_payloads(spark, d).select("json"), SITE)
+
+
+@register("announcement_errors", f"select distinct doc_id % 50 as k, case {NEWS_FORM} when 4 then 'busy' when 5 then 'malformed payload' when 6 then 'malformed result' else 'result is no list' end as error from documents where {NEWS_FORM} > 3")
+def announcement_errors(spark, d):
+    return feeds.announcement_errors(_news_payloads(spark, d)).select("k", "error")
 
 
 @register("configured_categories", "select participant_id, case when participant_id = 'B00001' then 'special' when contains(upper(participant_name), 'SUPPLIER#00000001') then 'ones' when contains(upper(participant_name), 'SUPPLIER') then 'any' when participant_id like 'C%' then 'bank' else 'unknown' end as category from (select distinct participant_id, participant_name from participants)", "participants")
@@ -605,10 +632,17 @@ def announcement_report(spark, d):
 QUALITY_SQL = "10 * (length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g'))) + length(text) - length(regexp_replace(text, '[A-Za-z0-9]', '', 'g')) - 20 * (length(text) - length(regexp_replace(text, '\ufffd', '', 'g')))"
 
 
-@register("best_texts", f"select source, max({QUALITY_SQL}) as score from documents where text is not null and trim(text) <> '' group by 1")
+TIDY = "trim(regexp_replace(regexp_replace(text, '[\\x00\ufffd]', '', 'g'), '(?m)[ \\t\\r]+$', '', 'g'), ' ')"
+
+
+@register(
+    "best_texts",
+    f"""with t as (select source, doc_id, {TIDY} as text from documents), s as (select source, doc_id, {QUALITY_SQL} as score, length(regexp_replace(text, '\\s', '', 'g')) as visible from t where text <> '')
+select source, doc_id, score from s qualify row_number() over (partition by source order by score desc, visible desc, doc_id) = 1""",
+)
 def best_texts(spark, d):
     best = announcements.best_texts(load(spark, d, "documents").select("source", "doc_id", "text"), ["source"], "doc_id")
-    return best.select("source", scalars.text_quality(F.col("text"))["score"].alias("score"))
+    return best.select("source", "doc_id", scalars.text_quality(F.col("text"))["score"].alias("score"))
 
 
 @register(
@@ -637,3 +671,61 @@ def full_export(spark, d):
     table = reports.full_export(*(view(spark, d, v) for v in ("snapshots", "share_changes", "buybacks", "fetch_log", "price_history")), "views", view(spark, d, "stock_meta"), {"Events": pages.corporate_events(_event_pages(spark, d), ["code"], SITE)})
     # warnings have a query of their own
     return table.filter("record_type <> 'warning'").groupBy("section", "record_type", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "full_export_rows",
+    CHANGES
+    + f""", {RANKED.replace('with ', '', 1)}, {KINDS}, last as (select code, max(date) as date from pairs group by 1), c as (
+  select c.*, row_number() over (partition by c.code order by abs(change_shares) desc, c.participant_id) as n from changes c join last l on c.code = l.code and c.date = l.date)
+select 'Holdings' as section, 'data' as record_type, r.code, 'views' as source, cast(r.date as varchar) as data_as_of, 'success' as status, r.participant_id, cast(r.rank as varchar) as rank, cast(shares as varchar) as shares, cast(null as varchar) as change_shares, category
+from ranked r join last l on r.code = l.code and r.date = l.date left join kinds k on r.participant_id = k.participant_id where rank <= 15
+union all select 'Changes', 'data', code, 'views', cast(date as varchar), 'success', c.participant_id, null, null, cast(change_shares as varchar), category from c left join kinds k on c.participant_id = k.participant_id where n <= 20
+union all select 'Metadata', 'metadata', code, 'views', null, 'success', null, null, null, null, null from stock_meta""",
+    "snapshots",
+    "stock_meta",
+)
+def full_export_rows(spark, d):
+    table = reports.full_export(*(view(spark, d, v) for v in ("snapshots", "share_changes", "buybacks", "fetch_log", "price_history")), "views", view(spark, d, "stock_meta"))
+    return table.filter("section in ('Holdings', 'Changes', 'Metadata')").select("section", "record_type", "code", "source", "data_as_of", "status", "participant_id", "rank", "shares", "change_shares", "category")
+
+
+@register("daily_ingest_tables", "with w as (select distinct lpad(substr(code, 3), 5, '0') as code from watchlist) select 'prices' as kept, p.code, cast(date as varchar) as date, price_source as item, volume as amount from price_history p join w on p.code = w.code union all select 'snapshots', s.code, cast(date as varchar), participant_id, shares from snapshots s join w on s.code = w.code union all select 'stock_meta', m.code, cast(issued_shares_as_of as varchar), name, issued_shares from stock_meta m join w on m.code = w.code", "watchlist", "price_history", "snapshots", "stock_meta")
+def daily_ingest_tables(spark, d):
+    wanted = feeds.watchlist_rows(view(spark, d, "watchlist").select("seq", "code", "name", "group_text"))
+    landed = view(spark, d, "price_history").select("code", "date", "price_source", "close", "volume", F.lit(1).alias("fetched_at"))
+    holdings = view(spark, d, "snapshots").select("code", "date", "participant_id", "shares", F.lit(1).alias("fetched_at"))
+    path = scratch(spark, "ingest")
+    for _ in range(2):  # the second run changes nothing
+        ingest.daily_ingest(wanted, landed, path, holdings, view(spark, d, "stock_meta").select("code", "name", "issued_shares", "issued_shares_as_of"))
+    parts = [("prices", "date", "price_source", "volume"), ("snapshots", "date", "participant_id", "shares"), ("stock_meta", "issued_shares_as_of", "name", "issued_shares")]
+    frames = [spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("kept"), F.col("code").cast("string").alias("code"), F.col(day).cast("string").alias("date"), F.col(item).alias("item"), F.col(amount).alias("amount")) for name, day, item, amount in parts]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+METADATA = (
+    RANKED
+    + ", "
+    + """pairs as (select code, date, lag(date) over (partition by code order by date) as previous_date from (select distinct code, date from snapshots)),
+last as (select code, max(date) as date, arg_max(previous_date, date) as previous_date, count(*) as depth from pairs group by 1),
+sums as (select r.code, sum(shares) as total, sum(coalesce(bps, 0)) as total_bps, max(cumulative_bps) filter (rank = 5) as five, max(cumulative_bps) filter (rank = 10) as ten, max(participant_name || ' (' || participant_id || ')') filter (rank = 1) as largest from ranked r join last l on r.code = l.code and r.date = l.date group by 1),
+priced as (select * from price_history qualify row_number() over (partition by code order by date desc, price_source) = 1)"""
+)
+
+
+@register(
+    "report_metadata",
+    METADATA
+    + """ select 'metadata' as section, l.code, m.name, cast(l.date as varchar) as holdings_data_date, case when l.previous_date is not null then l.previous_date || ' to ' || l.date end as changes_date_range, cast(l.depth as varchar) as history_depth_days,
+  cast(cast(h.total as bigint) as varchar) as total_in_registry, cast(cast(h.total_bps as bigint) as varchar) as total_bps, cast(cast(m.issued_shares - h.total as bigint) as varchar) as outside_registry, cast(m.issued_shares as varchar) as issued_securities, cast(five as varchar) as top5_cumulative_bps, cast(ten as varchar) as top10_cumulative_bps, largest as largest_participant,
+  cast(p.date as varchar) as price_history_latest_date, p.price_source, cast(p.volume as varchar) as latest_price_volume
+from last l left join sums h on l.code = h.code left join stock_meta m on l.code = m.code left join priced p on l.code = p.code""",
+    "snapshots",
+    "stock_meta",
+    "price_history",
+)
+def report_metadata(spark, d):
+    facts = reports.report_metadata(view(spark, d, "snapshots"), view(spark, d, "price_history"), view(spark, d, "stock_meta"), "views")
+    records = export.json_records({"holdings": view(spark, d, "snapshots").select("code", "shares")}, facts).filter("section = 'metadata'")
+    fields = ["name", "holdings_data_date", "changes_date_range", "history_depth_days", "total_in_registry", "total_bps", "outside_registry", "issued_securities", "top5_cumulative_bps", "top10_cumulative_bps", "largest_participant", "price_history_latest_date", "price_source", "latest_price_volume"]
+    return records.select("section", "code", *(F.get_json_object("record", f"$.{x}").alias(x) for x in fields))

@@ -43,8 +43,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def json_records(sections: dict[str, DataFrame]) -> DataFrame:
-    """section, code and the record as JSON text (NaN and infinities become null) of every row."""
+def json_records(sections: dict[str, DataFrame], metadata: DataFrame | None = None) -> DataFrame:
+    """section, code and the record as JSON text (NaN and infinities become null) of every row; metadata, a row per code, as a section of that name."""
+    sections = ({"metadata": metadata} if metadata is not None else {}) | sections
 
     def safe(df: DataFrame) -> list[Column]:
         return [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes]
@@ -53,6 +54,6 @@ def json_records(sections: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def write_json(sections: dict[str, DataFrame], path: str) -> None:
+def write_json(sections: dict[str, DataFrame], path: str, metadata: DataFrame | None = None) -> None:
     """One folder of JSON records per section."""
-    json_records(sections).select("section", "record").write.mode("overwrite").partitionBy("section").text(path)
+    json_records(sections, metadata).select("section", "record").write.mode("overwrite").partitionBy("section").text(path)

@@ -79,3 +79,35 @@ def test_exports(spark, tmp_path):
     export.write_json({"a": a, "b": b}, str(tmp_path / "json"))
     records = {r.section: r.value for r in spark.read.text(str(tmp_path / "json")).collect()}
     assert records["b"] == '{"code":"1"}' and '"n":5' in records["a"]
+
+
+def test_derived_tables_follow_late_and_corrected_snapshots(spark, tmp_path):
+    """After each wave the derived tables are what a full run over the stored snapshots gives, and untouched dates aren't written."""
+    import random
+
+    from shareflow.operators import snapshots
+
+    schema = "code string, date date, participant_id string, participant_name string, shares long, bps long, fetched_at int"
+    rng = random.Random(4)
+    made = [(c, date(2024, 1, 1 + d), f"B{p:05d}", f"n{p}", rng.randrange(1, 99), rng.choice([None, 5, 9])) for c in "ab" for d in range(8) for p in range(5) if rng.random() < 0.7]
+    waves = [[r for r in made if r[1].day in (2, 5, 8)], [r for r in made if r[1].day in (1, 3, 6) and r[0] == "a"], [(*r[:4], r[4] + 7, r[5]) for r in made if r[1].day == 5], [r for r in made if r[1].day in (4, 7)] * 2]
+    target, derived = str(tmp_path / "snapshots"), str(tmp_path / "derived")
+    same = lambda a, b: sorted(map(str, map(tuple, a.select(b.columns).collect()))) == sorted(map(str, map(tuple, b.collect())))
+    stamps = {}
+    for k, wave in enumerate(waves):
+        spark.createDataFrame([(*r, k) for r in wave], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        streaming.maintain(streaming.landed(spark, f"{tmp_path}/in/*", schema, 1), target, derived, str(tmp_path / "cp")).awaitTermination(120)
+        stored = spark.read.parquet(target)
+        assert same(spark.read.parquet(f"{derived}/changes"), snapshots.consecutive_changes(stored))
+        assert same(spark.read.parquet(f"{derived}/concentration"), snapshots.concentration_series(stored))
+        files = {p.parent.name: p.name for p in (tmp_path / "derived" / "concentration").glob("date=*/*.parquet")}
+        if k:
+            touched = {f"date={r[1]}" for r in wave}
+            assert all(files[d] == stamps[d] for d in stamps if d not in touched) and all(files[d] != stamps.get(d) for d in touched)
+        stamps = files
+
+
+def test_metadata_goes_with_the_records(spark):
+    rows = spark.createDataFrame([("1", 5)], "code string, shares long")
+    got = {(r.section, r.code, r.record) for r in export.json_records({"holdings": rows}, spark.createDataFrame([("1", "One", float("nan"))], "code string, name string, price double")).collect()}
+    assert got == {("holdings", "1", '{"code":"1","shares":5}'), ("metadata", "1", '{"code":"1","name":"One"}')}

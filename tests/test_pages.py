@@ -124,6 +124,29 @@ def test_announcement_feed(spark):
     assert len(got) == 2 and {(r.code, r.category, r.title, r.url, str(r.publish_time)) for r in got} == {("00700", "Short", "A B", "https://s/x.pdf", "2024-01-05 08:30:00")}
 
 
+def test_payloads_of_any_form(spark):
+    item = '{"NEWS_ID":7,"TITLE":"A"}'
+    forms = {
+        "list": f'{{"result":[{item}]}}', "text": '{"result":"[{\\"NEWS_ID\\":\\"7\\"}]"}', "null": '{"result":null}', "null text": '{"result":"null"}', "absent": "{}", "empty": '{"result":[]}', "blank": "", "nothing": None,
+        "error": '{"error":{"message":"busy"}}', "error text": '{"error":"closed","result":null}', "malformed": "<html>", "broken": '{"result":"[{"}', "object": '{"result":{"a":1}}', "number": '{"result":3}',
+    }
+    df = spark.createDataFrame(list(forms.items()), "form string, json string")
+    assert [(r.news_id, r.title) for r in feeds.announcements(df, "https://s").orderBy("title").collect()] == [("7", ""), ("7", "A")]
+    errors = {r.form: r.error for r in feeds.announcement_errors(df).collect()}
+    assert errors == {"error": "busy", "error text": "closed", "malformed": "malformed payload", "broken": "malformed result", "object": "result is no list", "number": "result is no list"}
+
+
+def test_chart_payloads_of_any_form(spark):
+    chart = lambda quote: f'{{"chart":{{"result":[{{"timestamp":[1704153600,1704240000],"indicators":{{"quote":[{quote}]}}}}]}}}}'
+    forms = {"short": chart('{"close":[1.5],"volume":[3,4]}'), "bad value": chart('{"close":["x",2],"volume":[null,1.0]}'), "no quote": chart("{}"), "error": '{"chart":{"error":{"code":"E"}}}', "list": "[1]", "malformed": "{", "none": '{"chart":{"result":[]}}', "null": '{"chart":null}'}
+    bars, errors = feeds.daily_bars(spark.createDataFrame(list(forms.items()), "code string, json string"))
+    got = {}
+    for r in bars.orderBy("date").collect():
+        got.setdefault(r.code, []).append((r.close, r.volume))
+    assert got == {"short": [(1.5, 3), (None, 4)], "bad value": [(None, None), (2.0, 1)], "no quote": [(None, None), (None, None)]}
+    assert {r.code: r.error for r in errors.collect()} == {"error": "E", "list": "no data", "malformed": "malformed payload", "none": "no data", "null": "no data"}
+
+
 def test_issue_and_stock_lookups(spark):
     issues = spark.createDataFrame([("00001", "1234")], "code string, issue_id string")
     assert feeds.with_issue_id(spark.createDataFrame([("00001",), ("00002",)], "code string"), issues).filter("issue_id is null").count() == 1

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,40 +184,52 @@ def _needed(alternative: str) -> str:
     return max(re.split(r"[\0^$.|?*+()\[\]{}]", bare), key=len)
 
 
+@lru_cache(maxsize=8)
+def _automaton(needles: tuple[str, ...]) -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton()
+    for needle in needles:
+        made.add_word(needle, needle)
+    made.make_automaton()
+    return made
+
+
+def literals_in(text: Column, needles: list[str]) -> Column:
+    """The distinct needles that a text holds, overlapping ones too, in no order: one pass, whatever their number (Aho-Corasick)."""
+    wanted = tuple(sorted(set(needles)))
+
+    def scan(texts: pd.Series) -> pd.Series:
+        found = _automaton(wanted).iter
+        return texts.map(lambda t: list({hit for _, hit in found(t)}) if t else [])
+
+    return F.pandas_udf(scan, "array<string>")(text)
+
+
 def event_tags(category: Column, title: Column, rules=EVENT_TAGS) -> Column:
     """The sorted distinct tags of an announcement.
 
-    The literals of all rules stand in one alternation that goes through the text once, at each place with the longest
-    first; a hit stands for every literal that it begins with, so none is missed where literals overlap. Alternatives that
-    aren't literals are looked at only in texts that hold their longest literal part.
+    The literals of all rules are looked for in one pass over the text. Alternatives that aren't literals are looked at
+    only in texts that hold their longest literal part.
     """
-    plain: dict[str, set[str]] = {}
+    by_tag: dict[str, list[str]] = {}
     special: list[tuple[str, str, str]] = []
     for tag, pattern in rules:
         for part in _alternatives(pattern):
             if _SIGNS.search(part):
                 special.append((tag, part, _needed(part)))
             else:
-                plain.setdefault(part, set()).add(tag)
-    needles = sorted({*plain, *(need for _, _, need in special)}, key=lambda x: (-len(x), x))
+                by_tag.setdefault(tag, []).append(part)
+    needles = [*(x for literals in by_tag.values() for x in literals), *(need for _, _, need in special)]
     if not all(needles):
         raise ValueError("an alternative without a literal")
-    scan = F.lit(f"(?=({'|'.join(map(re.escape, needles))}))")
-    under = lambda need: F.array(*(F.lit(x) for x in needles if x.startswith(need)))
-    by_tag: dict[str, list[str]] = {}
-    for literal, tags in plain.items():
-        for tag in tags:
-            by_tag.setdefault(tag, []).append(literal)
-    text = F.lower(F.concat_ws(" ", F.coalesce(category, F.lit("")), F.coalesce(title, F.lit(""))))
 
-    def tags_of(t: Column, hits: Column) -> Column:
-        found = [F.when(F.arrays_overlap(hits, F.array(*(F.lit(x) for x in needles if x.startswith(tuple(literals))))), tag) for tag, literals in by_tag.items()]
-        found += [F.when(F.arrays_overlap(hits, under(need)) & t.rlike(f"(?U){part}"), tag) for tag, part, need in special]
+    def tags_of(text: Column, hits: Column) -> Column:
+        found = [F.when(F.arrays_overlap(hits, F.array(*map(F.lit, literals))), tag) for tag, literals in by_tag.items()]
+        found += [F.when(F.array_contains(hits, need) & text.rlike(f"(?U){part}"), tag) for tag, part, need in special]
         return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
 
-    # text and hits are variables of lambdas, so that each is made once and not for each rule
-    scanned = F.transform(F.array(text), lambda t: F.struct(t.alias("t"), F.array_distinct(F.regexp_extract_all(t, scan, F.lit(1))).alias("hits")))
-    return F.transform(scanned, lambda s: tags_of(s["t"], s["hits"]))[0]
+    text = F.lower(F.concat_ws(" ", F.coalesce(category, F.lit("")), F.coalesce(title, F.lit(""))))
+    # text and hits are variables of a lambda, so that each is made once and not for each rule
+    return F.transform(F.array(F.struct(text.alias("text"), literals_in(text, needles).alias("hits"))), lambda x: tags_of(x["text"], x["hits"]))[0]
 
 
 def error_code(error_type: Column, message: Column, rules=ERROR_RULES) -> Column:

@@ -1,14 +1,16 @@
 """Exact top-k by inner product, block at a time with upper bounds.
 
-Vectors are quantised to integers. Candidates are numbered in the order of the table and cut into shards of adjacent
-rows, shards into blocks with a forward index (the block's vectors) and the greatest and least value of every dimension.
-For one query the bound of a block or shard is the sum over dimensions of the larger of weight x greatest and weight x
-least.
-
-1. A small table of every shard's extremes gives the bound of every query and shard.
-2. Each query is answered in the shard of its greatest bound: its kth score there is a floor for the whole search.
-3. Only shards whose bound reaches the floor are searched, each with its blocks in descending order of bound until the
-   next bound falls below the kth score so far. Best lists are merged per query.
+Vectors are quantised to integers. Candidates are put into clusters around CENTRES centres, fitted on a bounded sample
+(SAMPLE_ROWS rows, those of the least hash); every candidate is indexed, in the cluster of its nearest centre, and what the
+sample misses costs time, never a result. Clusters are cut into shards, shards into blocks with a forward index (the
+block's vectors, in order of the shard's widest dimension) and the greatest and least value of every dimension. For one
+query the bound of a block or shard is the sum over dimensions of the larger of weight x greatest and weight x least.
+
+1. A small table of every shard's extremes gives each query the shard of its greatest bound; only that one is written.
+2. Each query is answered there: its kth score is a floor for the whole search.
+3. The bounds are worked out again, and only shards whose bound reaches the floor are written and searched, each with its
+   blocks in descending order of bound until the next bound falls below the kth score so far. Best lists are merged per
+   query.
 
 A task holds one shard and at most about SLAB_QUERIES queries, or SLAB_QUERIES queries and SLAB_SHARDS extremes.
 
@@ -24,12 +26,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shareflow.llm.common import written
 
 SHARD_ROWS = 8192
+#: Centres at most, and rows of the sample that they are fitted on; a centre has CENTRE_ROWS of them at least on average.
+CENTRES, SAMPLE_ROWS, CENTRE_ROWS = 256, 16384, 64
 SLAB_QUERIES = 2048
 SLAB_SHARDS = 4096
 BLOCK_ROWS = 256
@@ -86,13 +91,69 @@ def _search(query_id: int, q: np.ndarray, bounds: np.ndarray, blocks: list[tuple
     return ids, scores
 
 
+def centres(vectors: DataFrame) -> np.ndarray:
+    """Centres of the vectors of the most frequent length of a bounded sample, a row each; none without vectors."""
+    order = F.xxhash64("vec_id", "v")
+    sample = vectors.select("v", order.alias("at"), "vec_id").orderBy("at", "vec_id").limit(SAMPLE_ROWS).select("v").toArrow()["v"]
+    lengths = np.asarray(sample.combine_chunks().value_lengths()) if len(sample) else np.empty(0, int)
+    if not len(lengths):
+        return np.empty((0, 0))
+    dims = np.bincount(lengths).argmax()
+    x = _matrix(sample.filter(pa.array(lengths == dims))).astype(np.float64)
+    # each centre begins as the row farthest from those before it, then moves to the mean of its rows a few times
+    chosen, gap = [0], ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < min(CENTRES, max(1, len(x) // CENTRE_ROWS)) and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(1))
+    found = x[chosen]
+    for _ in range(4):
+        own = _nearest(x, found)
+        n = np.bincount(own, minlength=len(found))
+        sums = np.zeros_like(found)
+        np.add.at(sums, own, x)
+        found = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], found)
+    return found
+
+
+def _nearest(x: np.ndarray, found: np.ndarray) -> np.ndarray:
+    return ((found**2).sum(1) - 2 * x @ found.T).argmin(1)
+
+
+def placed_by_cluster(candidates: DataFrame) -> DataFrame:
+    """vec_id, v, dims and shard of all candidates, from a written table: a shard holds rows of one cluster and about SHARD_ROWS at most.
+
+    Vectors of another length than the centres are a cluster of their own, the last.
+    """
+    found = centres(candidates)
+
+    def assign(batches):
+        rng = np.random.default_rng(TaskContext.get().partitionId())
+        for batch in batches:
+            lengths = np.asarray(batch.column("dims"))
+            cluster = np.full(len(lengths), len(found), np.int32)
+            fits = np.flatnonzero(lengths == found.shape[1]) if len(found) else []
+            if len(fits):
+                cluster[fits] = _nearest(_matrix(pa.chunked_array([batch.column("v").take(pa.array(fits))])).astype(np.float64), found)
+            # a lot that is written with the row, so that repeated rows are spread too
+            lot = pa.array(rng.integers(0, 2**62, len(lengths)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster), lot], [*batch.schema.names, "cluster", "lot"])
+
+    rows = candidates.select("vec_id", "v", F.size("v").alias("dims")).mapInArrow(assign, "vec_id long, v array<long>, dims int, cluster int, lot long")
+    rows = written(rows, "topk-clusters")
+    sizes = dict(rows.groupBy("cluster").count().collect())  # CENTRES + 1 rows at most
+    parts = F.array(*(F.lit(-(-sizes.get(k, 1) // SHARD_ROWS)) for k in range(len(found) + 1)))
+    shard = F.col("cluster").cast("long") * 2**32 + F.col("lot") % F.get(parts, F.col("cluster"))
+    return rows.select("vec_id", "v", "dims", shard.alias("shard"))
+
+
 def _shard_search(k: int):
     def search(docs: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if docs.num_rows and queries.num_rows:
             ids, v = np.asarray(docs["vec_id"].combine_chunks()), _matrix(docs["v"])
             qid, q, least = np.asarray(queries["query_id"].combine_chunks()), _matrix(queries["v"]), queries["least"].to_pylist()
-            order = np.argsort(ids, kind="stable")
+            widest = int((v.max(0).astype(np.float64) - v.min(0)).argmax())
+            order = np.lexsort((ids, v[:, widest]))
             v, q = _exact(v[order], q)
             ids = ids[order]
             cuts = range(0, len(ids), BLOCK_ROWS)
@@ -115,30 +176,62 @@ def _extremes(rows: pa.Table) -> pa.Table:
     return pa.table({"shard": rows["shard"][:1], "dims": rows["dims"][:1], "high": pa.array([v.max(0).tolist()], kind), "low": pa.array([v.min(0).tolist()], kind)})
 
 
-def _reach(shards: pa.Table, queries: pa.Table) -> pa.Table:
-    """The bound of each of the queries and shards; bounds beyond 64 bits count as the greatest number there is."""
-    if not shards.num_rows or not queries.num_rows:
-        return pa.table({"query_id": pa.array([], pa.int64()), "query_row": pa.array([], pa.string()), "shard": pa.array([], pa.int64()), "bound": pa.array([], pa.int64())})
-    high, low = _matrix(shards["high"]), _matrix(shards["low"])
-    both, q = _exact(np.concatenate([high, low]), _matrix(queries["v"]))
-    bounds = np.clip(_bounds(q, both[: len(high)], both[len(high) :]), -(2**63), 2**63 - 1).astype(np.int64)
-    at_query, at_shard = (pa.array(x.reshape(-1)) for x in np.indices(bounds.shape))
-    return pa.table({"query_id": queries["query_id"].take(at_query), "query_row": queries["query_row"].take(at_query), "shard": shards["shard"].take(at_shard), "bound": bounds.reshape(-1)})
+_REACH = "query_id long, query_row string, shard long, bound long, least long"
+
+
+def _bound_table(pick):
+    """A cogrouped function over shards' extremes and queries; pick chooses (query, shard) places from the matrix of bounds.
+
+    Bounds beyond 64 bits count as the greatest number there is.
+    """
+
+    def one(shards: pa.Table, queries: pa.Table) -> pa.Table:
+        at_query = at_shard = bounds = np.empty(0, np.int64)
+        if shards.num_rows and queries.num_rows:
+            high, low = _matrix(shards["high"]), _matrix(shards["low"])
+            both, q = _exact(np.concatenate([high, low]), _matrix(queries["v"]))
+            every = np.clip(_bounds(q, both[: len(high)], both[len(high) :]), -(2**63), 2**63 - 1).astype(np.int64)
+            at_query, at_shard = pick(every, shards, queries)
+            bounds = every[at_query, at_shard]
+        row = pa.array(at_query)
+        return pa.table({"query_id": queries["query_id"].take(row), "query_row": queries["query_row"].take(row), "shard": shards["shard"].take(pa.array(at_shard)), "bound": bounds, "least": queries["least"].take(row)})
+
+    return one
+
+
+def _greatest(bounds: np.ndarray, shards: pa.Table, queries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's shard of the greatest bound, of equals that of the greatest number."""
+    ids = np.asarray(shards["shard"].combine_chunks())
+    order = np.argsort(-ids, kind="stable")
+    return np.arange(len(bounds)), order[bounds[:, order].argmax(1)]
+
+
+def _reaching(bounds: np.ndarray, shards: pa.Table, queries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs whose bound reaches the query's floor, without the shard that the query has been asked in."""
+    floor = np.array([-(2**63) if x is None else x for x in queries["least"].to_pylist()], np.int64)
+    first = np.asarray(queries["first"].combine_chunks())
+    return np.nonzero((bounds >= floor[:, None]) & (np.asarray(shards["shard"].combine_chunks()) != first[:, None]))
+
+
+def extremes(placed: DataFrame) -> DataFrame:
+    """shard, dims, high and low of every shard, written."""
+    return written(placed.groupBy("shard", "dims").applyInArrow(_extremes, "shard long, dims int, high array<long>, low array<long>"), "topk-extremes")
+
+
+def _slabs(rows: int, most: int) -> int:
+    return max(1, -(-rows // most))
 
 
-def bounds(asked: DataFrame, placed: DataFrame) -> DataFrame:
-    """query_id, query_row, shard, bound: no candidate of the shard scores more than bound."""
-    extremes = written(placed.groupBy("shard", "dims").applyInArrow(_extremes, "shard long, dims int, high array<long>, low array<long>"), "topk-extremes")
-    parts, slabs = (max(1, -(-df.count() // n)) for df, n in ((extremes, SLAB_SHARDS), (asked, SLAB_QUERIES)))
-    shards = extremes.withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(parts))).withColumn("slab", F.expr(f"explode(sequence(0L, {slabs - 1}L))"))
+def reach(edges: DataFrame, parts: int, asked: DataFrame, slabs: int, pick) -> DataFrame:
+    """query_id, query_row, shard, bound, least of what pick chooses; asked has query_id, query_row, v, dims, least, first."""
+    shards = edges.withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(parts))).withColumn("slab", F.expr(f"explode(sequence(0L, {slabs - 1}L))"))
     queries = asked.withColumn("slab", F.pmod(F.xxhash64("query_row"), F.lit(slabs))).withColumn("part", F.expr(f"explode(sequence(0L, {parts - 1}L))"))
     keys = ["part", "slab", "dims"]
-    return written(shards.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_reach, "query_id long, query_row string, shard long, bound long"), "topk-bounds")
+    return shards.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_bound_table(pick), _REACH)
 
 
-def _searched(wanted: DataFrame, asked: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+def _searched(wanted: DataFrame, asked: DataFrame, slabs: int, placed: DataFrame, k: int) -> DataFrame:
     """The best candidates of the wanted (query_id, query_row, shard, least)."""
-    slabs = max(1, -(-asked.count() // SLAB_QUERIES))
     queries = wanted.join(asked, ["query_id", "query_row"]).withColumn("slab", F.pmod(F.xxhash64("query_row"), F.lit(slabs)))
     keys = ["shard", "slab", "dims"]
     slots = queries.select(*(F.col(c).alias(f"{c}_") for c in keys)).distinct()
@@ -151,17 +244,20 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
 
     Both have vec_id and v (array of long), as quantised() gives them.
     """
-    placed = candidates.select("vec_id", "v", F.size("v").alias("dims"), F.expr(f"monotonically_increasing_id() div {SHARD_ROWS}").alias("shard"))
-    placed = written(placed, "topk-candidates")
+    placed = placed_by_cluster(candidates)
     row = F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)
     asked = written(queries.distinct().select(F.col("vec_id").alias("query_id"), "v", row.alias("query_row"), F.size("v").alias("dims")), "topk-queries")
-    reach = bounds(asked, placed)
-    query = ["query_id", "query_row"]
-    best = reach.groupBy(*query).agg(F.max_by("shard", F.struct("bound", "shard")).alias("shard"))
-    first = written(_searched(best.withColumn("least", F.lit(None).cast("long")), asked, placed, k), "topk-first")
+    edges, query = extremes(placed), ["query_id", "query_row"]
+    parts, slabs = _slabs(edges.count(), SLAB_SHARDS), _slabs(asked.count(), SLAB_QUERIES)
+    nothing = F.lit(None).cast("long")
+    # of every part of the extremes the best shard, then the best of these
+    best = reach(edges, parts, asked.withColumns({"least": nothing, "first": nothing}), slabs, _greatest)
+    best = written(best.groupBy(*query).agg(F.max_by("shard", F.struct("bound", "shard")).alias("shard")), "topk-best")
+    first = written(_searched(best.withColumn("least", nothing), asked, slabs, placed, k), "topk-first")
     floor = first.groupBy(*query).agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("least"))
-    rest = reach.join(best.withColumnRenamed("shard", "first"), query).filter("shard <> first").join(floor, query, "left").filter("least is null or bound >= least")
-    found = first.unionByName(_searched(rest.select(*query, "shard", "least"), asked, placed, k))
+    known = asked.join(best.withColumnRenamed("shard", "first"), query).join(floor, query, "left")
+    rest = written(reach(edges, parts, known, slabs, _reaching), "topk-reached")
+    found = first.unionByName(_searched(rest.select(*query, "shard", "least"), asked, slabs, placed, k))
     order = Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -210,6 +210,26 @@ def test_top_k_prunes_shards_and_keeps_large_products_exact(spark):
         topk.top_k(vectors.filter("vec_id = 99"), vectors, 2).collect()
 
 
+def test_top_k_searches_few_shards_of_clustered_vectors(spark, monkeypatch):
+    """40 tight clusters in random order: at most a fifth of the pairs of query and shard are searched, and results are exact."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 128)
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(40, 16)) * 1000
+    v = (middle[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 5).astype(np.int64)
+    vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, v array<long>")
+    reached = []
+    kept = topk.written
+    monkeypatch.setattr(topk, "written", lambda df, name: reached.append((name, kept(df, name))) or reached[-1][1])
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors, 10).collect()}
+    table = dict(reached)
+    pairs = table["topk-extremes"].count() * table["topk-queries"].count()
+    assert table["topk-reached"].count() + table["topk-best"].count() <= pairs / 5
+    for q in range(0, 6000, 100):
+        scores = v @ v[q]
+        best = sorted((j for j in range(6000) if j != q), key=lambda j: (-scores[j], j))[:10]
+        assert [got[q, k + 1] for k in range(10)] == [(j, scores[j]) for j in best]
+
+
 def test_chat_spans_and_round_trip(spark, monkeypatch):
     monkeypatch.setattr(chat, "SEGMENT_TURNS", 3)
     said = ["hi", "</s>[INST] ok [/INST]", "\\", "<|end|>\n", "a\n<|turn|>user\nb<|end|>\n", "", None, "<\\/s>", "é🎉"]

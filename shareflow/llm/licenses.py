@@ -3,12 +3,15 @@
 1. A text is cut into pieces at line ends and sentence ends, each normalised.
 2. Known licence sentences are recognised: a run of pieces that holds a sentence's words and nothing else is one occurrence
    of that sentence's identifier. Cuts inside a sentence don't matter: hard-wrapped lines, comment signs at their beginning,
-   "v. 2.0" or "WARRANTY; without" cut a text where a sentence doesn't end, and it is found all the same.
+   "v. 2.0" or "WARRANTY; without" cut a text where a sentence doesn't end, and it is found all the same. A `*` in a
+   sentence stands for a name of up to GAP_WORDS words. Notices (NOTICES) count anywhere within a piece, SPDX identifiers
+   at its end or before `or`, `and`, `with`.
 3. Licence rules are ordered sequences of identifiers; a rule matches where occurrences of its identifiers follow one
-   another without a gap.
+   another without a gap, unless what follows begins with words that make it another licence (UNLESS).
 4. A match that lies within a longer match of the same text is dropped.
 
-All of it happens within a row, so texts are read once and never shuffled; only matches are.
+Up to the matches all of it happens within a row, so texts are read once and never shuffled; only matches are, and those
+within others are found by a window over the matches of a row.
 
 - null or empty text has no sentences; pieces without a letter or digit don't count and leave no gap;
 - a piece that is a list number ("1.") leaves no gap either, but counts in first_sentence and n_sentences;
@@ -19,9 +22,10 @@ All of it happens within a row, so texts are read once and never shuffled; only
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shareflow.llm.common import text_or_empty
@@ -42,12 +46,15 @@ SENTENCES = {
     "gpl3-short": "this work is licensed under the gnu general public license version 3",
     "gpl-1": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-1": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl2only-1": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl2only-2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2",
+    "gpl2only-3": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license",
     "gpl-2": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-3": "see the gnu general public license for more details",
     "bsd-1": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-2": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-3": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-4": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-4": "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "mpl-1": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "mpl-2": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
     "cc-by-nc": "licensed under cc by nc 4 0",
@@ -58,7 +65,7 @@ SENTENCES = {
     "unlicense-1": "this is free and unencumbered software released into the public domain",
     "unlicense-2": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "mit-4": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
-    "bsd-5": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-5": "this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "lgpl21-1": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
     "lgpl21-2": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "lgpl21-3": "see the gnu lesser general public license for more details",
@@ -122,13 +129,54 @@ RULES = [
 ]
 
 
+# Licences that are found by an SPDX identifier, written as SPDX writes them.
+SPDX = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+]
+
+
+def normal(text: str) -> str:
+    return " ".join(re.findall(r"[^\W_]+", text.lower()))
+
+
+_SPDX_HEAD = "spdx license identifier"
+SENTENCES |= {f"spdx-{x}": f"{_SPDX_HEAD} {normal(x)}" for x in SPDX}
+RULES += [("GPL-2.0", [x, "gpl-2", "gpl-3"]) for x in ("gpl2only-1", "gpl2only-2", "gpl2only-3")] + [(x, [f"spdx-{x}"]) for x in SPDX]
+
+#: Sentences that count within a longer piece: short notices, and SPDX identifiers, which end a piece or an alternative.
+NOTICES = {SENTENCES[x] for x in SENTENCES if "-short" in x or x.startswith(("cc-", "cc0"))}
+_SPDX = {SENTENCES[f"spdx-{x}"] for x in SPDX}
+#: Licence of a rule, and how what follows its last sentence must not begin: the clause by which BSD-3 is more than BSD-2.
+UNLESS = {"BSD-2-Clause": "neither the name"}
+GAP_WORDS = 12
+
+
+def within(sentence: str) -> str:
+    """The pattern by which a sentence is found in a piece; pieces of a run are joined by line ends."""
+    gap = rf"(?:[^ \n]+[ \n]){{1,{GAP_WORDS}}}?"
+    parts = [re.escape(x).replace(r"\ ", r"[ \n]") for x in sentence.split("* ")]
+    if sentence in _SPDX:
+        name = sentence.removeprefix(f"{_SPDX_HEAD} ")
+        # "or later" belongs to an identifier
+        return f"(^| ){_SPDX_HEAD} (.* (or|and) )?{name}($| or ([^l]|l[^a])| and | with )"
+    if sentence in NOTICES:
+        return rf"(^| ){parts[0]}($| )"
+    return f"^{gap.join(parts)}($|\\n)"
+
+
+def _longest_part(sentence: str) -> str:
+    return _SPDX_HEAD if sentence in _SPDX else max((x.strip() for x in sentence.split("*")), key=len)
+
+
 def rule_steps() -> list[tuple[str, int, str, int, int]]:
     """A row per sentence of each rule: licence, rule number, sentence, its place in the rule, the rule's length."""
     return [(licence, k, SENTENCES[s], place, len(ids)) for k, (licence, ids) in enumerate(RULES) for place, s in enumerate(ids)]
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends and after . ! ? ; : that white space follows."""
+    """Normalised sentences: cut at line ends and after . ! ? ; : that white space follows, but not before an SPDX identifier."""
+    text = F.regexp_replace(text, r"(?i)(spdx-license-identifier):[ \t]*", "$1 ")
     lines = F.split(F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n"), r"[\n\r]")
     plain = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " ")))
     return F.array_remove(plain, "")
@@ -152,12 +200,32 @@ def _occurrences(kept: Column, sentence: Column, n_words: Column) -> Column:
     return F.array_compact(F.transform(starts, at))
 
 
+def _gapped(kept: Column, sentence: Column, n_words: Column, pattern: Column) -> Column:
+    """_occurrences() of a sentence that has a gap: found by its pattern from each place on whose words it may begin."""
+
+    def at(k: Column) -> Column:
+        text = F.array_join(F.transform(F.slice(kept, k, n_words + GAP_WORDS), lambda x: x["s"]), "\n")
+        found = F.call_function("regexp_extract", text, pattern, F.lit(0))
+        return F.when(found != "", F.struct(k.alias("at"), (k + 1 + F.length(F.rtrim(found, F.lit("\n"))) - F.length(F.translate(F.rtrim(found, F.lit("\n")), "\n", ""))).cast("int").alias("end")))
+
+    head = F.substring_index(sentence, " *", 1)
+    starts = F.filter(F.transform(kept, lambda x, k: F.when(F.startswith(head, x["s"]) | F.startswith(x["s"], head), k + 1)), lambda k: k.isNotNull())
+    return F.array_compact(F.transform(starts, at))
+
+
+def _inside(kept: Column, pattern: Column) -> Column:
+    """The pieces that hold a notice; one that is wrapped is found like any sentence."""
+    return F.array_compact(F.transform(kept, lambda x, k: F.when(F.regexp_like(x["s"], pattern), F.struct((k + 1).alias("at"), (k + 2).alias("end")))))
+
+
 def _recognised(kept: Column, known: Column) -> Column:
-    """Array of (id, at, end): the occurrences of all known sentences (an array of id, sentence, n_words)."""
+    """Array of (id, at, end): the occurrences of all known sentences (an array of id, sentence, part, kind, pattern, n_words)."""
     text = F.array_join(F.transform(kept, lambda x: x["s"]), " ")
+    span = "array<struct<at:int,end:int>>"
     # the text is a variable of a lambda, so that it is put together once and not for each sentence
-    held = F.flatten(F.transform(F.array(text), lambda t: F.filter(known, lambda r: F.contains(t, r["sentence"]))))
-    found = F.transform(held, lambda r: F.transform(_occurrences(kept, r["sentence"], r["n_words"]), lambda o: F.struct(r["id"].alias("id"), o["at"].alias("at"), o["end"].alias("end"))))
+    held = F.flatten(F.transform(F.array(text), lambda t: F.filter(known, lambda r: F.contains(t, r["part"]))))
+    places = lambda r: F.when(r["kind"] == "inside", F.array_union(_inside(kept, r["pattern"]).cast(span), _occurrences(kept, r["sentence"], r["n_words"]).cast(span))).when(r["kind"] == "gap", _gapped(kept, r["sentence"], r["n_words"], r["pattern"]).cast(span)).otherwise(_occurrences(kept, r["sentence"], r["n_words"]).cast(span))
+    found = F.transform(held, lambda r: F.transform(places(r), lambda o: F.struct(r["id"].alias("id"), o["at"].alias("at"), o["end"].alias("end"))))
     return F.flatten(found)
 
 
@@ -177,17 +245,21 @@ def _ruled(kept: Column, seen: Column, rules: Column) -> Column:
         first, last = F.get(kept, c["at"] - 1)["no"], F.get(kept, c["end"] - 2)["no"]
         return F.struct(r["license"].alias("license"), r["rule_id"].alias("rule_id"), first.alias("first_sentence"), (last - first + 1).alias("n_sentences"))
 
-    return F.flatten(F.transform(rules, lambda r: F.transform(chains(r["ids"]), lambda c: match(r, c))))
-
+    def other(r: Column, c: Column) -> Column:
+        """Whether what follows, a list number aside, makes the match another licence."""
+        return F.exists(F.slice(kept, c["end"], F.lit(2)), lambda x: F.startswith(x["s"], r["unless"]))
 
-def _outermost(matches: Column) -> Column:
-    """The matches that don't lie within a longer one."""
+    held = lambda r: F.filter(chains(r["ids"]), lambda c: r["unless"].isNull() | ~other(r, c))
+    return F.flatten(F.transform(rules, lambda r: F.transform(held(r), lambda c: match(r, c))))
 
-    def inside(m: Column, w: Column) -> Column:
-        end = lambda x: x["first_sentence"] + x["n_sentences"]
-        return (w["n_sentences"] > m["n_sentences"]) & (m["first_sentence"] >= w["first_sentence"]) & (end(m) <= end(w))
 
-    return F.filter(matches, lambda m: ~F.exists(matches, lambda w: inside(m, w)))
+def _outermost(matches: DataFrame, row: str) -> DataFrame:
+    """The matches that don't lie within a longer one of the same row."""
+    end = F.col("first_sentence") + F.col("n_sentences")
+    before = Window.partitionBy(row).orderBy("first_sentence").rangeBetween(Window.unboundedPreceding, -1)
+    beside = Window.partitionBy(row, "first_sentence")
+    inside = F.coalesce(F.max(end).over(before) >= end, F.lit(False)) | (F.max("n_sentences").over(beside) > F.col("n_sentences"))
+    return matches.withColumn("_inside", inside).filter("not _inside").drop("_inside")
 
 
 def license_scan(docs: DataFrame, steps: list[tuple[str, int, str, int, int]] | None = None) -> DataFrame:
@@ -201,39 +273,48 @@ def license_scan(docs: DataFrame, steps: list[tuple[str, int, str, int, int]] |
     ids: dict[tuple[str, int], list[int]] = {}
     for licence, rule_id, sentence, _, _ in steps:
         ids.setdefault((licence, rule_id), []).append(number[sentence])
-    known = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(s).alias("sentence"), F.lit(s.count(" ") + 1).alias("n_words")) for s, k in number.items()))
-    rules = F.array(*(F.struct(F.lit(licence).alias("license"), F.lit(rule_id).alias("rule_id"), F.array(*map(F.lit, x)).alias("ids")) for (licence, rule_id), x in ids.items()))
+    kind = lambda x: "inside" if x in NOTICES | _SPDX else "gap" if "*" in x else "whole"
+    fields = lambda x, k: {"id": k, "sentence": x, "part": _longest_part(x), "kind": kind(x), "pattern": within(x), "n_words": x.count(" ") + 1}
+    known = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in fields(x, k).items())) for x, k in number.items()))
+    unless = lambda licence: F.lit(UNLESS.get(licence)).cast("string").alias("unless")
+    rules = F.array(*(F.struct(F.lit(licence).alias("license"), F.lit(rule_id).alias("rule_id"), F.array(*map(F.lit, x)).alias("ids"), unless(licence)) for (licence, rule_id), x in ids.items()))
     anchored = all(any(a in " ".join(x[2] for x in steps if x[1] == rule_id) for a in ANCHORS) for _, rule_id in ids)
     likely = F.exists(F.array(F.lower(text_or_empty())), lambda t: reduce(Column.__or__, [F.contains(t, F.lit(a)) for a in ANCHORS])) if anchored else F.lit(True)
     numbered = F.transform(sentences(text_or_empty()), lambda x, k: F.struct(k.alias("no"), x.alias("s")))
     # every step passes a one-element generator, so that the next refers to its result and doesn't work it out again
     once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))
-    cut = once(docs.filter(likely).select("doc_id", "text"), "all", numbered).drop("text")
+    cut = once(docs.filter(likely).select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "all", numbered).drop("text")
     # a number on a line of its own may be a list's or, where the line was wrapped, the sentence's: both readings are tried
     cut = once(cut, "unlisted", F.filter("all", lambda x: ~x["s"].rlike("^[0-9]{1,3}$")))
     for kept in ("all", "unlisted"):
         cut = once(cut, f"seen_{kept}", _recognised(F.col(kept), known))
     cut = cut.filter("size(seen_all) > 0 or size(seen_unlisted) > 0")
     cut = once(cut, "matches", F.array_distinct(F.concat(*(_ruled(F.col(k), F.col(f"seen_{k}"), rules) for k in ("all", "unlisted")))))
-    return cut.select("doc_id", F.inline(_outermost(F.col("matches")))).distinct()
+    return _outermost(cut.select("row", "doc_id", F.inline("matches")), "row").drop("row").distinct()
 
 
 def oracle() -> str:
-    quoted = ", ".join("('{}', {}, '{}', {}, {})".format(*x) for x in rule_steps())
+    """The SQL sees sentences that are one piece, so a wrapped sentence is the operator's alone."""
+    quoted = ", ".join("('{}', {}, '{}', {}, {}, '{}', {})".format(*x, within(x[2]).replace(r"($|\n)", "$").replace(r"\n", " "), f"'{UNLESS[x[0]]}'" if x[0] in UNLESS else "null") for x in rule_steps())
     return (
-        f"with steps(license, rule_id, sentence, place, n_sentences) as (values {quoted}),"
+        f"with steps(license, rule_id, sentence, place, n_sentences, pattern, unless) as (values {quoted}),"
         + r"""
 lines as (
-  select doc_id, list_filter(list_transform(
-      regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]'),
+  select row_number() over () as row_no, doc_id, list_filter(list_transform(
+      regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)(spdx-license-identifier):[ \t]*', '\1 ', 'g'), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]'),
       lambda x: trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x <> '') as s
   from documents),
-cut as (select doc_id, unnest(s) as sentence, generate_subscripts(s, 1) - 1 as sentence_no from lines),
+cut as (select row_no, doc_id, unnest(s) as piece, generate_subscripts(s, 1) - 1 as sentence_no from lines),
+seen as (
+  select piece, license, rule_id, place, n_sentences, unless from (select distinct piece from cut) p join steps on regexp_matches(piece, pattern)),
 runs as (
-  select doc_id, license, rule_id, cast(sentence_no - place as int) as first_sentence, n_sentences
-  from cut join steps using (sentence) group by all having count(distinct place) = n_sentences)
-select r.* from runs r where not exists (
-  select 1 from runs w where w.doc_id is not distinct from r.doc_id and w.n_sentences > r.n_sentences
+  select row_no, doc_id, license, rule_id, cast(sentence_no - place as int) as first_sentence, n_sentences, unless
+  from cut join seen using (piece) group by all having count(distinct place) = n_sentences),
+kept as (
+  select r.* from runs r where not exists (
+    select 1 from cut c where c.row_no = r.row_no and c.sentence_no between r.first_sentence + r.n_sentences and r.first_sentence + r.n_sentences + 1 and starts_with(c.piece, r.unless)))
+select distinct doc_id, license, rule_id, first_sentence, n_sentences from kept r where not exists (
+  select 1 from kept w where w.row_no = r.row_no and w.n_sentences > r.n_sentences
     and r.first_sentence >= w.first_sentence and r.first_sentence + r.n_sentences <= w.first_sentence + w.n_sentences)
 """
     )

@@ -2,7 +2,7 @@ import textwrap
 
 import pytest
 
-from shareflow.llm.licenses import RULES, license_scan
+from shareflow.llm.licenses import RULES, SPDX, license_scan
 
 APACHE = [
     'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -67,6 +67,8 @@ CANONICAL = [
     ["Licensed under the Artistic License 2.0."],
     *([f"This work is licensed under a Creative Commons Attribution{x} 4.0 International License."] for x in ("", "-ShareAlike", "-NonCommercial", "-NoDerivatives")),
 ]
+ONLY = [GPL[0].format(":", 2).replace("; either version 2 of the License, or (at your option) any later version", x).replace("License as", f"License{y} as") for x, y in (("", " version 2"), (", version 2", ""), (", version 2 of the License", ""))]
+CANONICAL += [*([x, GPL[1]] for x in ONLY), *([f"SPDX-License-Identifier: {x}"] for x in SPDX)]
 
 
 def scan(spark, rows):
@@ -104,3 +106,30 @@ def test_texts_of_one_id_are_looked_at_one_by_one(spark):
     half = [(None, MIT[0]), (None, MIT[1]), (7, MIT[0]), (7, "\n".join(MIT[1:])), (8, "\n".join(MIT[:2])), (8, "\n".join(MIT))]
     # of the two texts of 8, the match of the first isn't hidden by the longer one of the second
     assert scan(spark, half) == [(8, "MIT", 5, 0, 2), (8, "MIT", 6, 0, 3)]
+
+
+def test_names_notices_and_identifiers(spark):
+    three = lambda name: "\n".join([*BSD[:3], BSD[3].replace("the copyright holder", name)])
+    rows = [
+        (1, three("Google Inc.")), (2, three("the University of California, Berkeley")), (3, textwrap.fill(three("Example Labs GmbH and Co"), 40)),
+        (4, "\n".join([*BSD[:3], "3. Neither the name of the author may be used in any way."])),
+        (5, "SPDX-License-Identifier: MIT"), (6, "/* SPDX-License-Identifier: Apache-2.0 OR MIT */"), (7, "// SPDX-License-Identifier: MIT-0"), (8, "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0"), (9, "SPDX-License-Identifier: NOT-KNOWN"),
+        (10, "This project is licensed under the MIT License"), (11, "Licensed under the MIT License (see LICENSE)."), (12, "<p>Released under the MIT License</p>"), (13, "unlicensed under the MIT License"),
+        (14, "\n".join([ONLY[0], GPL[1]])), (15, "\n".join(BSD[:3]) + "\nint main;"),
+    ]
+    got = {}
+    for doc_id, licence, *_ in scan(spark, rows):
+        got.setdefault(doc_id, set()).add(licence)
+    bsd3 = {"BSD-3-Clause"}
+    assert got == {1: bsd3, 2: bsd3, 3: bsd3, 5: {"MIT"}, 6: {"Apache-2.0", "MIT"}, 7: {"MIT-0"}, 8: {"GPL-2.0-only"}, 10: {"MIT"}, 11: {"MIT"}, 12: {"MIT"}, 14: {"GPL-2.0"}, 15: {"BSD-2-Clause"}}
+
+
+def test_repeated_notices_in_a_very_long_text(spark):
+    import time
+
+    took = []
+    for n in (500, 8000):
+        began = time.time()
+        assert len(scan(spark, [(1, "Released under the MIT License.\nsome other line here\n" * n)])) == n
+        took.append(time.time() - began)
+    assert took[1] < 16 * max(took[0], 1)

@@ -101,7 +101,7 @@ def build(leaves: DataFrame) -> Tree:
         levels.append(runs)
         nodes = runs.select("group", "lo", "hi", "leaves", "digest")
         roots = roots.unionByName(nodes.filter(_tops(nodes, level + 1)).select("group", "leaves", "digest"))
-    return Tree(leaves, levels, roots)
+    return Tree(leaves, levels, written(roots, "merkle-roots"))
 
 
 def _siblings(children: Column, own: Column) -> Column:
@@ -158,10 +158,11 @@ def manifest(docs: DataFrame, claimed: dict[str, Column] | None = None) -> DataF
     item = F.struct("doc_id", F.when(F.col("claimed") != F.col("digest"), F.col("claimed")).alias("claimed"))
     leaves = written(leaves.select("group", "doc_id", "digest", item.alias("item")), "merkle-leaves")
     sources = build(written(numbered(leaves, ["doc_id", "digest"]).drop("doc_id"), "merkle-numbered"))
-    roots = written(sources.roots.select(F.lit("").alias("group"), F.col("group").alias("name"), "digest"), "merkle-roots")
+    roots = written(sources.roots.select(F.lit("").alias("group"), F.col("group").alias("name"), "digest"), "merkle-sources")
     upper = build(written(numbered(roots, ["name"]).select("group", "lo", "hi", "leaves", "digest", F.struct("name").alias("item")), "merkle-upper"))
     top = upper.roots.select("group", F.array().cast(NO_PATH).alias("path"), F.col("digest").alias("root"))
-    tops = proofs(upper, top).select(F.col("item.name").alias("group"), "path", F.col("leaf").alias("subroot"), "root")
+    # every level of the sources' trees joins these, so their plan isn't repeated in each
+    tops = written(proofs(upper, top).select(F.col("item.name").alias("group"), "path", F.col("leaf").alias("subroot"), "root"), "merkle-tops")
     rows = proofs(sources, tops)
     return rows.select("item.doc_id", "leaf", F.coalesce("item.claimed", "leaf").alias("claimed_leaf"), "subroot", "root", "path")
 

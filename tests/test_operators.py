@@ -134,7 +134,7 @@ def test_price_family(spark):
     made = prices.price_table(spark.createDataFrame([("1", D1, 1.2345, 1.2345, 1.0, 1.1, 1000), ("1", D2, 1.0, 1.0, 1.0, 1.0, None)], "code string, date date, open double, high double, low double, close double, volume long")).orderBy("date").collect()
     assert (made[0].high, made[0].turnover_est, made[0].vwap_est, made[1].volume, made[1].vwap_est) == (1.235, 1100.0, 1.1, 0, None)
     lines = spark.createDataFrame([("1", "support, 5.5\nbad\nx,y,7")], "code string, text string")
-    assert one(prices.parse_cost_lines(lines), "label", "price") == [("support", 5.5), ("x,y", 7.0)]
+    assert one(prices.parse_cost_lines(lines), "label", "price") == [("support", 5.5)]  # the second field of x,y,7 is no amount
     assert one(prices.parse_event_markers(spark.createDataFrame([("1", "2024-01-02,placing\nno")], "code string, text string")), "date", "label") == [(D2, "placing")]
     assert one(prices.overlay(bars, spark.createDataFrame([("1", "s", 5.0)], "code string, label string, price double")).orderBy("date"), "date") == [(D1,), (D2 + timedelta(20),)]
 

@@ -3,7 +3,7 @@
 Words are grouped into classes by batch exchange: with the class bigram counts of the last round fixed, every word moves
 to the class that gives its neighbours and itself the greatest likelihood; then counts are taken again. Words that move
 at the same time can get in each other's way, so the likelihood of the training texts is worked out from the counts of
-every round: a round that doesn't raise it is taken back and ends the clustering. The most frequent words start as classes
+every round: a round that doesn't raise it is taken back, and one that hardly raises it is the last. The most frequent words start as classes
 of their own and everything else as one class, so the first round already splits by context.
 
 Spark alternates two jobs over dictionary blocks. A block job walks the blocks' codes with the current class of each
@@ -21,6 +21,7 @@ predicted from the classes' mean, weighted by their words seen once. Each text e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,8 +33,12 @@ from pyspark.sql import functions as F
 from shareflow.llm import blocks
 from shareflow.llm.common import text_or_empty, words, written
 
-CLASSES = 32
-ROUNDS = 3
+#: Bounds of the number of classes, which is the square root of the number of distinct training words between them.
+LEAST_CLASSES, MOST_CLASSES = 32, 256
+#: A round that gains less than this, in natural log likelihood per training token, is the last: 0.02 is a perplexity lower by 2%.
+LEAST_GAIN = 0.02
+#: Neighbour counts that are weighted at a time, each with a row of numbers per class.
+WEIGHTED = 1 << 14
 
 
 class Totals(NamedTuple):
@@ -46,8 +51,11 @@ def _ragged(rows: list[dict], name: str) -> np.ndarray:
     return np.concatenate([blocks.unpack_ints(r[name]) for r in rows] or [np.empty(0, np.uint8)])
 
 
-def _vocabulary(made: blocks.Blocks) -> DataFrame:
-    """kind 'state': a bucket's training counts by word number; kind 'answers': the numbers of a block's words in its bucket."""
+def _vocabulary(made: blocks.Blocks, first: int = MOST_CLASSES) -> DataFrame:
+    """kind 'state': a bucket's training counts by word number; kind 'answers': the numbers of a block's words in its bucket.
+
+    top has the `first` most frequent words of each bucket.
+    """
 
     def one(rows: pa.Table) -> pa.Table:
         parts = [blocks.unpack_strings(x) for x in rows["words"].to_pylist()]
@@ -55,7 +63,7 @@ def _vocabulary(made: blocks.Blocks) -> DataFrame:
         number = np.asarray(found.indices).astype(np.int64)
         seen = np.concatenate([blocks.unpack_ints(x) for x in rows["counts"].to_pylist()]).astype(np.int64)
         counts = np.bincount(number, weights=seen, minlength=len(found.dictionary)).astype(np.int64)
-        top = np.argsort(-counts, kind="stable")[: CLASSES * 4]
+        top = np.argsort(-counts, kind="stable")[:first]
         cuts = np.cumsum([0, *map(len, parts)])
         n = rows.num_rows
         return pa.table(
@@ -128,12 +136,6 @@ def _walk(row: dict, answers: pa.Table, classes: int) -> _Walk:
     return _Walk(got, place, own, left, right, size, np.array(row["marked"], dtype=bool))
 
 
-def _sparse(place: np.ndarray, other: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    cells = np.bincount(place * width + other, minlength=n * width)
-    at = np.flatnonzero(cells)
-    return at, cells[at]
-
-
 def _pairs(walk: _Walk, classes: int) -> np.ndarray:
     """Counts of (left class, own class) over the marked documents; the boundary has number `classes`."""
     width = classes + 1
@@ -159,7 +161,7 @@ def _count(made: blocks.Blocks, answers: DataFrame, classes: int, contexts: bool
             width, of_token = classes + 1, np.repeat(walk.marked, walk.size)
             sizes = [len(blocks.unpack_ints(a["place"])) for a in walk.answers]
             cuts, place = np.cumsum([0, *sizes]), walk.place[of_token]
-            sides = [_sparse(place, x[of_token], int(cuts[-1]), width) for x in (walk.left, walk.right)]
+            sides = [np.unique(place * width + x[of_token], return_counts=True) for x in (walk.left, walk.right)]
             for k, a in enumerate(walk.answers):
                 cells = {"kind": "contexts", "bucket": a["bucket"], "block": row["block"], "mark": row["mark"], "place": a["place"], "classes": a["classes"]}
                 for side, (at, n) in zip(("left", "right"), sides, strict=True):
@@ -200,26 +202,51 @@ def _transitions(pairs: np.ndarray) -> np.ndarray:
     return (pairs + 1) / (pairs.sum(axis=1, keepdims=True) + pairs.shape[1])
 
 
+def _best(cells: np.ndarray, seen: np.ndarray, weights: np.ndarray, counts: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """The class of greatest gain for each word, 0 for words without neighbours in training texts.
+
+    cells has (word number x rows of weights + row of weights) for each neighbour count in seen; cells may repeat.
+    """
+    given, rows = np.zeros(len(counts), np.int32), len(weights)
+    order = np.argsort(cells, kind="stable")
+    cells, seen = cells[order], seen[order]
+    firsts = np.flatnonzero(np.diff(cells, prepend=-1))
+    if not len(firsts):
+        return given
+    cells, seen = cells[firsts], np.add.reduceat(seen, firsts)
+    word = cells // rows
+    begins = np.flatnonzero(np.diff(word, prepend=-1))
+    ends = np.append(begins[1:], len(cells))
+    k = 0
+    while k < len(begins):
+        # whole words, one at least
+        stop = max(int(np.searchsorted(ends, begins[k] + WEIGHTED, side="right")), k + 1)
+        a, b = begins[k], ends[stop - 1]
+        numbers = word[begins[k:stop]]
+        gain = np.add.reduceat(weights[cells[a:b] % rows] * seen[a:b, None], begins[k:stop] - a, axis=0)
+        given[numbers] = (gain - counts[numbers, None] * price).argmax(axis=1)
+        k = stop
+    return given
+
+
 def _move(counted: DataFrame, vocabulary: DataFrame, pairs: np.ndarray, classes: int) -> DataFrame:
     """One exchange: kind 'answers' with the new class of each block's words, kind 'state' with counts and classes of a bucket."""
     width = classes + 1
     log = np.log(_transitions(pairs))
     own = pairs.sum(axis=0)[:classes]
-    from_left, to_right, price = log[:, :classes], log[:classes, :].T, np.log(own + 1)
+    # what a neighbour of each class, left then right, gives a word of each class
+    weights, price = np.concatenate([log[:, :classes], log[:classes, :].T]), np.log(own + 1)
 
     def one(rows: pa.Table, state: pa.Table) -> pa.Table:
         counts = blocks.unpack_ints(state["counts"][0].as_py()).astype(np.int64)
         places = [blocks.unpack_ints(x) for x in rows["place"].to_pylist()]
-        gain = np.zeros((len(counts), classes))
-        for side, weights in (("left", from_left), ("right", to_right)):
-            cells = np.zeros(len(counts) * width)
+        cells, seen = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k, side in enumerate(("left", "right")):
             for place, at, n in zip(places, rows[f"{side}_at"].to_pylist(), rows[f"{side}_n"].to_pylist(), strict=True):
                 where = np.cumsum(blocks.unpack_ints(at).astype(np.int64))
-                # a block's words are distinct, so no cell occurs twice here
-                cells[place[where // width].astype(np.int64) * width + where % width] += blocks.unpack_ints(n)
-            gain += cells.reshape(-1, width) @ weights
-        gain -= counts[:, None] * price
-        given = gain.argmax(axis=1).astype(np.int32)
+                cells.append((place[where // width].astype(np.int64) * 2 + k) * width + where % width)
+                seen.append(blocks.unpack_ints(n).astype(np.int64))
+        given = _best(np.concatenate(cells), np.concatenate(seen), weights, counts, price)
         once = np.bincount(given[counts == 1], minlength=classes)
         types = np.bincount(given[counts > 0], minlength=classes)
         n = rows.num_rows
@@ -311,35 +338,47 @@ class Clusters(NamedTuple):
     likelihoods: list[float]
 
 
-def cluster(made: blocks.Blocks, vocabulary: DataFrame, classes: int, rounds: int) -> Clusters:
-    """Exchange clustering in at most `rounds` rounds, at least one; it ends before a round that doesn't raise the likelihood."""
-    if rounds < 1 or classes < 1:
-        raise ValueError("there must be a class and a round at least")
+def cluster(made: blocks.Blocks, vocabulary: DataFrame, classes: int, rounds: int | None = None, least_gain: float = LEAST_GAIN) -> Clusters:
+    """Exchange clustering, a round at least, until a round gains less than least_gain per token, or `rounds` rounds are done.
+
+    A round that doesn't raise the likelihood is taken back.
+    """
+    if classes < 1 or (rounds is not None and rounds < 1) or (rounds is None and least_gain <= 0):
+        raise ValueError("there must be a class, a round and an end at least")
     counted = _count(made, _seeded(vocabulary, _first_classes(vocabulary, classes)), classes, contexts=True)
     pairs, kept = _pair_counts(counted, classes), []
     best: Clusters | None = None
-    for k in range(rounds):
+    while best is None or len(best.likelihoods) != rounds:
         moved = _move(counted, vocabulary, pairs, classes)
-        counted = _count(made, moved.filter("kind = 'answers'").select("bucket", "block", "mark", "place", "classes"), classes, contexts=k + 1 < rounds)
+        counted = _count(made, moved.filter("kind = 'answers'").select("bucket", "block", "mark", "place", "classes"), classes, contexts=len(kept) + 1 != rounds)
         pairs = _pair_counts(counted, classes)
         kept.append(likelihood(pairs))
-        if best and kept[-1] <= kept[-2]:
+        gained = kept[-1] - kept[-2] if best else np.inf
+        if gained <= 0:
             break
         best = Clusters(moved, pairs, list(kept))
+        if gained < least_gain * pairs.sum():
+            break
     return best
 
 
-def lm_scores(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+def classes_for(types: int) -> int:
+    return min(max(math.isqrt(types), LEAST_CLASSES), MOST_CLASSES)
+
+
+def lm_scores(docs: DataFrame, classes: int | None = None, rounds: int | None = None, least_gain: float = LEAST_GAIN) -> DataFrame:
     """Base-10 log probability of each document under classes learnt from those that aren't held out.
 
+    classes is by the vocabulary (classes_for) unless given; cluster() says what ends the rounds.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score, perplexity.
     """
     split = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
     made = blocks.build(docs, words(text_or_empty()), marked=split != 2, lower=True)
-    vocabulary = _vocabulary(made)
+    vocabulary = _vocabulary(made, classes or MOST_CLASSES)
     sums = vocabulary.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_types"), F.lit(0)).alias("types")).first()
     texts = made.rows.select(F.coalesce(F.sum(F.size(F.filter("marked", lambda x: x))), F.lit(0)).alias("n")).first()["n"]
     totals = Totals(sums["tokens"] + texts, sums["types"] + int(texts > 0), texts)
-    found = cluster(made, vocabulary, classes, rounds)
+    classes = classes or classes_for(totals.types)
+    found = cluster(made, vocabulary, classes, rounds, least_gain)
     scored = _scores(made, found.moved, totals, found.pairs, _class_sums(found.moved, "types", classes), _class_sums(found.moved, "once", classes), docs.schema["doc_id"].dataType.simpleString())
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

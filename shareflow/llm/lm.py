@@ -34,7 +34,7 @@ from shareflow.llm import blocks
 from shareflow.llm.common import text_or_empty, words, written
 
 #: Bounds of the number of classes, which is the square root of the number of distinct training words between them.
-LEAST_CLASSES, MOST_CLASSES = 32, 256
+LEAST_CLASSES, MOST_CLASSES = 32, 64
 #: A round that gains less than this, in natural log likelihood per training token, is the last: 0.02 is a perplexity lower by 2%.
 LEAST_GAIN = 0.02
 #: Neighbour counts that are weighted at a time, each with a row of numbers per class.
@@ -136,6 +136,15 @@ def _walk(row: dict, answers: pa.Table, classes: int) -> _Walk:
     return _Walk(got, place, own, left, right, size, np.array(row["marked"], dtype=bool))
 
 
+def _sparse(cells: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in cells, all below room, and how often each occurs; sorted or counted, whichever takes less."""
+    if room > 16 * len(cells):
+        return np.unique(cells, return_counts=True)
+    counts = np.bincount(cells, minlength=room)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
 def _pairs(walk: _Walk, classes: int) -> np.ndarray:
     """Counts of (left class, own class) over the marked documents; the boundary has number `classes`."""
     width = classes + 1
@@ -161,7 +170,7 @@ def _count(made: blocks.Blocks, answers: DataFrame, classes: int, contexts: bool
             width, of_token = classes + 1, np.repeat(walk.marked, walk.size)
             sizes = [len(blocks.unpack_ints(a["place"])) for a in walk.answers]
             cuts, place = np.cumsum([0, *sizes]), walk.place[of_token]
-            sides = [np.unique(place * width + x[of_token], return_counts=True) for x in (walk.left, walk.right)]
+            sides = [_sparse(place * width + x[of_token], int(cuts[-1]) * width) for x in (walk.left, walk.right)]
             for k, a in enumerate(walk.answers):
                 cells = {"kind": "contexts", "bucket": a["bucket"], "block": row["block"], "mark": row["mark"], "place": a["place"], "classes": a["classes"]}
                 for side, (at, n) in zip(("left", "right"), sides, strict=True):
@@ -217,6 +226,20 @@ def _best(cells: np.ndarray, seen: np.ndarray, weights: np.ndarray, counts: np.n
     word = cells // rows
     begins = np.flatnonzero(np.diff(word, prepend=-1))
     ends = np.append(begins[1:], len(cells))
+    full = np.flatnonzero(ends - begins >= rows // 8)
+    for k in range(0, len(full), max(WEIGHTED // rows, 1)):
+        # words with many neighbours as rows of a matrix
+        of = full[k : k + max(WEIGHTED // rows, 1)]
+        dense = np.zeros((len(of), rows))
+        for i, w in enumerate(of):
+            dense[i, cells[begins[w] : ends[w]] % rows] = seen[begins[w] : ends[w]]
+        given[word[begins[of]]] = (dense @ weights - counts[word[begins[of]], None] * price).argmax(axis=1)
+    few = np.ones(len(begins), bool)
+    few[full] = False
+    rest = np.repeat(few, ends - begins)
+    cells, seen, word = cells[rest], seen[rest], word[rest]
+    begins = np.flatnonzero(np.diff(word, prepend=-1))
+    ends = np.append(begins[1:], len(cells))
     k = 0
     while k < len(begins):
         # whole words, one at least

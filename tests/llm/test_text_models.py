@@ -330,3 +330,23 @@ def test_cut_of_best_f1():
     assert toxicity.best_cut(np.array([3.0, 2.0, -1.0, -2.0]), np.array([1.0, 1.0, 0.0, 0.0])) == 0.5
     assert toxicity.best_cut(np.array([1.0, 1.0, 0.0]), np.array([1.0, 0.0, 0.0])) == 0.5
     assert toxicity.best_cut(np.array([]), np.array([])) == 0.0 and toxicity.best_cut(np.array([1.0]), np.array([1.0])) == 0.0
+
+
+def test_classes_by_vocabulary():
+    assert [lm.classes_for(n) for n in (0, 10, 2500, 10**7)] == [lm.LEAST_CLASSES, lm.LEAST_CLASSES, 50, lm.MOST_CLASSES]
+
+
+@pytest.mark.parametrize("words_with_neighbours", [0, 300])
+def test_best_class_of_each_word_by_brute_force(words_with_neighbours):
+    rng, classes, n = np.random.default_rng(0), 6, 400
+    weights, price = rng.normal(size=(14, classes)), rng.normal(size=classes)
+    # squares make some words frequent, with neighbours of most classes, and many rare; cells repeat
+    word = (rng.random(3000) ** 4 * words_with_neighbours).astype(np.int64)
+    cells, seen = word * 14 + rng.integers(0, 14, 3000), rng.integers(1, 9, 3000)
+    if not words_with_neighbours:
+        cells, seen = cells[:0], seen[:0]
+    counts = np.bincount(cells // 14, minlength=n)
+    dense = np.zeros(n * 14)
+    np.add.at(dense, cells, seen)
+    wanted = np.where(counts > 0, (dense.reshape(n, 14) @ weights - counts[:, None] * price).argmax(axis=1), 0)
+    assert (lm._best(cells, seen, weights, counts, price) == wanted).all()

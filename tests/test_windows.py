@@ -4,6 +4,7 @@ from datetime import date, timedelta
 
 from shareflow.operators import prices
 from shareflow.operators.tables import RANGES
+from shareflow.plans import reports, source_queries  # noqa: F401 (registers queries)
 from shareflow.plans.queries import ORACLES, QUERIES
 from tests.oracle import SF_DIR
 
@@ -23,3 +24,18 @@ def test_price_window_is_a_month(spark):
 
 def test_chart_of_fewer_days(spark):
     assert prices.chart_frame(_bars(spark, 30), 12).count() == 13
+
+
+def test_price_report_window_is_thirty_days(spark):
+    assert "interval 30 day" in ORACLES["price_report_window"] and "2024-01-12" not in ORACLES["price_report_window"]
+    history = spark.read.parquet(f"{SF_DIR}/events.parquet").selectExpr("user_id", "cast(ts as date) as date", "user_id % 3 = 0 as mirror").distinct()
+    # the report shows at most 20 rows of a code: none of those is missing
+    whole = history.groupBy("user_id").count().selectExpr("sum(least(count, 20)) as n").first().n
+    assert QUERIES["price_report_window"](spark, SF_DIR).count() == whole
+
+
+def test_price_report_of_fewer_days_and_a_start(spark):
+    changes = spark.createDataFrame([("00001", 1, date(2024, 1, 1), 5.0, "x")], "code string, seq long, change_date date, shares_million double, reason string")
+    meta = spark.createDataFrame([("00001", "A", 10, date(2024, 1, 31))], "code string, name string, issued_shares long, issued_shares_as_of date")
+    of = lambda **cut: reports.price_report(_bars(spark, 25), changes, meta, **cut).prices.count()
+    assert (of(days=15), of(days=15, start="2024-01-20"), of(start="2024-01-20")) == (16, 12, 12)

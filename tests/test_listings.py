@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shareflow.functions.columns import header_index, place
-from shareflow.operators.tables import numbered_rows
+from shareflow.operators.tables import forward_filled, numbered_rows
 from shareflow.plans import source_queries
 from shareflow.sources import pages
 
@@ -59,3 +59,11 @@ def test_numbers_by_runs(spark):
         mine = [(r.day, r.id) for r in got if r.code == code]
         assert mine == sorted(mine) and [r.no for r in got if r.code == code] == list(range(1, len(mine) + 1))
     assert all((r.of_day == 1) == (r.id == min(x.id for x in got if (x.code, x.day) == (r.code, r.day))) for r in got)
+
+
+def test_filled_by_blocks(spark):
+    rows = [(k % 2, k, None if k % 37 or k < 60 else f"v{k}") for k in range(400)] + [(None, 3, "n"), (None, 90, " ")]
+    df = spark.createDataFrame(rows, "code int, seq int, v string").localCheckpoint()
+    of = lambda x: sorted(map(tuple, x.collect()), key=str)
+    for block in (1, 16, 1000):
+        assert of(forward_filled(df, "v", ["code"], "seq", block)) == of(forward_filled(df, "v", ["code"], "seq"))

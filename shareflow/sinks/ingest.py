@@ -41,15 +41,31 @@ def written_beside(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(staging)
 
 
+def _is_new(spark: SparkSession, path: str) -> bool:
+    """Whether nothing was written to path yet."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return True
+    return False
+
+
+def _overwrite(path: str, rows: DataFrame, partition: str) -> None:
+    """Write the partitions that rows have; large ones by several tasks, small ones together by one."""
+    rows.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def upsert(path: str, incoming: DataFrame, key: list[str], partition: str = "date", order: str = "fetched_at") -> None:
     """Insert or replace rows by key; only partitions that incoming touches are read and written."""
     spark = incoming.sparkSession
+    if _is_new(spark, path):  # nothing is read of what is written, so there is no need of a staging table
+        return _overwrite(path, last_written(incoming, key, order), partition)
     touched = incoming.select(partition).distinct()
     old = _existing(spark, path, incoming).join(F.broadcast(touched) if touched.count() <= 10_000 else touched, partition, "left_semi")
     merged = last_written(old.select(incoming.columns).unionByName(incoming), key, order)
-    staging = f"{path.rstrip('/')}_staging/{uuid.uuid4().hex}"
-    merged.write.partitionBy(partition).parquet(staging)
-    spark.read.schema(incoming.schema).parquet(staging).repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    _overwrite(path, written_beside(merged, path), partition)
 
 
 def replace(path: str, rows: DataFrame, replaced: DataFrame, keys: list[str], partition: str = "date") -> None:
@@ -58,9 +74,10 @@ def replace(path: str, rows: DataFrame, replaced: DataFrame, keys: list[str], pa
     Only the partitions that replaced names are read and written, by way of a staging table.
     """
     spark = rows.sparkSession
+    if _is_new(spark, path):
+        return _overwrite(path, rows, partition)
     old = _existing(spark, path, rows).join(replaced.select(partition).distinct(), partition, "left_semi").join(replaced, keys, "left_anti")
-    staged = written_beside(old.select(rows.columns).unionByName(rows), path)
-    staged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    _overwrite(path, written_beside(old.select(rows.columns).unionByName(rows), path), partition)
 
 
 def upsert_snapshots(path: str, incoming: DataFrame) -> None:

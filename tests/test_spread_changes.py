@@ -3,7 +3,7 @@
 from collections import Counter
 from datetime import date
 
-from shareflow.operators import snapshots
+from shareflow.operators import flows, snapshots
 from tests.test_changes import SNAPS, some_snapshots
 
 
@@ -23,3 +23,11 @@ def test_a_code_is_spread_over_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 3000 and max(sizes) < 1500
+
+
+def test_adaptive_execution_leaves_the_tasks(spark):
+    # however few the rows, the sum and the windows by date have more tasks than one a core
+    df = spark.range(4000).selectExpr("concat('a', id % 10) as code", "date_add(date '2024-01-01', cast(id % 40 as int)) as date", "concat('B', id div 40) as participant_id", "'n' as participant_name", "id as shares", "id as bps")
+    changes = snapshots.consecutive_changes(df, snapshots.date_order(df))
+    for found in (changes, flows.change_patterns(changes)):
+        assert found.selectExpr("spark_partition_id() as p").distinct().count() > 8

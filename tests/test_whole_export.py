@@ -2,7 +2,10 @@
 
 from collections import Counter
 
-from shareflow.plans import reports
+from pyspark.sql import functions as F
+
+from shareflow.plans import reports, source_queries
+from shareflow.sources import pages
 
 
 def test_sections_are_whole(spark):
@@ -23,3 +26,10 @@ def test_sections_are_whole(spark):
     assert facts == {"00001": ("One", "1000", "17", "P29 (B00029)"), "00002": ("Two", None, None, None)}
     few = reports.full_export(snaps, changes, bought, log, prices, "test", meta, holdings_limit=3, changes_limit=4)
     assert (few.filter("section = 'Holdings'").count(), few.filter("section = 'Changes'").count()) == (3, 4)
+
+
+def test_events_are_read_by_many_tasks(spark):
+    rows = spark.range(3000).selectExpr("cast(id % 300 as string) as code", "id div 300 as k", "'2024-01-05' as day", "'Bonus' as type")
+    made = source_queries.made_pages(rows, ["code"], ["Announced", "Type"], ["day", "type"], ["k"])
+    found = pages.corporate_events(made, ["code", "page"], "https://s")
+    assert found.count() == 3000 and found.select(F.spark_partition_id().alias("p")).distinct().count() > 8
